@@ -39,3 +39,8 @@ BRONZE = {
     EXPENSE_TABLE: (RAW_EXPENSES, ["as_of_month", "month", "item"]),
     LEASE_TABLE: (RAW_LEASE, ["as_of_month", "suite_id"]),
 }
+STAGED = {
+    LEDGER_TABLE: "stg_dashboard_monthly",
+    EXPENSE_TABLE: "stg_expenses_monthly",
+    LEASE_TABLE: "stg_lease_rate",
+}

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leasemill import schemas
@@ -33,13 +33,10 @@ def _replace_partitions(df: DataFrame, path: str, *partition: str) -> None:
     )
 
 
-def write_bronze(df: DataFrame, root: str, table: str) -> int:
-    """Replace the months of ``df`` in a bronze table; returns the rows written."""
+def write_bronze(df: DataFrame, root: str, table: str) -> None:
+    """Replace the months of ``df`` in a bronze table."""
     columns = [c.split()[0] for c in schemas.BRONZE[table][0].split(", ")]
-    seen = Observation()
-    counted = df.select(*columns).observe(seen, F.count(F.lit(1)).alias("rows"))
-    _replace_partitions(counted, table_path(root, table), PARTITION)
-    return seen.get["rows"]
+    _replace_partitions(df.select(*columns), table_path(root, table), PARTITION)
 
 
 def write_months(df: DataFrame, path: str) -> None:
@@ -72,27 +69,22 @@ def _attempt(action: Callable[[], int]) -> tuple[str, int, str | None]:
         return "failed", 0, str(error).splitlines()[0]
 
 
-def _count_while(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
-    """Run a write and return its row count without a second pass."""
-    seen = Observation()
-    write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    return seen.get["rows"]
-
-
 def _outcomes(spark: SparkSession, results: list[tuple]) -> DataFrame:
     return spark.createDataFrame(results, "table_name STRING, status STRING, row_count BIGINT, error STRING")
 
 
 def export_csv(spark: SparkSession, tables: Mapping[str, DataFrame], root: str) -> DataFrame:
-    """CSV with header per table; a table that fails is reported and the rest go on."""
+    """CSV with header per table; a table that fails is reported and the rest go on.
+
+    Meant for stored tables, whose row count comes from file metadata.
+    """
     results = []
     for name, df in tables.items():
-        target = f"{root.rstrip('/')}/{name}.csv"
-        write = functools.partial(
-            _count_while, df, lambda d, t=target: d.write.mode("overwrite").option("header", True).csv(t)
-        )
-        status, rows, error = _attempt(write)
-        results.append((name, status, rows, error))
+        def write(name=name, df=df) -> int:
+            df.write.mode("overwrite").option("header", True).csv(f"{root.rstrip('/')}/{name}.csv")
+            return df.count()
+
+        results.append((name, *_attempt(write)))
     return _outcomes(spark, results)
 
 
@@ -116,10 +108,10 @@ def publish(spark: SparkSession, tables: Mapping[str, DataFrame] | None = None,
     results = []
     for name, load in loaders.items():
         def copy(name=name, load=load) -> int:
-            return _count_while(load(), lambda d: d.write.mode("overwrite").saveAsTable(f"{database}.{name}"))
+            load().write.mode("overwrite").saveAsTable(f"{database}.{name}")
+            return spark.table(f"{database}.{name}").count()
 
-        status, rows, error = _attempt(copy)
-        results.append((name, status, rows, error))
+        results.append((name, *_attempt(copy)))
     return _outcomes(spark, results)
 
 
@@ -170,9 +162,11 @@ def copy_bronze(spark: SparkSession, root: str, lake: str, dry_run: bool = False
         if dry_run:
             listing.append(df.select(F.lit(table).alias("table_name"), F.col("_metadata.file_path").alias("path")).distinct())
             continue
-        target = table_path(lake, table)
-        status, rows, error = _attempt(functools.partial(_count_while, df, functools.partial(write_months, path=target)))
-        results.append((table, status, rows, error))
+        def copy(df=df, table=table) -> int:
+            write_months(df, table_path(lake, table))
+            return df.count()
+
+        results.append((table, *_attempt(copy)))
     if dry_run:
         empty = spark.createDataFrame([], "table_name STRING, path STRING")
         return functools.reduce(lambda a, b: a.unionByName(b), listing, empty)

@@ -143,7 +143,7 @@ def refresh_staging(root: str, staged_root: str) -> FollowUp:
 
     def refresh(spark: SparkSession, months: list[str]) -> None:
         for table, stage in stagers.items():
-            path = f"{staged_root.rstrip('/')}/{table.replace('raw_', 'stg_', 1)}"
+            path = f"{staged_root.rstrip('/')}/{schemas.STAGED[table]}"
             staged = stage(read_bronze(spark, root, table, months))
             sinks.upsert_months(spark, staged, path, schemas.BRONZE[table][1])
 
