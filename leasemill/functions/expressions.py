@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,5 +110,13 @@ def money(value: Column) -> Column:
     return value.cast(MONEY)
 
 
+def cents(value: Column) -> Column:
+    """Double to two decimals, rounding the value times one hundred half away from zero.
+
+    A plain cast rounds the printed digits instead and differs on values such as 33701.534999999996.
+    """
+    return (F.round(value * 100).cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
+
+
 def md5_key(value: Column) -> Column:
     return F.md5(value)

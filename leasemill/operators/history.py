@@ -45,44 +45,42 @@ def versions(
     snapshot is closed at that snapshot, and starts a new version when it returns.
 
     Rows first collapse to one per key and month (skipped when the caller vouches for it), so a window group is at
-    most as long as the calendar even if one key holds a large part of the rows. The window, the version numbering
-    and the final grouping share one partitioning by key. ``months`` may name a cheaper frame with the same months.
+    most as long as the calendar even if one key holds a large part of the rows. All windows share one partitioning
+    and one sort; no aggregation follows. ``months`` may name a cheaper frame with the same months.
     """
     grain = [*keys, *unique_key]
     if not one_row_per_month:
         snapshots = last_sent(snapshots, [*grain, "as_of_month"])
     places = snapshot_months(months if months is not None else snapshots, keys)
     by_key = Window.partitionBy(*grain).orderBy("month_place")
+    whole_key = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
-    placed = snapshots.join(places, [*keys, "as_of_month"])
-    differs = F.lag("month_place").over(by_key).isNull()
+    # Without extra keys the month list is bounded by the calendar and can be broadcast whatever the data volume;
+    # with keys it grows with the properties and the planner decides from its measured size.
+    placed = snapshots.join(places if keys else F.broadcast(places), [*keys, "as_of_month"])
+    starts = F.lag("month_place").over(by_key).isNull()
     for column in checked:
-        differs = differs | ~F.col(column).eqNullSafe(F.lag(column).over(by_key))
+        starts = starts | ~F.col(column).eqNullSafe(F.lag(column).over(by_key))
     if close_missing:
-        differs = differs | (F.lag("month_place").over(by_key) < F.col("month_place") - 1)
-    numbered = placed.withColumn("starts", differs).withColumn(
-        "version", F.sum(F.col("starts").cast("int")).over(by_key.rowsBetween(Window.unboundedPreceding, 0))
+        starts = starts | (F.lag("month_place").over(by_key) < F.col("month_place") - 1)
+    marked = placed.withColumns(
+        {
+            "starts": starts,
+            # The month after the row before: where the version before this one ends.
+            "end_before": F.lag("next_month").over(by_key),
+            "end_of_key": F.last("next_month").over(whole_key),
+        }
     )
-
+    opened = marked.where("starts")
+    following = F.lead("end_before" if close_missing else "as_of_month").over(by_key)
     carried = [c for c in snapshots.columns if c not in grain]
-    first_row = F.min_by(F.struct(*carried), "month_place").alias("first_row")
-    ranged = numbered.groupBy(*grain, "version").agg(
-        first_row,
-        F.max_by("next_month", "month_place").alias("after_last"),
-    )
-    start = F.col("first_row")["as_of_month"]
-    if close_missing:
-        valid_to = F.col("after_last")
-    else:
-        valid_to = F.lead(start).over(Window.partitionBy(*grain).orderBy("version"))
-    return ranged.select(
+    return opened.select(
         *grain,
-        *[F.col("first_row")[c].alias(c) for c in carried],
-        "version",
-        start.alias("valid_from"),
-        valid_to.alias("valid_to"),
-        valid_to.isNull().alias("is_current"),
-    )
+        *carried,
+        F.row_number().over(by_key).alias("version"),
+        F.col("as_of_month").alias("valid_from"),
+        (F.coalesce(following, F.col("end_of_key")) if close_missing else following).alias("valid_to"),
+    ).withColumn("is_current", F.col("valid_to").isNull())
 
 
 def hard_deletes(history: DataFrame, keys: Keys = ("suite_id",)) -> DataFrame:

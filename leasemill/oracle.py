@@ -28,8 +28,7 @@ def _cols(text: str = "", n: str = "", i: str = "", d: str = "", places: int = 6
 
 
 def _cents(expr: str) -> str:
-    """Double to two decimals, half away from zero on the printed digits."""
-    return f"CAST(CAST({expr} AS DECIMAL(28,8)) AS DECIMAL(18,2))"
+    return f"CAST({expr} AS DECIMAL(18,2))"
 
 
 def _pct(n: str, d: str) -> str:
@@ -177,8 +176,8 @@ def _pieces(k: str) -> dict[str, tuple[str, tuple[str, ...]]]:
                   UNION ALL SELECT {k} month, 'collected', CAST(collected AS DOUBLE) FROM prop
                   UNION ALL SELECT {k} month, 'noi_proto', CAST(noi_proto AS DOUBLE) FROM prop)""", ("prop",)),
         **_forecast_pieces(k, "points", ""),
-        "early": ("SELECT * FROM points WHERE month < DATE '1996-09-01'", ("points",)),
-        **_forecast_pieces(k, "early", "_early"),
+        "yearly": ("SELECT year(month) AS year, * FROM points", ("points",)),
+        **_forecast_pieces("year, ", "yearly", "_yearly"),
         "held": ("""
             SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY metric ORDER BY month DESC) AS back FROM points)
             WHERE back > 3""", ("points",)),
@@ -538,7 +537,7 @@ def _forecasts() -> dict[str, str]:
                    CASE WHEN COUNT(*) >= 24 THEN 'seasonal' ELSE 'autoregressive' END AS model
             FROM points GROUP BY metric HAVING COUNT(*) >= 3""", "points"),
         "forecast_long": _sql(f"SELECT {_FC} FROM fc", "fc"),
-        "forecast_short": _sql(f"SELECT {_FC} FROM fc_early", "fc_early"),
+        "forecast_short": _sql(f"SELECT {_i('year')}, {_FC} FROM fc_yearly", "fc_yearly"),
         "forecast_horizons": _sql(f"SELECT {_FC} FROM fc WHERE horizon IN (3, 6, 9, 12)", "fc"),
         "forecast_wide": _sql(f"""
             SELECT strftime(forecast_month, '%Y-%m') AS forecast_month, {_i('horizon')}, {wide}

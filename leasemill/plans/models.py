@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leasemill.functions import vocabulary as V
-from leasemill.functions.expressions import md5_key, money, percentage, ratio
+from leasemill.functions.expressions import cents, md5_key, money, percentage, ratio
 
 Keys = Sequence[str]
 
@@ -34,11 +34,11 @@ def stage_ledger(raw: DataFrame, keys: Keys = ()) -> DataFrame:
         *keys,
         "as_of_month",
         F.col("month").cast("date").alias("month"),
-        money(F.col("rent_base")).alias("rent_base"),
-        money(F.col("collected")).alias("collected"),
-        money(F.col("uncollected")).alias("uncollected"),
+        cents(F.col("rent_base")).alias("rent_base"),
+        cents(F.col("collected")).alias("collected"),
+        cents(F.col("uncollected")).alias("uncollected"),
         _area(F.col("leased_sqft")).alias("leased_sqft"),
-        money(F.col("price_per_sf_yr")).alias("price_per_sf_yr"),
+        cents(F.col("price_per_sf_yr")).alias("price_per_sf_yr"),
         *_audit(),
     )
 
@@ -50,7 +50,7 @@ def stage_expenses(raw: DataFrame, keys: Keys = ()) -> DataFrame:
         "as_of_month",
         F.col("month").cast("date").alias("month"),
         "item",
-        money(F.col("actual")).alias("actual"),
+        cents(F.col("actual")).alias("actual"),
         "expense_category",
         *_audit(),
     )
@@ -64,9 +64,9 @@ def stage_lease(raw: DataFrame, keys: Keys = ()) -> DataFrame:
         "building",
         "tenant",
         _area(F.col("sqft")).alias("sqft"),
-        money(F.col("rent_monthly")).alias("rent_monthly"),
-        money(F.col("rent_annual")).alias("rent_annual"),
-        money(F.col("rent_psf_yr")).alias("rent_psf_yr"),
+        cents(F.col("rent_monthly")).alias("rent_monthly"),
+        cents(F.col("rent_annual")).alias("rent_annual"),
+        cents(F.col("rent_psf_yr")).alias("rent_psf_yr"),
         "is_vacant",
         "is_own_use",
         *_audit(),

@@ -84,14 +84,14 @@ def building_comparison(building_kpi: DataFrame) -> DataFrame:
 def vacant_suites(lease: DataFrame, months: DataFrame | None = None) -> DataFrame:
     """Vacant suites of the newest snapshot next to their building's average rent per area and year.
 
-    The average covers all suites of the building with a known rate; the per-building rows are at most as many as
-    the buildings, and the planner picks the join from their measured size.
+    The average covers all suites of the building with a known rate. Building is one of two letters, so the averages
+    are a handful of rows and are broadcast: a join by shuffle would put half of the suites in one task.
     """
     newest = latest(lease, months=months)
     mean = newest.groupBy("building").agg(F.avg(F.col("rent_psf_yr").cast("double")).alias("mean_rate"))
     return _named(
         newest.where("is_vacant")
-        .join(mean.withColumnRenamed("building", "b"), F.col("building") == F.col("b"), "left")
+        .join(F.broadcast(mean), "building", "left")
         .withColumn("mean_rate", F.coalesce("mean_rate", F.lit(0.0))),
         {"suite_id": "Suite", "building": "Building", "sqft": "SqFt", "mean_rate": "Avg $/SF/Yr (Building)"},
     ).orderBy("Building", "Suite")

@@ -21,14 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _month_text(moment: Column) -> Column:
-    return F.date_format(moment, "yyyy-MM")
+def _month_text() -> Column:
+    """Rows are grouped by the month as a date (four bytes); the text form is made once per result row."""
+    return F.date_format("month", "yyyy-MM").alias("as_of_month")
 
 
 def _orders(spark: SparkSession, sf_dir: str, by_property: bool, *columns: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").withColumn("as_of_month", _month_text(F.col("o_orderdate")))
+    orders = table(spark, sf_dir, "orders").withColumn("month", F.trunc(F.col("o_orderdate").cast("date"), "MM"))
     if not by_property:
-        return orders.select("o_orderkey", "as_of_month", *columns)
+        return orders.select("o_orderkey", "month", *columns)
     # 25 nations whatever the scale; the customer table grows, so its join is left to the planner.
     nation = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("string").alias("property_id")
@@ -39,7 +40,7 @@ def _orders(spark: SparkSession, sf_dir: str, by_property: bool, *columns: str)
         .join(F.broadcast(nation), "c_nationkey")
         .select("o_custkey", "property_id")
     )
-    return orders.join(customer, "o_custkey").select("property_id", "o_orderkey", "as_of_month", *columns)
+    return orders.join(customer, "o_custkey").select("property_id", "o_orderkey", "month", *columns)
 
 
 def _audit(df: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def ledger(spark: SparkSession, sf_dir: str, by_property: bool = False) -> DataF
     per_month = (
         _orders(spark, sf_dir, by_property, "o_totalprice", "o_orderstatus")
         .join(let, "o_orderkey", "left")
-        .groupBy(*keys, "as_of_month")
+        .groupBy(*keys, "month")
         .agg(
             F.sum(price).alias("base"),
             F.coalesce(F.sum(F.when(F.col("o_orderstatus") != "O", price)), money(F.lit(0))).alias("paid"),
@@ -81,8 +82,8 @@ def ledger(spark: SparkSession, sf_dir: str, by_property: bool = False) -> DataF
     return _audit(
         per_month.select(
             *keys,
-            "as_of_month",
-            first_of_month(F.col("as_of_month")).alias("month"),
+            _month_text(),
+            "month",
             rent.alias("rent_base"),
             F.col("paid").cast("double").alias("collected"),
             (F.col("base") - F.col("paid")).cast("double").alias("uncollected"),
@@ -103,7 +104,7 @@ def lease(spark: SparkSession, sf_dir: str, by_property: bool = False) -> DataFr
         money(F.col("l_extendedprice")).alias("price"),
     )
     suites = lines.join(_orders(spark, sf_dir, by_property, "o_custkey"), "o_orderkey")
-    grouped = suites.groupBy(*keys, "as_of_month", "supplier", "building").agg(
+    grouped = suites.groupBy(*keys, "month", "supplier", "building").agg(
         F.sum("quantity").alias("area"),
         F.sum("price").alias("rent"),
         F.max("o_custkey").alias("ck"),
@@ -113,7 +114,7 @@ def lease(spark: SparkSession, sf_dir: str, by_property: bool = False) -> DataFr
     return _audit(
         grouped.select(
             *keys,
-            "as_of_month",
+            _month_text(),
             F.concat(F.col("supplier").cast("string"), F.col("building")).alias("suite_id"),
             "building",
             F.when(kind == 0, "Vacant")
@@ -133,7 +134,9 @@ def lease(spark: SparkSession, sf_dir: str, by_property: bool = False) -> DataFr
 def lease_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months that have a lease snapshot, without building the snapshots."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return _orders(spark, sf_dir, False).join(lines, "o_orderkey", "left_semi").select("as_of_month")
+    return _orders(spark, sf_dir, False).join(lines, "o_orderkey", "left_semi").select("month").distinct().select(
+        _month_text()
+    )
 
 
 def expenses(spark: SparkSession, sf_dir: str, by_property: bool = False) -> DataFrame:
@@ -148,14 +151,14 @@ def expenses(spark: SparkSession, sf_dir: str, by_property: bool = False) -> Dat
     grouped = (
         lines.join(parts, "p_partkey")
         .join(_orders(spark, sf_dir, by_property), "o_orderkey")
-        .groupBy(*keys, "as_of_month", "item")
+        .groupBy(*keys, "month", "item")
         .agg(F.sum("cost").cast("decimal(24,4)").alias("cost"))
     )
     return _audit(
         grouped.select(
             *keys,
-            "as_of_month",
-            first_of_month(F.col("as_of_month")).alias("month"),
+            _month_text(),
+            "month",
             "item",
             F.round("cost", 2).cast("double").alias("actual"),
             F.when(F.col("item").isin("MEDIUM", "STANDARD"), "fixed")
@@ -280,7 +283,6 @@ def lease_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     head = (
         lease_months(spark, sf_dir)
-        .distinct()
         .select(
             "as_of_month",
             F.explode(
