@@ -48,7 +48,6 @@ def _pieces(k: str) -> dict[str, tuple[str, tuple[str, ...]]]:
     owner = "JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey" if k else ""
     who = "CAST(n_regionkey AS VARCHAR) AS property_id, " if k else ""
     using = "(property_id, as_of_month)" if k else "(as_of_month)"
-    part = "PARTITION BY property_id" if k else ""
     return {
         "ord": (f"""
             SELECT {who} o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS price,
@@ -132,9 +131,9 @@ def _pieces(k: str) -> dict[str, tuple[str, tuple[str, ...]]]:
                          {_pct("leased_sqft", "total_property_sqft")} AS occupancy_pct,
                          uncollected AS accounts_receivable, 0 AS fixed_expenses, 0 AS variable_expenses,
                          0 AS total_expenses, collected AS noi_proto, CAST(100 AS DOUBLE) AS noi_margin_pct
-                  FROM (SELECT l.*, CASE WHEN r.all_sqft IS NOT NULL THEN most END AS total_property_sqft,
+                  FROM (SELECT l.*, CASE WHEN r.all_sqft IS NOT NULL THEN {V.TOTAL_SQFT} END AS total_property_sqft,
                                r.all_sqft, r.not_own_sqft, r.vacant_sqft, r.own_use_sqft, r.revenue_sqft
-                        FROM (SELECT *, MAX(leased_sqft) OVER ({part}) AS most FROM ledger) l
+                        FROM ledger l
                         LEFT JOIN roster r USING {using}))""", ("ledger", "roster"))
             for name, area in (("prop", "all_sqft"), ("prop_x", "not_own_sqft"))
         },

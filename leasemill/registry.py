@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,17 +29,16 @@ PLACES = 6
 
 
 def present(df: DataFrame, places: int = PLACES) -> DataFrame:
-    def render(name: str, kind: T.DataType) -> Column:
-        column = F.col(f"`{name}`")
+    def render(name: str, kind: T.DataType) -> str:
         if isinstance(kind, (T.DecimalType, T.DoubleType)):
-            return F.round(column.cast("double"), places)
+            return f"round(cast(`{name}` AS double), {places}) AS `{name}`"
         if isinstance(kind, T.IntegralType):
-            return column.cast("bigint")
+            return f"cast(`{name}` AS bigint) AS `{name}`"
         if isinstance(kind, T.DateType):
-            return F.date_format(column, "yyyy-MM-dd")
-        return column
+            return f"date_format(`{name}`, 'yyyy-MM-dd') AS `{name}`"
+        return f"`{name}`"
 
-    return df.select(*[render(f.name, f.dataType).alias(f.name) for f in df.schema.fields])
+    return df.selectExpr(*[render(f.name, f.dataType) for f in df.schema.fields])
 
 
 class Portfolio:
@@ -85,13 +84,8 @@ class Portfolio:
     def expenses(self) -> DataFrame:
         return models.stage_expenses(self.raw_expenses, self.keys)
 
-    @cached_property
-    def total_sqft(self) -> Column:
-        """Largest area ever let, out of the month-grain ledger rows themselves."""
-        return F.max("leased_sqft").over(Window.partitionBy(*self.keys))
-
     def prop(self, exclude_own_use: bool = False, revenue_sqft: bool = False) -> DataFrame:
-        return models.prop_kpi(self.ledger, self.lease, self.total_sqft, exclude_own_use, self.keys, revenue_sqft)
+        return models.prop_kpi(self.ledger, self.lease, V.TOTAL_SQFT, exclude_own_use, self.keys, revenue_sqft)
 
     def building(self, exclude_own_use: bool = False, revenue_sqft: bool = False) -> DataFrame:
         return models.building_kpi(self.ledger, self.lease, exclude_own_use, self.keys, revenue_sqft)
@@ -479,7 +473,7 @@ def kpi_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KPI arithmetic and plausibility, per rule."""
     p = Portfolio(spark, sf_dir).stored()
     parts = [
-        quality.check_summary(p.prop(), "prop_kpi_monthly", quality.prop_kpi_rules(F.col("total_property_sqft")), ()),
+        quality.check_summary(p.prop(), "prop_kpi_monthly", quality.prop_kpi_rules(), ()),
         quality.check_summary(p.rent, "fact_rent_monthly", quality.rent_rules(), ()),
         quality.check_summary(p.raw_ledger, schemas.LEDGER_TABLE, quality.ledger_sanity_rules(), ()),
         quality.check_summary(p.raw_lease, schemas.LEASE_TABLE, quality.lease_sanity_rules(), ()),

@@ -20,22 +20,26 @@ def local_session(cpus: int = 8, app: str = "leasemill") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # Call-site capture on every Column call costs more than building the plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "leasemill-warehouse"))
         .getOrCreate()
     )
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the checkpoint location that every executor can reach.
 
     The session names the location in ``spark.checkpoint.dir``. Only a local session, where driver and
     executors are one process, may fall back to a temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folders.get(context.applicationId)
     if not base:
-        context = spark.sparkContext
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="leasemill-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="leasemill-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

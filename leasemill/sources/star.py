@@ -8,17 +8,37 @@ Passing ``by_property=True`` adds the customer's region as ``property_id``.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leasemill.functions import vocabulary as V
-from leasemill.functions.expressions import first_of_month, money, ratio
+from leasemill.functions.expressions import first_of_month, ratio
 
 PROPERTY = ["property_id"]
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A source table; its schema is read from the files once per application."""
+    path = f"{sf_dir}/{name}.parquet"
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _schemas:
+        _schemas[known] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[known]).parquet(path)
+
+
+def _to_cents(amount: Column) -> Column:
+    """Amounts with two decimals as whole cents: bigint sums are exact, fast and raise on overflow."""
+    return F.rint(amount * 100).cast("bigint")
+
+
+def _from_cents(total: Column, digits: int = 2) -> Column:
+    return total.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-digits))
 
 
 def _month_text() -> Column:
@@ -67,26 +87,26 @@ def ledger(spark: SparkSession, sf_dir: str, by_property: bool = False) -> DataF
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
         .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("let_sqft"))
     )
-    price = money(F.col("o_totalprice"))
+    price = _to_cents(F.col("o_totalprice"))
     per_month = (
         _orders(spark, sf_dir, by_property, "o_totalprice", "o_orderstatus")
         .join(let, "o_orderkey", "left")
         .groupBy(*keys, "month")
         .agg(
             F.sum(price).alias("base"),
-            F.coalesce(F.sum(F.when(F.col("o_orderstatus") != "O", price)), money(F.lit(0))).alias("paid"),
+            F.coalesce(F.sum(F.when(F.col("o_orderstatus") != "O", price)), F.lit(0).cast("bigint")).alias("paid"),
             F.coalesce(F.sum("let_sqft"), F.lit(0).cast("bigint")).alias("let_sqft"),
         )
     )
-    rent = F.col("base").cast("double")
+    rent = _from_cents(F.col("base")).cast("double")
     return _audit(
         per_month.select(
             *keys,
             _month_text(),
             "month",
             rent.alias("rent_base"),
-            F.col("paid").cast("double").alias("collected"),
-            (F.col("base") - F.col("paid")).cast("double").alias("uncollected"),
+            _from_cents(F.col("paid")).cast("double").alias("collected"),
+            _from_cents(F.col("base") - F.col("paid")).cast("double").alias("uncollected"),
             F.col("let_sqft").cast("double").alias("leased_sqft"),
             ratio(F.lit(12.0) * rent, F.col("let_sqft")).alias("price_per_sf_yr"),
         )
@@ -101,7 +121,7 @@ def lease(spark: SparkSession, sf_dir: str, by_property: bool = False) -> DataFr
         F.col("l_suppkey").alias("supplier"),
         F.when(F.col("l_linestatus") == "F", "A").otherwise("B").alias("building"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
-        money(F.col("l_extendedprice")).alias("price"),
+        _to_cents(F.col("l_extendedprice")).alias("price"),
     )
     suites = lines.join(_orders(spark, sf_dir, by_property, "o_custkey"), "o_orderkey")
     grouped = suites.groupBy(*keys, "month", "supplier", "building").agg(
@@ -109,7 +129,8 @@ def lease(spark: SparkSession, sf_dir: str, by_property: bool = False) -> DataFr
         F.sum("price").alias("rent"),
         F.max("o_custkey").alias("ck"),
     )
-    annual = F.col("rent") * 12
+    rent = _from_cents(F.col("rent"))
+    annual = _from_cents(F.col("rent") * 12)
     kind = F.col("ck") % 10
     return _audit(
         grouped.select(
@@ -122,7 +143,7 @@ def lease(spark: SparkSession, sf_dir: str, by_property: bool = False) -> DataFr
             .otherwise(F.concat(F.lit("Tenant "), F.col("ck").cast("string")))
             .alias("tenant"),
             F.col("area").cast("double").alias("sqft"),
-            F.col("rent").cast("double").alias("rent_monthly"),
+            rent.cast("double").alias("rent_monthly"),
             annual.cast("double").alias("rent_annual"),
             ratio(annual, F.col("area")).alias("rent_psf_yr"),
             (kind == 0).alias("is_vacant"),
@@ -145,14 +166,14 @@ def expenses(spark: SparkSession, sf_dir: str, by_property: bool = False) -> Dat
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
         F.col("l_partkey").alias("p_partkey"),
-        (money(F.col("l_extendedprice")) * F.col("l_tax").cast("decimal(4,2)")).alias("cost"),
+        (_to_cents(F.col("l_extendedprice")) * _to_cents(F.col("l_tax"))).alias("cost"),
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("item"))
     grouped = (
         lines.join(parts, "p_partkey")
         .join(_orders(spark, sf_dir, by_property), "o_orderkey")
         .groupBy(*keys, "month", "item")
-        .agg(F.sum("cost").cast("decimal(24,4)").alias("cost"))
+        .agg(F.sum("cost").alias("cost"))
     )
     return _audit(
         grouped.select(
@@ -160,7 +181,7 @@ def expenses(spark: SparkSession, sf_dir: str, by_property: bool = False) -> Dat
             _month_text(),
             "month",
             "item",
-            F.round("cost", 2).cast("double").alias("actual"),
+            F.round(_from_cents(F.col("cost"), 4), 2).cast("double").alias("actual"),
             F.when(F.col("item").isin("MEDIUM", "STANDARD"), "fixed")
             .when(F.col("item").isin("LARGE", "PROMO"), "variable")
             .otherwise("other")
