@@ -4,6 +4,9 @@ from __future__ import annotations
 
 CELLS = "file STRING, sheet STRING, sheet_no INT, row INT, col INT, value STRING"
 
+# What the binary file source delivers per workbook.
+FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
 RAW_LEDGER = (
     "as_of_month STRING, month DATE, rent_base DOUBLE, collected DOUBLE, uncollected DOUBLE, "
     "leased_sqft DOUBLE, price_per_sf_yr DOUBLE, _file_md5 STRING, _ingested_at STRING"

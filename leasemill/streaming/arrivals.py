@@ -120,6 +120,7 @@ def stream_workbooks(
     """Process landed workbook files, then stop. The cells of a batch are decoded once and kept for its steps."""
     source = (
         spark.readStream.format("binaryFile")
+        .schema(schemas.FILES)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.xls[xm]")
         .option("maxFilesPerTrigger", files_per_trigger)
