@@ -48,14 +48,24 @@ class Portfolio:
         self.spark, self.sf_dir, self.by_property = spark, sf_dir, by_property
         self.keys = star.PROPERTY if by_property else []
 
-    def stored(self) -> Portfolio:
-        """The same portfolio over written bronze tables: for queries that read them several times."""
+    def stored(self, *names: str) -> Portfolio:
+        """The same portfolio over written tables: for queries that read them several times.
+
+        Lines and orders are then joined once, whatever number of branches the query has.
+        """
         copy = Portfolio(self.spark, self.sf_dir, self.by_property)
-        for name in ("raw_ledger", "raw_lease", "raw_expenses"):
+        for name in names:
             copy.__dict__[name] = _stored(self.spark, getattr(self, name), name)
-        copy.__dict__["lease_months"] = copy.raw_lease.select("as_of_month")
+        if "raw_lease" in names and not self.by_property:
+            copy.__dict__["lease_months"] = copy.raw_lease.select("as_of_month")
         return copy
 
+    def stored_prop(self) -> DataFrame:
+        return _stored(self.spark, self.prop(), "prop")
+
+    def stored_building(self, revenue_sqft: bool = False) -> DataFrame:
+        return _stored(self.spark, self.building(revenue_sqft=revenue_sqft), "building")
+
     @cached_property
     def raw_ledger(self) -> DataFrame:
         return star.ledger(self.spark, self.sf_dir, self.by_property)
@@ -107,11 +117,11 @@ def _audit_free(df: DataFrame) -> DataFrame:
     return df.drop("_file_md5", "_ingested_at", "ingested_at")
 
 
-def _stored(spark: SparkSession, df: DataFrame, name: str, *partition: str) -> DataFrame:
+def _stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back as a stored table."""
     path = shared_folder(spark, name)
-    df.write.partitionBy(*partition).parquet(path)
-    return bronze.read_partitioned(spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _landed(spark: SparkSession, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -323,7 +333,7 @@ def incremental_new_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suites of building B re-sent with new rents for 1997; building A and other months stay."""
-    lease = _audit_free(Portfolio(spark, sf_dir).lease)
+    lease = _audit_free(Portfolio(spark, sf_dir).stored("raw_lease").lease)
     known = lease.where(F.col("as_of_month") < "1997-07")
     batch = lease.where(F.col("as_of_month").startswith("1997") & (F.col("building") == "B")).withColumn(
         "rent_monthly", F.col("rent_monthly") + X.money(F.lit(100))
@@ -341,7 +351,7 @@ def full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def late_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A month that arrives late is loaded because work follows the touched months."""
-    p = Portfolio(spark, sf_dir)
+    p = Portfolio(spark, sf_dir).stored("raw_ledger")
     loaded = p.ledger.where(F.col("as_of_month") != "1998-03")
     batch = p.ledger.where(F.col("as_of_month") == "1998-03")
     return _audit_free(incremental.load(batch, loaded, ["as_of_month", "month"], "touched"))
@@ -386,7 +396,7 @@ def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_snapshot_by_property(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Portfolio(spark, sf_dir, by_property=True)
+    p = Portfolio(spark, sf_dir, by_property=True).stored("raw_lease")
     return _audit_free(windows.latest(p.lease, keys=p.keys))
 
 
@@ -448,7 +458,7 @@ def quality_accepted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The declared tests of every model."""
-    p = Portfolio(spark, sf_dir).stored()
+    p = Portfolio(spark, sf_dir).stored("raw_ledger", "raw_lease", "raw_expenses")
     lease = p.lease
     prop = p.prop()
     return quality.model_tests(
@@ -471,7 +481,7 @@ def quality_model_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kpi_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KPI arithmetic and plausibility, per rule."""
-    p = Portfolio(spark, sf_dir).stored()
+    p = Portfolio(spark, sf_dir).stored("raw_ledger", "raw_lease")
     parts = [
         quality.check_summary(p.prop(), "prop_kpi_monthly", quality.prop_kpi_rules(), ()),
         quality.check_summary(p.rent, "fact_rent_monthly", quality.rent_rules(), ()),
@@ -486,7 +496,7 @@ def kpi_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reconcile_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze ledger against a KPI layer that lost a year and has one changed year."""
-    p = Portfolio(spark, sf_dir)
+    p = Portfolio(spark, sf_dir).stored("raw_ledger")
     year = F.substring("as_of_month", 1, 4)
     changed = (
         p.rent.where(year != "1996")
@@ -496,13 +506,13 @@ def reconcile_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Portfolio(spark, sf_dir)
+    p = Portfolio(spark, sf_dir).stored("raw_ledger")
     layers = {"bronze": p.raw_ledger, "staging": p.ledger, "mart": p.rent, "gold": p.prop()}
     return quality.layer_totals(layers, ["rent_base", "collected", "leased_sqft"])
 
 
 def freshness_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Portfolio(spark, sf_dir)
+    p = Portfolio(spark, sf_dir).stored("raw_ledger", "raw_lease")
     return quality.freshness(
         {"prop_kpi_monthly": p.prop(), "building_kpi_monthly": p.building(), "dim_suite": models.dim_suite(p.lease)}
     )
@@ -539,7 +549,7 @@ def forecast_by_property(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_and_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The KPI rows are stored first: the history part and the fit both read them."""
-    kpi = _stored(spark, Portfolio(spark, sf_dir).prop(), "kpi")
+    kpi = Portfolio(spark, sf_dir).stored_prop()
     return dashboard.history_and_forecast(kpi, fc.forecast(fc.long_series(kpi)))
 
 
@@ -607,9 +617,22 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def expense_against_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twice the actual as budget, none for the category 'other'."""
+    expense = _stored(spark, Portfolio(spark, sf_dir).expense, "expense")
+    budget = expense.where("expense_category <> 'other'").select(
+        "as_of_month", "expense_category", (F.col("total_actual") * 2).alias("total_budget")
+    )
+    return dashboard.expense_against_budget(expense, budget)
+
+
 # --- the list ----------------------------------------------------------------------------------------------
 
 
+def _with(p: Portfolio, build: Callable[[Portfolio], DataFrame]) -> DataFrame:
+    return build(p)
+
+
 def _of(build: Callable[[Portfolio], DataFrame], by_property: bool = False) -> Query:
     return lambda spark, sf_dir: build(Portfolio(spark, sf_dir, by_property))
 
@@ -681,28 +704,35 @@ _QUERIES: dict[str, Query] = {
     "kpi_windows": _of(lambda p: windows.trailing_kpis(p.prop())),
     "kpi_windows_by_property": _of(lambda p: windows.trailing_kpis(p.prop(), p.keys), by_property=True),
     "kpi_windows_literal": _of(lambda p: windows.pair_counted_kpis(p.prop())),
-    "kpi_last_3m": _of(lambda p: dashboard.property_series(p.prop(), "3m")),
-    "kpi_last_6m": _of(lambda p: dashboard.property_series(p.prop(), "6m")),
-    "kpi_last_9m": _of(lambda p: dashboard.property_series(p.prop(), "9m")),
-    "kpi_last_12m": _of(lambda p: dashboard.property_series(p.prop(), "12m", exclude_own_use=True)),
-    "kpi_ytd": _of(lambda p: dashboard.property_series(p.prop(), "ytd")),
+    "kpi_last_3m": _of(lambda p: dashboard.property_series(p.stored_prop(), "3m")),
+    "kpi_last_6m": _of(lambda p: dashboard.property_series(p.stored_prop(), "6m")),
+    "kpi_last_9m": _of(lambda p: dashboard.property_series(p.stored_prop(), "9m")),
+    "kpi_last_12m": _of(lambda p: dashboard.property_series(p.stored_prop(), "12m", exclude_own_use=True)),
+    "kpi_ytd": _of(lambda p: dashboard.property_series(p.stored_prop(), "ytd")),
     "kpi_ytd_by_property": _of(
-        lambda p: dashboard.property_series(p.prop(), "ytd", keys=p.keys), by_property=True
+        lambda p: dashboard.property_series(p.stored_prop(), "ytd", keys=p.keys), by_property=True
     ),
     "kpi_all_months": _of(lambda p: dashboard.property_series(p.prop())),
     "kpi_since": _of(lambda p: reports.recent_occupancy(p.prop(), "2001-03-01")),
     # reports
     "r01_property_overview": _of(lambda p: reports.property_overview(p.prop())),
     "r02_revenue_trends": _of(lambda p: reports.revenue_trends(p.rent)),
-    "r03_building_comparison": _of(lambda p: reports.building_comparison(p.building(revenue_sqft=True))),
-    "r04_vacant_suites": _of(lambda p: reports.vacant_suites(p.lease, p.lease_months)),
+    "r03_building_comparison": _of(lambda p: reports.building_comparison(p.stored_building(revenue_sqft=True))),
+    "r04_vacant_suites": _of(lambda p: _with(p.stored("raw_lease"), lambda s: reports.vacant_suites(s.lease))),
     "r04b_all_suites": _of(lambda p: reports.all_suites(models.dim_suite(p.lease))),
     "r05_tenant_roster": _of(lambda p: reports.tenant_roster(models.dim_tenant(p.lease))),
     "r06_occupancy_history": _of(lambda p: reports.occupancy_history(p.prop())),
     "r07_revenue_by_building": _of(
-        lambda p: reports.revenue_by_building(p.rent, p.prop(revenue_sqft=True), p.building(revenue_sqft=True))
+        lambda p: _with(
+            p.stored("raw_ledger", "raw_lease"),
+            lambda s: reports.revenue_by_building(
+                s.rent, s.prop(revenue_sqft=True), s.stored_building(revenue_sqft=True)
+            ),
+        )
+    ),
+    "r08_kpi_summary": _of(
+        lambda p: _with(p.stored("raw_ledger", "raw_lease"), lambda s: reports.kpi_summary(s.prop(), s.building()))
     ),
-    "r08_kpi_summary": _of(lambda p: reports.kpi_summary(p.prop(), p.building())),
     "r09_collection_analysis": _of(lambda p: reports.collection_analysis(p.rent)),
     "r10a_high_value": _of(lambda p: reports.high_value_suites(models.dim_suite(p.lease))),
     "r10b_size_by_building": _of(lambda p: reports.size_by_building(models.dim_suite(p.lease))),
@@ -715,26 +745,21 @@ _QUERIES: dict[str, Query] = {
             rent=p.rent,
         )
     ),
-    "latest_kpis": _of(lambda p: reports.latest_kpis(p.prop())),
-    "latest_buildings": _of(lambda p: reports.latest_buildings(p.building())),
+    "latest_kpis": _of(lambda p: reports.latest_kpis(p.stored_prop())),
+    "latest_buildings": _of(lambda p: reports.latest_buildings(p.stored_building())),
     "tenant_suite_count": _of(lambda p: reports.tenant_suite_count(models.dim_tenant(p.lease), p.lease)),
     # dashboard data sets
-    "building_series": _of(lambda p: dashboard.building_series(p.building(), "6m")),
-    "building_latest": _of(lambda p: dashboard.building_latest(p.building())),
+    "building_series": _of(lambda p: dashboard.building_series(p.stored_building(), "6m")),
+    "building_latest": _of(lambda p: dashboard.building_latest(p.stored_building())),
     "building_last_rows": _of(lambda p: dashboard.building_last_rows(p.building())),
     "window_listing": _of(lambda p: dashboard.window_listing(windows.trailing_kpis(p.prop()))),
     "expense_stack": _of(lambda p: dashboard.expense_stack(p.expense)),
-    "expense_against_budget": _of(
-        lambda p: dashboard.expense_against_budget(
-            p.expense,
-            p.expense.where("expense_category <> 'other'").select(
-                "as_of_month", "expense_category", (F.col("total_actual") * 2).alias("total_budget")
-            ),
-        )
-    ),
+    "expense_against_budget": expense_against_budget,
     "suite_status": _of(lambda p: dashboard.suite_details(p.lease, p.lease_months)),
-    "summary_cards": _of(lambda p: dashboard.summary_cards(p.prop(), p.lease, months=p.lease_months)),
-    "portfolio_totals": _of(lambda p: dashboard.portfolio_totals(p.building(), p.rent)),
+    "summary_cards": _of(
+        lambda p: _with(p.stored("raw_lease"), lambda s: dashboard.summary_cards(s.prop(), s.lease))
+    ),
+    "portfolio_totals": _of(lambda p: dashboard.portfolio_totals(p.stored_building(), p.rent)),
     "last_12_points": _of(lambda p: dashboard.last_points(p.prop())),
     "vs_target": _of(lambda p: dashboard.against_target(p.prop())),
     # forecast
@@ -745,7 +770,7 @@ _QUERIES: dict[str, Query] = {
     "forecast_horizons": _of(lambda p: fc.at_horizons(fc.forecast(p.series))),
     "forecast_wide": forecast_wide,
     "forecast_by_property": forecast_by_property,
-    "forecast_backtest": _of(lambda p: fc.backtest(p.series)),
+    "forecast_backtest": _of(lambda p: fc.backtest(fc.long_series(p.stored_prop()))),
     "history_and_forecast": history_and_forecast,
     # sinks, streaming
     "csv_export": csv_export,
