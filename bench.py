@@ -16,26 +16,18 @@ from leasemill import registry
 from leasemill.session import local_session
 
 HEADLINE = [
-    "staging_ledger",
     "staging_lease",
-    "staging_expenses",
     "dim_suite",
-    "dim_tenant",
-    "fact_rent",
     "fact_expense",
     "prop_kpi",
     "building_kpi",
     "building_kpi_by_property",
     "noi_monthly",
     "kpi_windows",
-    "kpi_windows_literal",
     "scd2_lease",
     "scd2_by_property",
-    "latest_snapshot",
     "upsert_by_key",
     "quality_summary",
-    "quality_failures",
-    "r01_property_overview",
     "r04_vacant_suites",
     "r07_revenue_by_building",
     "r08_kpi_summary",

@@ -115,7 +115,11 @@ def cents(value: Column) -> Column:
 
     A plain cast rounds the printed digits instead and differs on values such as 33701.534999999996.
     """
-    return (F.round(value * 100).cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
+    hundredths = F.abs(value) * 100
+    whole = F.floor(hundredths)
+    rounded = F.when(hundredths - whole >= 0.5, whole + 1).otherwise(whole)
+    signed = F.when(value < 0, -rounded).otherwise(rounded)
+    return (signed.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
 
 
 def md5_key(value: Column) -> Column:
