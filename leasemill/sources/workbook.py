@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leasemill.functions.expressions import safe_sheet_name
 from leasemill.schemas import CELLS
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -115,7 +116,10 @@ def _address(reference: str) -> tuple[int, int]:
 
 
 def sheet_rows(cells: DataFrame) -> DataFrame:
-    """Non-empty sheets as rows of (file, sheet_safe, row, values by column number)."""
-    return cells.groupBy("file", F.translate("sheet", " /", "__").alias("sheet_safe"), "row").agg(
+    """Non-empty sheets as rows of (file, sheet_safe, row, values by column number).
+
+    A group is one worksheet row, at most 16,384 cells.
+    """
+    return cells.groupBy("file", safe_sheet_name(F.col("sheet")).alias("sheet_safe"), "row").agg(
         F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("cells")
     )
