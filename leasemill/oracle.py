@@ -541,6 +541,9 @@ def _forecasts() -> dict[str, str]:
         "forecast_wide": _sql(f"""
             SELECT strftime(forecast_month, '%Y-%m') AS forecast_month, {_i('horizon')}, {wide}
             FROM fc GROUP BY fc.forecast_month, horizon""", "fc"),
+        "forecast_sink": _sql(f"""
+            SELECT strftime(forecast_month, '%Y-%m') AS forecast_month, {_i('horizon')}, {wide}
+            FROM fc GROUP BY fc.forecast_month, horizon""", "fc"),
         "forecast_by_property": _sql(f"SELECT property_id, {_FC} FROM fc", "fc", by_property=True),
         "forecast_backtest": _sql(f"""
             SELECT metric, {_i('COUNT(*)', 'points')}, {_n('AVG(abs(p50 - y))', 'mae', 2)},
@@ -604,6 +607,9 @@ def _ingestion() -> dict[str, str]:
         "partition_scan": _sql(f"""
             SELECT {_cols('as_of_month', 'rent_base collected uncollected leased_sqft price_per_sf_yr', d='month')}
             FROM raw_ledger WHERE as_of_month >= '2000-01'""", "raw_ledger"),
+        "bronze_view": _sql(f"""
+            SELECT as_of_month, expense_category, {_i('COUNT(*)', 'items')}, {_n('MAX(actual)', 'largest')}
+            FROM raw_expenses GROUP BY as_of_month, expense_category""", "raw_expenses"),
         "partition_replace": _sql(f"""
             SELECT as_of_month, {_n('rent_base')},
                    {_n("CASE WHEN as_of_month LIKE '1996%' THEN rent_base ELSE collected END", 'collected')}
@@ -782,6 +788,17 @@ def _quality() -> dict[str, str]:
             UNION ALL SELECT 'raw_dashboard_monthly', as_of_month, 0, TRUE FROM raw_ledger
             UNION ALL SELECT DISTINCT 'raw_expenses_monthly', as_of_month, 0, TRUE FROM raw_expenses""",
             "raw_lease", "raw_ledger", "raw_expenses"),
+        "quarantine_report": _sql(" UNION ALL ".join(f"""
+            SELECT 'raw_lease_rate_snapshot' AS table_name, as_of_month, '{column}' AS "column", '{check}' AS "check",
+                   {_i('COUNT(*)', 'cases')}
+            FROM {flawed} WHERE {broken} GROUP BY as_of_month""" for column, check, broken, _ in cases), "raw_lease"),
+        "check_log": _sql(f"""
+            SELECT md5('run|' || table_name || '|' || as_of_month || '|' || "column" || '|' || "check") AS check_id,
+                   'run' AS run_id, table_name, "check" AS check_type, passed, failure_count,
+                   '{{"as_of_month":"' || as_of_month || '","column":"' || "column" || '","severity":"' || severity
+                       || '","row_count":' || row_count || '}}' AS details
+            FROM ({" UNION ALL ".join(counted("raw_lease_rate_snapshot", c, k, b, flawed) for c, k, b in summary)})""",
+            "raw_lease"),
         "quality_type_coercion": " UNION ALL ".join(
             counted("orders", "amount", check, broken,
                     "(SELECT strftime(o_orderdate, '%Y-%m') AS as_of_month, o_orderkey FROM orders)")

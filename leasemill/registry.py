@@ -7,6 +7,7 @@ integers as bigint, dates as text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,6 +142,17 @@ def partition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _audit_free(stored.where(F.col("as_of_month") >= "2000-01"))
 
 
+def bronze_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored expenses as a named view over all month folders, read with SQL."""
+    root = shared_folder(spark, "bronze")
+    sinks.write_bronze(Portfolio(spark, sf_dir).raw_expenses, root, schemas.EXPENSE_TABLE)
+    bronze.register_views(spark, {"stored_expenses": bronze.table_path(root, schemas.EXPENSE_TABLE)})
+    return spark.sql(
+        "SELECT as_of_month, expense_category, count(*) AS items, max(actual) AS largest "
+        "FROM stored_expenses GROUP BY as_of_month, expense_category"
+    )
+
+
 def partition_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A re-sent year replaces its months and leaves the others alone."""
     root = shared_folder(spark, "bronze")
@@ -373,7 +385,7 @@ def scd2_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scd2_by_property(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Portfolio(spark, sf_dir, by_property=True)
+    p = Portfolio(spark, sf_dir, by_property=True).stored("raw_lease")
     versions = history.versions(_audit_free(p.lease), keys=p.keys, one_row_per_month=True)
     return versions.select(
         "property_id", "suite_id", "version", "valid_from", "valid_to", "is_current", "tenant", "rent_monthly"
@@ -518,6 +530,22 @@ def freshness_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quarantine_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failing cases written by table and month, then counted from the stored report."""
+    root = shared_folder(spark, "quarantine")
+    sinks.write_failures(quality_failures(spark, sf_dir), root)
+    stored = bronze.read_partitioned(spark, f"{root}/_errors")
+    return stored.groupBy("table_name", "as_of_month", "column", "check").agg(F.count(F.lit(1)).alias("cases"))
+
+
+def check_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check-log rows as appended to the log table."""
+    summary = quality_summary(spark, sf_dir)
+    path = shared_folder(spark, "checks")
+    sinks.append_log(sinks.check_entries(summary, "run", datetime(2025, 1, 1)), path)
+    return spark.read.schema(schemas.QUALITY_CHECKS).parquet(path).drop("check_timestamp")
+
+
 def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records per category and flag counts per month, as the ingester logs them."""
     p = Portfolio(spark, sf_dir)
@@ -574,6 +602,14 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(p.expense.schema).option("header", True).csv(f"{root}/fact_expense_monthly.csv")
 
 
+def forecast_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide forecast written as Parquet and CSV, read back from the CSV."""
+    root = shared_folder(spark, "forecast")
+    wide = fc.wide(fc.forecast(Portfolio(spark, sf_dir).series))
+    sinks.write_forecast(wide, root)
+    return spark.read.schema(wide.schema).option("header", True).csv(f"{root}/prop_kpi_forecast.csv")
+
+
 def lake_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze copied to a lake root and verified there per month."""
     p = Portfolio(spark, sf_dir)
@@ -638,11 +674,12 @@ def _of(build: Callable[[Portfolio], DataFrame], by_property: bool = False) -> Q
 
 
 _SMALL_PLACES = {"forecast_wide": 2, "forecast_long": 2, "forecast_short": 2, "forecast_by_property": 2,
-                 "forecast_horizons": 2, "forecast_backtest": 2, "history_and_forecast": 2}
+                 "forecast_horizons": 2, "forecast_sink": 2, "forecast_backtest": 2, "history_and_forecast": 2}
 
 _QUERIES: dict[str, Query] = {
     # sources, cleaning
     "partition_scan": partition_scan,
+    "bronze_view": bronze_view,
     "partition_replace": partition_replace,
     "staging_ledger": _of(lambda p: _audit_free(p.ledger)),
     "staging_expenses": _of(lambda p: _audit_free(p.expenses)),
@@ -675,6 +712,8 @@ _QUERIES: dict[str, Query] = {
     "quality_failures": quality_failures,
     "quality_summary": quality_summary,
     "quality_bronze_verdicts": quality_bronze_verdicts,
+    "quarantine_report": quarantine_report,
+    "check_log": check_log,
     "quality_type_coercion": quality_type_coercion,
     "quality_unique": quality_unique,
     "quality_accepted_values": quality_accepted_values,
@@ -775,6 +814,7 @@ _QUERIES: dict[str, Query] = {
     # sinks, streaming
     "csv_export": csv_export,
     "csv_round_trip": csv_round_trip,
+    "forecast_sink": forecast_sink,
     "lake_copy": lake_copy,
     "stream_ingest_equals_batch": stream_ingest_equals_batch,
     "stream_replay": stream_replay,
