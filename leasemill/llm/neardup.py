@@ -224,7 +224,7 @@ def links_between(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -
 
     met = groups.select("node").distinct()
     ids = nodes.join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts_met = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    texts_met = docs.select("doc_id", "text").alias("d").join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, n_shingles long, shingles binary"
     sets = texts_met.mapInArrow(_set_rows(width, "shingles"), schema).where("node is not null")
     sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")

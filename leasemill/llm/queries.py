@@ -4,25 +4,114 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leasemill.llm import neardup
+from leasemill.llm import chat, decontaminate, exactdedup, langid, licenses, neardup, packing, pii, quality, toxicity
 from leasemill.llm.store import shipped
+from leasemill.llm.training import held_out
+
+#: The tests' and queries' key. A deployment passes its own.
+PII_KEY = b"leasemill documents"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    docs = _table(spark, sf_dir, "documents")
+    return packing.packed(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, size=1024)
+
+
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", licenses.scan(docs).alias("f")).select("doc_id", "f.*")
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.score(docs, model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    marked = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_trees(chat.from_turns(given.union(marked))))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), langid.identify(docs, langid.train(docs)).alias("f"))
+    return found.select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), "f.score", "f.ambiguous")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", pii.pseudonymise(docs, PII_KEY).alias("f"))
+    return found.select("doc_id", "f.text", F.size("f.found").cast("long").alias("n_found"), "f.found")
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality.score(docs, model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op5_minhash_near_dedup": op5_minhash_near_dedup,
-    }
+    return {f.__name__: f for f in (
+        op1_best_fit_packing, op2_license_scans, op3_benchmark_decontamination, op4_toxicity, op5_minhash_near_dedup, op6_chat_formatting,
+        op7_language_id, op8_pii, op9_exact_dedup, op10_quality_classifier)}
+
+
+_WORDS = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP3_SQL = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
+item AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS.format('text')} AS w FROM benchmark),
+wins AS (
+  SELECT item_id, least(len(w), 10) AS n, unnest(list_transform(range(greatest(len(w) - 9, 1)), lambda i: array_to_string(w[i + 1 : i + 10], ' '))) AS win
+  FROM item WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM wins),
+runs AS (
+  SELECT r, n, unnest(range(len(w) - n + 1)) AS i, unnest(list_transform(range(len(w) - n + 1), lambda i: array_to_string(w[i + 1 : i + n], ' '))) AS win
+  FROM doc, sizes WHERE len(w) >= n),
+hits AS (
+  SELECT DISTINCT r, i, n, item_id FROM runs JOIN wins USING (n, win)),
+places AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN places USING (r) LEFT JOIN items USING (r)
+"""
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
+  sha256(translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, max(points) AS most, count(*) AS group_size FROM d GROUP BY text_sha256),
+k AS (SELECT text_sha256, min(doc_id) AS keep_id FROM d JOIN g USING (text_sha256) WHERE points = most GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND points = most AS kept, text_sha256
+FROM d JOIN g USING (text_sha256) JOIN k USING (text_sha256)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_benchmark_decontamination": OP3_SQL, "op9_exact_dedup": OP9_SQL}
