@@ -27,7 +27,12 @@ class Grams:
     own: np.ndarray
 
     def buckets(self, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """The hash buckets of all n-grams of one length and their rows."""
+        """The hash buckets of all n-grams of one length, the first ``bits`` of their hashes, and their rows."""
+        h, row = self.hashes(n)
+        return h >> np.uint32(32 - bits), row
+
+    def hashes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """32-bit hashes of all n-grams of one length and their rows."""
         count = len(self.codes) - n + 1
         if count <= 0:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -40,7 +45,7 @@ class Grams:
         h *= np.uint32(0xC2B2AE35)
         at = np.arange(count)
         valid = (at + n <= self.ends[:count]) & (at < self.own[:count])
-        return h[valid] >> np.uint32(32 - bits), self.row[:count][valid]
+        return h[valid], self.row[:count][valid]
 
 
 def letters_only(text: str) -> str:

@@ -1,17 +1,18 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios, trained on labelled text.
 
-A feature says whether a hashed n-gram of 3 to 6 lower-cased characters, blanks included, occurs in the text. The log
+A feature says whether an n-gram of 3 to 10 lower-cased characters, blanks included, occurs in the text. The log
 ratio of its share in toxic and in other texts scales it; a logistic model is fitted on the scaled features.
-The ``FEATURES`` n-grams whose ratio stands out most against its own uncertainty take part.
+The ``FEATURES`` n-grams whose ratio stands out most against its own uncertainty take part. They are found in two rounds of counting over
+the whole sample: by the first ``BITS`` bits of their 32-bit hashes, then by whole hashes in the buckets that stand out.
 
-Counts are taken by the executors over the whole sample; the driver sees the chosen n-grams and one bit per sampled text
-and feature. The sample is ``SAMPLE`` labelled rows at most.
+Counts are taken by the executors; the driver sees the chosen n-grams and one bit per sampled text and feature. The
+sample is ``SAMPLE`` labelled rows at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,94 +22,132 @@ from pyspark.sql import functions as F
 from leasemill.llm import ngrams
 from leasemill.llm.training import fit_logistic, labelled, sigmoid
 
-ORDERS, BITS = (3, 4, 5, 6), 18
-SAMPLE, FEATURES, SMOOTH, PENALTY = 16_000, 2048, 0.5, 1e-3
+ORDERS, BITS = (3, 4, 5, 6, 8, 10), 20
+SAMPLE, BUCKETS, FEATURES, SMOOTH, PENALTY, ROUNDS = 16_000, 4096, 1024, 0.5, 1e-3, 200
 THRESHOLD = 0.3
+_SHIFT = np.uint32(32 - BITS)
+
+
+class Chosen:
+    """A sorted set of n-gram hashes, with a bit table in front of it."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes.astype(np.uint32))
+        self.table = np.zeros(1 << BITS, bool)
+        self.table[self.hashes >> _SHIFT] = True
+
+    def places(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (row, place in ``hashes``) of the set's n-grams in the texts."""
+        found = [np.zeros(0, np.int64)]
+        n = len(self.hashes)
+        for block in ngrams.blocks(column, max(ORDERS)) if n else ():
+            for order in ORDERS:
+                h, row = block.hashes(order)
+                near = self.table[h >> _SHIFT]
+                h, row = h[near], row[near]
+                at = np.minimum(np.searchsorted(self.hashes, h), n - 1)
+                hit = self.hashes[at] == h
+                found.append(np.unique(row[hit] * n + at[hit]))
+        keys = np.unique(np.concatenate(found))
+        return keys // max(n, 1), keys % max(n, 1)
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # by bucket, 0 for those without a part
     intercept: float
+    chosen: Chosen = field(default_factory=lambda: Chosen(np.zeros(0)))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def score(self, column: pa.Array) -> np.ndarray:
-        found = [np.zeros(0, np.int64)]
-        part = self.weights != 0
-        for block in ngrams.blocks(column, max(ORDERS)):
-            for n in ORDERS:
-                bucket, row = block.buckets(n, BITS)
-                hit = part[bucket]
-                found.append(np.unique((row[hit] << BITS) | bucket[hit]))
-        # A bucket counts once in a text, whichever of its n-grams and parts it comes from.
-        keys = np.unique(np.concatenate(found))
-        sums = np.bincount(keys >> BITS, self.weights[keys & ((1 << BITS) - 1)], len(column))
-        return sigmoid(sums + self.intercept)
+        row, at = self.chosen.places(column)
+        return sigmoid(np.bincount(row, self.weights[at], len(column)) + self.intercept)
 
 
-def _present(column: pa.Array) -> np.ndarray:
-    """Distinct (row, bucket) pairs of a short column."""
-    found = [np.zeros(0, np.int64)]
-    for block in ngrams.blocks(column, max(ORDERS)):
-        for n in ORDERS:
-            bucket, row = block.buckets(n, BITS)
-            found.append(np.unique((row << BITS) | bucket))
-    return np.unique(np.concatenate(found))
+def _text_hashes(column: pa.Array, i: int) -> Iterator[np.ndarray]:
+    for block in ngrams.blocks(column.slice(i, 1), max(ORDERS)):
+        for order in ORDERS:
+            yield block.hashes(order)[0]
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, 1 << BITS), np.int64)
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of either label that have an n-gram of a bucket."""
+    counts, there = np.zeros((2, 1 << BITS), np.int64), np.zeros(1 << BITS, bool)
     for batch in batches:
-        label = batch.column("label").to_numpy().astype(np.int64)
-        for at in range(0, len(batch), 64):
-            keys = _present(batch.column("text").slice(at, 64))
-            for y in (0, 1):
-                counts[y] += np.bincount((keys & ((1 << BITS) - 1))[label[at : at + 64][keys >> BITS] == y], minlength=1 << BITS)
+        column = batch.column("text")
+        for i, label in enumerate(batch.column("label").to_pylist()):
+            for h in _text_hashes(column, i):
+                there[h >> _SHIFT] = True
+            at = np.flatnonzero(there)
+            counts[label, at] += 1
+            there[at] = False
     seen = np.flatnonzero(counts.sum(axis=0))
-    yield pa.RecordBatch.from_pydict({"bucket": seen, "n0": counts[0, seen], "n1": counts[1, seen]})
+    yield pa.RecordBatch.from_pydict({"gram": seen, "n0": counts[0, seen], "n1": counts[1, seen]})
+
+
+def _gram_counts(buckets: np.ndarray):
+    """Texts of either label that have an n-gram, for the n-grams of some buckets."""
+    table = np.zeros(1 << BITS, bool)
+    table[buckets] = True
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("text")
+            grams, labels = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+            for i, label in enumerate(batch.column("label").to_pylist()):
+                own = np.unique(np.concatenate([np.zeros(0, np.uint32), *(h[table[h >> _SHIFT]] for h in _text_hashes(column, i))]))
+                grams.append(own)
+                labels.append(np.full(len(own), label))
+            gram, back = np.unique(np.concatenate(grams), return_inverse=True)
+            label = np.concatenate(labels)
+            n1 = np.bincount(back, label, len(gram)).astype(np.int64)
+            n0 = np.bincount(back, 1 - label, len(gram)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"gram": gram.astype(np.int64), "n0": n0, "n1": n1})
 
-def _rows_of(buckets: np.ndarray):
-    place = np.full(1 << BITS, -1)
-    place[buckets] = np.arange(len(buckets))
+    return rows
 
+
+def _rows_of(chosen: Chosen):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
-                keys = _present(part.column("text"))
-                to = place[keys & ((1 << BITS) - 1)]
-                ones = np.zeros((len(part), len(buckets)), bool)
-                ones[(keys >> BITS)[to >= 0], to[to >= 0]] = True
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                ones = np.zeros((len(part), len(chosen.hashes)), bool)
+                ones[chosen.places(part.column("text"))] = True
                 packed = [x.tobytes() for x in np.packbits(ones, axis=1)]
-                yield pa.RecordBatch.from_pydict({"label": part.column("label").cast(pa.int32()), "ones": pa.array(packed, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"label": part.column("label"), "ones": pa.array(packed, pa.binary())})
 
     return rows
 
 
+def _outstanding(counts: DataFrame, n0: int, n1: int, limit: int) -> list:
+    """(gram, ratio) of those whose log ratio is largest against its standard deviation."""
+    counts = counts.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    p1, p0 = F.col("n1") + SMOOTH, F.col("n0") + SMOOTH
+    ratio = F.log(p1 / (n1 + 2 * SMOOTH)) - F.log(p0 / (n0 + 2 * SMOOTH))
+    z = F.abs(ratio) / F.sqrt(1 / p1 + 1 / p0)
+    return counts.select("gram", ratio.alias("ratio"), z.alias("z")).orderBy(F.desc("z"), "gram").limit(limit).collect()
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from ``labels(doc_id, toxic)`` of rows that are not held out. Without labels of both kinds the score is their share, or 0."""
-    texts = labelled(docs, labels, "toxic", sample).withColumn("label", F.col("label").cast("int"))
+    """Learns from ``labels(doc_id, toxic)`` of rows that are not held out. With labels of one kind only, or none, the score is near 1 or 0 for all."""
+    texts = labelled(docs, labels, "toxic", sample).withColumn("label", (F.col("label") > 0).cast("int"))
     sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
-        return Model(np.zeros(1 << BITS, np.float32), 20.0 if n1 else -20.0)
-    counts = texts.mapInArrow(_counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    p1, p0 = F.col("n1") + SMOOTH, F.col("n0") + SMOOTH
-    ratio = F.log(p1 / (n1 + 2 * SMOOTH)) - F.log(p0 / (n0 + 2 * SMOOTH))
-    stands_out = F.abs(ratio) / F.sqrt(1 / p1 + 1 / p0)
-    chosen = counts.select("bucket", ratio.alias("ratio"), stands_out.alias("z")).orderBy(F.desc("z"), "bucket").limit(FEATURES).collect()
-    if not chosen:
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log(n1 / n0)))
-    buckets = np.array([r["bucket"] for r in chosen])
-    ratios = np.array([r["ratio"] for r in chosen], np.float32)
-    rows = texts.mapInArrow(_rows_of(buckets), "label int, ones binary").collect()
+        return Model(20.0 if n1 else -20.0)
+    kind = "gram long, n0 long, n1 long"
+    buckets = _outstanding(texts.mapInArrow(_bucket_counts, kind), n0, n1, BUCKETS)
+    counts = texts.mapInArrow(_gram_counts(np.array([r["gram"] for r in buckets], np.int64)), kind)
+    grams = sorted((r["gram"], r["ratio"]) for r in _outstanding(counts, n0, n1, FEATURES))
+    if not grams:
+        return Model(float(np.log(n1 / n0)))
+    chosen = Chosen(np.array([g for g, _ in grams], np.int64))
+    ratios = np.array([r for _, r in grams], np.float32)
+    rows = texts.mapInArrow(_rows_of(chosen), "label int, ones binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["ones"])))
-    ones = np.unpackbits(np.frombuffer(b"".join(bytes(r["ones"]) for r in rows), np.uint8).reshape(len(rows), -1), axis=1, count=len(buckets))
-    scaled = (ones * ratios).astype(np.float16)
-    w, b = fit_logistic(scaled, np.array([r["label"] for r in rows]), PENALTY)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[buckets] = w[:, 0] * ratios
-    return Model(weights, float(b[0]))
+    ones = np.unpackbits(np.frombuffer(b"".join(bytes(r["ones"]) for r in rows), np.uint8).reshape(len(rows), -1), axis=1, count=len(grams))
+    w, b = fit_logistic((ones * ratios).astype(np.float16), np.array([r["label"] for r in rows]), PENALTY, ROUNDS)
+    return Model(float(b[0]), chosen, (w[:, 0] * ratios).astype(np.float64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
