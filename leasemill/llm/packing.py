@@ -29,10 +29,10 @@ from tokenizers import Tokenizer
 from leasemill.llm.store import stored
 
 END_ID = 2
-#: Chunks whose ids a worker remembers: about 100 MB.
-REMEMBERED = 500_000
+#: Chunks whose ids a worker remembers: about 40 MB.
+REMEMBERED = 150_000
 #: Characters of text that are tokenised at a time.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 
 _CUT = re.compile(r"(?= \S)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")

@@ -18,12 +18,21 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows in a batch for Python, in place of Spark's 10,000: texts are long, and a task holds several copies of a batch.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def shipped(spark: SparkSession) -> SparkSession:
-    """The session, with this package sent to its executors once, for clusters where it isn't installed."""
+    """The session, ready for the operators.
+
+    The package is sent to the executors once, for clusters where it isn't installed, and batches are made smaller where the
+    session has not set their size itself.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
         target = Path(tempfile.mkdtemp(prefix="leasemill-")) / "leasemill_package.zip"

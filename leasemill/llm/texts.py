@@ -1,7 +1,7 @@
 """Vectorised views of Arrow text columns: words with 64-bit hashes, shingles, code points.
 
-Everything works on a block of whole texts at a time. Blocks hold about ``BLOCK_BYTES`` of text, or one text where a
-single one is longer, so memory follows the longest text and not the batch. Null texts are empty.
+Everything works on a block of whole texts at a time. Blocks hold about ``BLOCK_BYTES`` of text and ``BLOCK_TEXTS`` texts at most, or one
+text where a single one is longer, so memory follows the longest text and not the batch. Null texts are empty.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+BLOCK_TEXTS = 2048
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -86,6 +87,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
+        to = min(to, at + BLOCK_TEXTS)
         yield Block(at, data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
         at = to
 
