@@ -36,6 +36,19 @@ HEADLINE = [
     "forecast_by_property",
     "numeric_coerce",
     "landing_path_parse",
+    "staging_ledger",
+    "staging_expenses",
+    "dim_tenant",
+    "fact_rent",
+    "kpi_windows_literal",
+    "latest_snapshot",
+    "quality_failures",
+    "r01_property_overview",
+    "grid_ledger",
+    "grid_lease",
+    "as_of_month_detect",
+    "quality_model_tests",
+    "stream_ingest_equals_batch",
 ]
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from leasemill import schemas
 from leasemill.functions import vocabulary as V
-from leasemill.functions.expressions import percentage
+from leasemill.functions.expressions import is_own_use, percentage
 
 Keys = Sequence[str]
 
@@ -138,7 +138,8 @@ def check_summary(df: DataFrame, table: str, rules: Sequence[Rule], by: Keys = (
 def partition_verdicts(summaries: DataFrame) -> DataFrame:
     """Pass or fail per table and partition; only errors fail a partition, warnings do not."""
     hard = (F.col("severity") == "error") & (F.col("failure_count") > 0)
-    return summaries.groupBy("table_name", "as_of_month").agg(
+    whose = [c for c in (schemas.PROPERTY,) if c in summaries.columns]
+    return summaries.groupBy("table_name", *whose, "as_of_month").agg(
         F.count_if(hard).alias("failed_checks"), (F.count_if(hard) == 0).alias("passed")
     )
 
@@ -256,6 +257,18 @@ def ledger_sanity_rules() -> list[Rule]:
     ]
 
 
+def lease_suite_rules(lease: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Per snapshot: suites that occur more than once, and suites in the owner's use that are not flagged as such."""
+    grain = [*keys, "as_of_month"]
+    suites = lease.groupBy(*grain, "suite_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(is_own_use(F.col("tenant"), F.col("suite_id")) & ~F.col("is_own_use")).alias("unflagged"),
+    )
+    return suites.groupBy(*grain).agg(
+        F.count_if(F.col("suite_id").isNotNull() & (F.col("n") > 1)).alias("repeated_suites"), F.sum("unflagged").alias("unflagged_own_use")
+    )
+
+
 def lease_sanity_rules() -> list[Rule]:
     return [
         not_null("suite_id"),
@@ -322,8 +335,9 @@ def validate_bronze(tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFra
     cases, summaries = [], []
     for name, df in tables.items():
         rules = bronze_rules(name)
-        cases.append(failure_cases(df, name, rules, schemas.BRONZE[name][1]))
-        summaries.append(check_summary(df, name, rules))
+        whose = [c for c in (schemas.PROPERTY,) if c in df.columns]
+        cases.append(failure_cases(df, name, rules, [*whose, *schemas.BRONZE[name][1]]))
+        summaries.append(check_summary(df, name, rules, [*whose, "as_of_month"]))
     union = functools.partial(functools.reduce, lambda a, b: a.unionByName(b))
     return union(cases), union(summaries)
 

@@ -116,12 +116,14 @@ def year_to_date(df: DataFrame, month: str = "month", keys: Keys = ()) -> DataFr
 
 
 def window_filter(df: DataFrame, window: str | None, month: str = "month", keys: Keys = ()) -> DataFrame:
-    """'3m', '6m', '9m', '12m', 'ytd'; any other value keeps everything."""
+    """'3m', '6m', '9m', '12m' or 'ytd'; None keeps everything."""
+    if window is None:
+        return df
     if window == "ytd":
         return year_to_date(df, month, keys)
     if window in {f"{size}m" for size in V.WINDOW_SIZES}:
         return last_months(df, int(window[:-1]), month, keys)
-    return df
+    raise ValueError(f"no such window: {window}")
 
 
 def since(df: DataFrame, run_date, months: int = 6, month: str = "month") -> DataFrame:

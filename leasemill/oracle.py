@@ -451,7 +451,7 @@ def _reports() -> dict[str, str]:
             FROM rent""", "rent"),
         "r10a_high_value": _sql(f"""
             SELECT {_cols('suite_id building', i='sqft')}, {_n('sqft * 30.00', 'Potential Annual Revenue @ $30/SF')}
-            FROM dim_suite WHERE sqft > 500""", "dim_suite"),
+            FROM dim_suite WHERE sqft > 45""", "dim_suite"),
         "r10b_size_by_building": _sql(f"""
             SELECT building, {_i('COUNT(*)', 'Suite Count')}, {_n('ROUND(AVG(sqft), 0)', 'Avg SqFt')},
                    {_i('SUM(sqft)', 'Total SqFt')} FROM dim_suite GROUP BY building""", "dim_suite"),
@@ -590,7 +590,7 @@ def _history() -> dict[str, str]:
         "upsert_by_key": _sql(f"""
             SELECT as_of_month, suite_id, building, {_i('sqft')},
                    {_n("rent_monthly + CASE WHEN as_of_month LIKE '1997%' AND building = 'B' THEN 100 ELSE 0 END", 'rent_monthly')}
-            FROM lease WHERE as_of_month < '1997-07' OR (as_of_month LIKE '1997%' AND building = 'B')""", "lease"),
+            FROM lease""", "lease"),
         "file_dedupe": _sql("""
             SELECT 'portfolio_' || as_of_month || '.xlsx' AS file, md5('portfolio_' || as_of_month || '.xlsx') AS _file_md5,
                    as_of_month
@@ -705,6 +705,10 @@ def _ingestion() -> dict[str, str]:
             SELECT as_of_month, suite_id, building, tenant, is_vacant,
                    is_own_use OR suite_id LIKE '%101B%' AS is_own_use,
                    {_cols(n='rent_monthly rent_annual rent_psf_yr', i='sqft')} FROM lease""", "lease"),
+        "stream_two_properties": _sql(f"""
+            SELECT b AS property_id, as_of_month, {_i('COUNT(*)', 'suites')},
+                   {_n("SUM(CAST(rent_monthly AS DECIMAL(18,2)) * CASE WHEN b = 'org-b2' THEN 2 ELSE 1 END)", 'rent')}
+            FROM raw_lease, (VALUES ('org-b1'), ('org-b2')) AS t(b) GROUP BY b, as_of_month""", "raw_lease"),
         "stream_replay": _sql(f"""
             SELECT l.as_of_month, 'success' AS status, {_i('1', 'entries')},
                    {_i('month(l.month) + spent', 'rows_ingested')}
@@ -727,8 +731,11 @@ def _flawed() -> str:
 def _quality() -> dict[str, str]:
     flawed = f"({_flawed()})"
     building_broken = "building IS NOT NULL AND building NOT IN ('A', 'B')"
-    summary = [("building", "accepted_values", building_broken), ("tenant", "not_null", "tenant IS NULL"),
-               ("sqft", "type_double", "FALSE"), ("sqft", "at_least_0", "sqft < 0")]
+    amounts = ("sqft", "rent_monthly", "rent_annual", "rent_psf_yr")
+    summary = [("building", "accepted_values", building_broken),
+               *[(c, "not_null", f"{c} IS NULL") for c in ("as_of_month", "suite_id", "tenant", "is_vacant", "is_own_use")],
+               *[(c, "type_double", "FALSE") for c in amounts], *[(c, "at_least_0", f"{c} < 0") for c in amounts],
+               *[(c, "not_null", "FALSE") for c in ("_file_md5", "_ingested_at")]]
 
     def counted(table: str, column: str, check: str, broken: str, source: str, severity: str = "error",
                 by: str = "as_of_month, ") -> str:
@@ -806,6 +813,14 @@ def _quality() -> dict[str, str]:
         "quality_unique": _sql(f"""
             SELECT suite_id, {_i('COUNT(*)', 'copies')} FROM dim_suite GROUP BY suite_id HAVING COUNT(*) > 1""",
             "dim_suite"),
+        "lease_suite_rules": _sql(f"""
+            SELECT as_of_month, {_i("COUNT(CASE WHEN n > 1 THEN 1 END)", 'repeated_suites')}, {_i('SUM(unflagged)', 'unflagged_own_use')}
+            FROM (SELECT as_of_month, suite_id, COUNT(*) AS n, SUM(CASE WHEN (own AND CAST(sqft AS BIGINT) % 13 = 0) OR (own AND NOT is_own_use)
+                         THEN 1 ELSE 0 END) AS unflagged
+                  FROM (SELECT *, lower(tenant || ' ' || suite_id) LIKE '%101b%' OR lower(tenant || ' ' || suite_id) LIKE '%owner use%' AS own FROM raw_lease
+                        UNION ALL SELECT *, lower(tenant || ' ' || suite_id) LIKE '%101b%' OR lower(tenant || ' ' || suite_id) LIKE '%owner use%' FROM raw_lease
+                        WHERE CAST(sqft AS BIGINT) % 11 = 0)
+                  GROUP BY as_of_month, suite_id) GROUP BY as_of_month""", "raw_lease"),
         "quality_accepted_values": _sql(
             counted("stg_expenses_monthly", "expense_category", "accepted_values",
                     "expense_category NOT IN ('fixed', 'variable')", "expenses"), "expenses"),

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from leasemill import schemas
 from leasemill.functions import vocabulary as V
@@ -23,6 +24,8 @@ from leasemill.sources.bronze import read_bronze
 from leasemill.streaming import arrivals
 
 STAGES = ("ingest", "quality", "models", "forecast", "export")
+# The grain of every table: one property or a portfolio, the same run.
+KEYS = [schemas.PROPERTY]
 EXPORTS = ("prop_kpi_monthly", "building_kpi_monthly", "kpi_windows", "fact_expense_monthly")
 
 
@@ -36,6 +39,7 @@ class Run:
     total_sqft: int = V.TOTAL_SQFT
     exclude_own_use: bool = False
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
+    records: int = 0
 
     def bronze(self) -> str:
         return f"{self.root}/bronze"
@@ -47,18 +51,33 @@ class Run:
         return self.spark.read.parquet(self.gold(table))
 
     def save(self, table: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self.gold(table))
+        """Write a gold table and add its rows to the records of the running stage."""
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(self.gold(table))
+        self.records += seen.get["n"]
+
+    def save_months(self, table: str, df: DataFrame) -> None:
+        """The same, by month: a later month filter reads that month's folder only."""
+        seen = Observation()
+        observed = df.observe(seen, F.count(F.lit(1)).alias("n"))
+        observed.write.mode("overwrite").partitionBy(sinks.PARTITION).parquet(self.gold(table))
+        self.records += seen.get["n"]
 
 
 def ingest(run: Run) -> None:
     if run.landed is not None:
-        arrivals.ingest(run.spark, run.landed, run.bronze())
+        months = arrivals.ingest(run.spark, run.landed, run.bronze())
+        # Counted from file metadata.
+        run.records += sum(read_bronze(run.spark, run.bronze(), t, months).count() for t in schemas.BRONZE)
 
 
 def validate(run: Run) -> None:
     tables = {t: read_bronze(run.spark, run.bronze(), t) for t in schemas.BRONZE}
     cases, summary = quality.validate_bronze(tables)
     sinks.write_failures(cases, run.bronze())
+    # The log and the gate read the written summary, so bronze is checked once.
+    run.save("quality_summary", summary)
+    summary = run.read_gold("quality_summary")
     path = f"{run.root}/logs/quality_checks"
     sinks.append_log(sinks.check_entries(summary, run.run_id, datetime.now(timezone.utc)), path)
     quality.gate(summary)
@@ -67,29 +86,29 @@ def validate(run: Run) -> None:
 def build_models(run: Run) -> None:
     """Stage, then dimensions, facts, KPIs, windows and history; shared inputs are read from what was saved."""
     spark, bronze = run.spark, run.bronze()
-    run.save("stg_dashboard_monthly", models.stage_ledger(read_bronze(spark, bronze, schemas.LEDGER_TABLE)))
-    run.save("stg_expenses_monthly", models.stage_expenses(read_bronze(spark, bronze, schemas.EXPENSE_TABLE)))
-    run.save("stg_lease_rate", models.stage_lease(read_bronze(spark, bronze, schemas.LEASE_TABLE)))
+    run.save_months("stg_dashboard_monthly", models.stage_ledger(read_bronze(spark, bronze, schemas.LEDGER_TABLE), KEYS))
+    run.save_months("stg_expenses_monthly", models.stage_expenses(read_bronze(spark, bronze, schemas.EXPENSE_TABLE), KEYS))
+    run.save_months("stg_lease_rate", models.stage_lease(read_bronze(spark, bronze, schemas.LEASE_TABLE), KEYS))
     ledger, expenses, lease = (
         run.read_gold(t) for t in ("stg_dashboard_monthly", "stg_expenses_monthly", "stg_lease_rate")
     )
-    run.save("dim_suite", models.dim_suite(lease))
-    run.save("dim_tenant", models.dim_tenant(lease))
+    run.save("dim_suite", models.dim_suite(lease, KEYS))
+    run.save("dim_tenant", models.dim_tenant(lease, KEYS))
     run.save("dim_calendar_month", models.dim_calendar(ledger))
-    run.save("fact_rent_monthly", models.fact_rent(ledger))
-    run.save("fact_expense_monthly", models.fact_expense(expenses))
-    run.save("prop_kpi_monthly", models.prop_kpi(ledger, lease, run.total_sqft, run.exclude_own_use))
-    run.save("building_kpi_monthly", models.building_kpi(ledger, lease, run.exclude_own_use))
-    run.save("kpi_windows", windows.trailing_kpis(run.read_gold("prop_kpi_monthly")))
-    run.save("snap_lease_rate_scd2", history.versions(lease))
+    run.save("fact_rent_monthly", models.fact_rent(ledger, KEYS))
+    run.save("fact_expense_monthly", models.fact_expense(expenses, KEYS))
+    run.save("prop_kpi_monthly", models.prop_kpi(ledger, lease, run.total_sqft, run.exclude_own_use, KEYS))
+    run.save("building_kpi_monthly", models.building_kpi(ledger, lease, run.exclude_own_use, KEYS))
+    run.save("kpi_windows", windows.trailing_kpis(run.read_gold("prop_kpi_monthly"), KEYS))
+    run.save("snap_lease_rate_scd2", history.versions(lease, keys=KEYS))
     # Failed model tests are recorded, not fatal: some declared uniqueness does not hold for a changing roster.
     names = sorted({model for model, *_ in quality.MODEL_TESTS})
     run.save("model_tests", quality.model_tests({n: run.read_gold(n) for n in names}))
 
 
 def build_forecast(run: Run) -> None:
-    series = fc.long_series(run.read_gold("prop_kpi_monthly"), exclude_own_use=run.exclude_own_use)
-    sinks.write_forecast(fc.wide(fc.forecast(series)), f"{run.root}/gold")
+    series = fc.long_series(run.read_gold("prop_kpi_monthly"), KEYS, exclude_own_use=run.exclude_own_use)
+    sinks.write_forecast(fc.wide(fc.forecast(series, KEYS), KEYS), f"{run.root}/gold")
 
 
 def export(run: Run) -> None:
@@ -112,7 +131,7 @@ def run_stages(run: Run, skip: Sequence[str] = ()) -> list[str]:
         if stage in skip:
             continue
         started = datetime.now(timezone.utc)
-        status, error = "success", None
+        status, error, run.records = "success", None, 0
         try:
             _ACTIONS[stage](run)
             done.append(stage)
@@ -120,7 +139,7 @@ def run_stages(run: Run, skip: Sequence[str] = ()) -> list[str]:
             status, error = "failed", str(failure).splitlines()[0]
             raise
         finally:
-            entry = sinks.run_entry(run.spark, stage, status, started, datetime.now(timezone.utc), error=error,
+            entry = sinks.run_entry(run.spark, stage, status, started, datetime.now(timezone.utc), run.records, error,
                                     details={"run": run.run_id})
             sinks.append_log(entry, f"{run.root}/logs/pipeline_runs")
     return done

@@ -208,10 +208,10 @@ def collection_analysis(rent: DataFrame) -> DataFrame:
     )
 
 
-def high_value_suites(dim_suite: DataFrame) -> DataFrame:
+def high_value_suites(dim_suite: DataFrame, above_sqft: int = V.LARGE_SUITE_SQFT) -> DataFrame:
     potential = (F.col("sqft") * money(F.lit(V.WHAT_IF_RENT_PER_SQFT))).alias("Potential Annual Revenue @ $30/SF")
     return (
-        dim_suite.where(F.col("sqft") > V.LARGE_SUITE_SQFT)
+        dim_suite.where(F.col("sqft") > above_sqft)
         .select("suite_id", "building", "sqft", potential)
         .orderBy(F.desc("sqft"), "suite_id")
     )
@@ -259,12 +259,12 @@ def latest_buildings(building_kpi: DataFrame) -> DataFrame:
 def tenant_suite_count(dim_tenant: DataFrame, lease: DataFrame) -> DataFrame:
     """Distinct suites per tenant over the hash-key join.
 
-    The lease side first shrinks to distinct (tenant, suite) pairs, so a tenant with many snapshots costs one row
-    per suite in the join and the distinct count.
+    Suites are counted per tenant first, so the join has one row per tenant on either side and no key is hot.
     """
-    pairs = lease.select("tenant", "suite_id").distinct().withColumn("tenant_id", md5_key(F.col("tenant")))
+    counts = lease.select("tenant", "suite_id").distinct().groupBy("tenant").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(md5_key(F.col("tenant")).alias("tenant_id"), "n")
     tenants = dim_tenant.select("tenant_id", "tenant_name").distinct()
-    return pairs.join(tenants, "tenant_id").groupBy("tenant_name").agg(F.count(F.lit(1)).alias("suite_count"))
+    return counts.join(tenants, "tenant_id").groupBy("tenant_name").agg(F.sum("n").alias("suite_count"))
 
 
 def parameterised(spark: SparkSession, text: str, params: Mapping[str, Any], **frames: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ def partition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark, "bronze")
     sinks.write_bronze(Portfolio(spark, sf_dir).raw_ledger, root, schemas.LEDGER_TABLE)
     stored = bronze.read_bronze(spark, root, schemas.LEDGER_TABLE)
-    return _audit_free(stored.where(F.col("as_of_month") >= "2000-01"))
+    return _audit_free(stored.where(F.col("as_of_month") >= "2000-01")).drop(schemas.PROPERTY)
 
 
 def bronze_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,13 +344,12 @@ def incremental_new_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suites of building B re-sent with new rents for 1997; building A and other months stay."""
+    """Suites of building B re-sent with new rents for 1997; building A and all other months stay."""
     lease = _audit_free(Portfolio(spark, sf_dir).stored("raw_lease").lease)
-    known = lease.where(F.col("as_of_month") < "1997-07")
     batch = lease.where(F.col("as_of_month").startswith("1997") & (F.col("building") == "B")).withColumn(
         "rent_monthly", F.col("rent_monthly") + X.money(F.lit(100))
     )
-    return incremental.upsert(known, batch, ["as_of_month", "suite_id"]).select(
+    return incremental.upsert(lease, batch, ["as_of_month", "suite_id"]).select(
         "as_of_month", "suite_id", "building", "sqft", "rent_monthly"
     )
 
@@ -370,13 +369,13 @@ def late_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scd2_lease(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Portfolio(spark, sf_dir)
+    p = Portfolio(spark, sf_dir).stored("raw_lease")
     return _audit_free(history.versions(p.lease, one_row_per_month=True, months=p.lease_months))
 
 
 def scd2_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History of tenant and vacancy only."""
-    p = Portfolio(spark, sf_dir)
+    p = Portfolio(spark, sf_dir).stored("raw_lease")
     versions = history.versions(
         p.lease.select("as_of_month", "suite_id", "tenant", "is_vacant"), checked=("tenant", "is_vacant"),
         one_row_per_month=True, months=p.lease_months,
@@ -394,7 +393,7 @@ def scd2_by_property(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scd2_hard_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suites that were missing from a snapshot: when, and when they came back."""
-    p = Portfolio(spark, sf_dir)
+    p = Portfolio(spark, sf_dir).stored("raw_lease")
     versions = history.versions(
         p.lease.select("as_of_month", "suite_id", "is_vacant"), checked=("is_vacant",), one_row_per_month=True,
         months=p.lease_months,
@@ -403,7 +402,7 @@ def scd2_hard_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Portfolio(spark, sf_dir)
+    p = Portfolio(spark, sf_dir).stored("raw_lease")
     return _audit_free(windows.latest(p.lease, months=p.lease_months))
 
 
@@ -437,7 +436,7 @@ def quality_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.bronze_rules(schemas.LEASE_TABLE)
     summary = quality.check_summary(_flawed_lease(Portfolio(spark, sf_dir)), schemas.LEASE_TABLE, rules)
-    return summary.where(F.col("column").isin("sqft", "building", "tenant"))
+    return summary
 
 
 def quality_bronze_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,6 +457,14 @@ def quality_type_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.check_summary(typed, "orders", [quality.coercible("amount", "double"), quality.not_null("amount")])
 
 
+def lease_suite_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots in which every eleventh area comes twice and the flags of own use are lost for every thirteenth."""
+    raw = Portfolio(spark, sf_dir).raw_lease
+    area = F.col("sqft").cast("bigint")
+    flawed = raw.withColumn("is_own_use", F.when(area % 13 == 0, False).otherwise(F.col("is_own_use")))
+    return quality.lease_suite_rules(flawed.unionByName(flawed.where(area % 11 == 0)))
+
+
 def quality_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.duplicates(models.dim_suite(Portfolio(spark, sf_dir).lease), ["suite_id"])
 
@@ -638,7 +645,25 @@ def stream_ingest_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger and lease sheets streamed through bronze into staging; the staged lease rows."""
     root, staged = shared_folder(spark, "bronze"), shared_folder(spark, "staged")
     _stream_into(spark, _with_hash(star.cells(spark, sf_dir)), root, staged)
-    return _audit_free(bronze.read_partitioned(spark, f"{staged}/stg_lease_rate"))
+    return _audit_free(bronze.read_partitioned(spark, f"{staged}/stg_lease_rate")).drop(schemas.PROPERTY)
+
+
+def stream_two_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same months of two buildings arrive together, one of them again with other rents: rows and rent per building and month."""
+    root, staged = shared_folder(spark, "bronze"), shared_folder(spark, "staged")
+    cells = star.lease_cells(spark, sf_dir)
+
+    def landed(building: str, epoch: str, factor: int) -> DataFrame:
+        name = F.concat(F.lit(f"raw/org/{building}/2003/01/01/{epoch}-"), F.col("file"))
+        rent = F.when((F.col("col") == 4) & (F.col("row") > V.LEASE_HEADER_ROW) & (F.col("row") < 1_048_576),
+                      (F.col("value").cast("decimal(28,2)") * factor).cast("string")).otherwise(F.col("value"))
+        return cells.withColumns({"file": name, "value": rent}).withColumn("_file_md5", F.md5("file"))
+
+    _stream_into(spark, landed("b1", "100", 1).unionByName(landed("b2", "100", 1)), root, staged)
+    _stream_into(spark, landed("b2", "200", 2), root, staged)
+    _stream_into(spark, landed("b2", "150", 3), root, staged)
+    return bronze.read_bronze(spark, root, schemas.LEASE_TABLE).groupBy(schemas.PROPERTY, "as_of_month").agg(
+        F.count(F.lit(1)).alias("suites"), F.sum(F.col("rent_monthly").cast("decimal(18,2)")).alias("rent"))
 
 
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -716,6 +741,7 @@ _QUERIES: dict[str, Query] = {
     "check_log": check_log,
     "quality_type_coercion": quality_type_coercion,
     "quality_unique": quality_unique,
+    "lease_suite_rules": lease_suite_rules,
     "quality_accepted_values": quality_accepted_values,
     "quality_model_tests": quality_model_tests,
     "kpi_rules": kpi_rules,
@@ -773,7 +799,7 @@ _QUERIES: dict[str, Query] = {
         lambda p: _with(p.stored("raw_ledger", "raw_lease"), lambda s: reports.kpi_summary(s.prop(), s.building()))
     ),
     "r09_collection_analysis": _of(lambda p: reports.collection_analysis(p.rent)),
-    "r10a_high_value": _of(lambda p: reports.high_value_suites(models.dim_suite(p.lease))),
+    "r10a_high_value": _of(lambda p: reports.high_value_suites(models.dim_suite(p.lease), above_sqft=45)),
     "r10b_size_by_building": _of(lambda p: reports.size_by_building(models.dim_suite(p.lease))),
     "r10c_year_month": _of(lambda p: reports.year_month_averages(p.prop())),
     "r11_parameterised": _of(
@@ -786,7 +812,9 @@ _QUERIES: dict[str, Query] = {
     ),
     "latest_kpis": _of(lambda p: reports.latest_kpis(p.stored_prop())),
     "latest_buildings": _of(lambda p: reports.latest_buildings(p.stored_building())),
-    "tenant_suite_count": _of(lambda p: reports.tenant_suite_count(models.dim_tenant(p.lease), p.lease)),
+    "tenant_suite_count": _of(
+        lambda p: _with(p.stored("raw_lease"), lambda s: reports.tenant_suite_count(models.dim_tenant(s.lease), s.lease))
+    ),
     # dashboard data sets
     "building_series": _of(lambda p: dashboard.building_series(p.stored_building(), "6m")),
     "building_latest": _of(lambda p: dashboard.building_latest(p.stored_building())),
@@ -794,7 +822,7 @@ _QUERIES: dict[str, Query] = {
     "window_listing": _of(lambda p: dashboard.window_listing(windows.trailing_kpis(p.prop()))),
     "expense_stack": _of(lambda p: dashboard.expense_stack(p.expense)),
     "expense_against_budget": expense_against_budget,
-    "suite_status": _of(lambda p: dashboard.suite_details(p.lease, p.lease_months)),
+    "suite_status": _of(lambda p: _with(p.stored("raw_lease"), lambda s: dashboard.suite_details(s.lease, s.lease_months))),
     "summary_cards": _of(
         lambda p: _with(p.stored("raw_lease"), lambda s: dashboard.summary_cards(s.prop(), s.lease))
     ),
@@ -818,6 +846,7 @@ _QUERIES: dict[str, Query] = {
     "lake_copy": lake_copy,
     "stream_ingest_equals_batch": stream_ingest_equals_batch,
     "stream_replay": stream_replay,
+    "stream_two_properties": stream_two_properties,
 }
 
 

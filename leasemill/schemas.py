@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+# Whose workbook a row comes from; the leading partition of every bronze table.
+PROPERTY = "property_id"
+DEFAULT_PROPERTY = "default"
+
 CELLS = "file STRING, sheet STRING, sheet_no INT, row INT, col INT, value STRING"
 
 # What the binary file source delivers per workbook.
 FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 RAW_LEDGER = (
-    "as_of_month STRING, month DATE, rent_base DOUBLE, collected DOUBLE, uncollected DOUBLE, "
+    "property_id STRING, as_of_month STRING, month DATE, rent_base DOUBLE, collected DOUBLE, uncollected DOUBLE, "
     "leased_sqft DOUBLE, price_per_sf_yr DOUBLE, _file_md5 STRING, _ingested_at STRING"
 )
 RAW_EXPENSES = (
-    "as_of_month STRING, month DATE, item STRING, actual DOUBLE, expense_category STRING, "
+    "property_id STRING, as_of_month STRING, month DATE, item STRING, actual DOUBLE, expense_category STRING, "
     "_file_md5 STRING, _ingested_at STRING"
 )
 RAW_LEASE = (
-    "as_of_month STRING, suite_id STRING, building STRING, tenant STRING, sqft DOUBLE, "
+    "property_id STRING, as_of_month STRING, suite_id STRING, building STRING, tenant STRING, sqft DOUBLE, "
     "rent_monthly DOUBLE, rent_annual DOUBLE, rent_psf_yr DOUBLE, is_vacant BOOLEAN, "
     "is_own_use BOOLEAN, _file_md5 STRING, _ingested_at STRING"
 )
 INGESTION_LOG = (
-    "_file_md5 STRING, as_of_month STRING, rows_ingested BIGINT, started_at TIMESTAMP, "
-    "finished_at TIMESTAMP, status STRING"
+    "property_id STRING, file STRING, _file_md5 STRING, as_of_month STRING, arrived BIGINT, rows_ingested BIGINT, "
+    "started_at TIMESTAMP, finished_at TIMESTAMP, status STRING, error STRING"
 )
 PIPELINE_RUNS = (
     "run_id STRING, run_timestamp TIMESTAMP, pipeline_name STRING, status STRING, "

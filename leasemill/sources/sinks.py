@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leasemill import schemas
@@ -34,9 +34,11 @@ def _replace_partitions(df: DataFrame, path: str, *partition: str) -> None:
 
 
 def write_bronze(df: DataFrame, root: str, table: str) -> None:
-    """Replace the months of ``df`` in a bronze table."""
+    """Replace the months of ``df``, each of its property, in a bronze table."""
+    if schemas.PROPERTY not in df.columns:
+        df = df.withColumn(schemas.PROPERTY, F.lit(schemas.DEFAULT_PROPERTY))
     columns = [c.split()[0] for c in schemas.BRONZE[table][0].split(", ")]
-    _replace_partitions(df.select(*columns), table_path(root, table), PARTITION)
+    _replace_partitions(df.select(*columns), table_path(root, table), schemas.PROPERTY, PARTITION)
 
 
 def write_months(df: DataFrame, path: str) -> None:
@@ -76,13 +78,15 @@ def _outcomes(spark: SparkSession, results: list[tuple]) -> DataFrame:
 def export_csv(spark: SparkSession, tables: Mapping[str, DataFrame], root: str) -> DataFrame:
     """CSV with header per table; a table that fails is reported and the rest go on.
 
-    Meant for stored tables, whose row count comes from file metadata.
+    Rows are counted while they are written.
     """
     results = []
     for name, df in tables.items():
         def write(name=name, df=df) -> int:
-            df.write.mode("overwrite").option("header", True).csv(f"{root.rstrip('/')}/{name}.csv")
-            return df.count()
+            seen = Observation()
+            observed = df.observe(seen, F.count(F.lit(1)).alias("n"))
+            observed.write.mode("overwrite").option("header", True).csv(f"{root.rstrip('/')}/{name}.csv")
+            return seen.get["n"]
 
         results.append((name, *_attempt(write)))
     return _outcomes(spark, results)
@@ -163,7 +167,7 @@ def copy_bronze(spark: SparkSession, root: str, lake: str, dry_run: bool = False
             listing.append(df.select(F.lit(table).alias("table_name"), F.col("_metadata.file_path").alias("path")).distinct())
             continue
         def copy(df=df, table=table) -> int:
-            write_months(df, table_path(lake, table))
+            _replace_partitions(df, table_path(lake, table), schemas.PROPERTY, PARTITION)
             return df.count()
 
         results.append((table, *_attempt(copy)))
@@ -178,23 +182,27 @@ def copy_bronze(spark: SparkSession, root: str, lake: str, dry_run: bool = False
 
 def ingestion_entries(arrivals: DataFrame, stored: Sequence[DataFrame], started: datetime,
                       finished: datetime) -> DataFrame:
-    """One log row per arrival (file, _file_md5, as_of_month, role).
+    """One log row per arrival (property_id, file, _file_md5, as_of_month, arrived, role, error).
 
-    ``role`` is 'take' for files that were loaded; others are skipped. A loaded file without any stored row failed.
-    ``stored`` are the bronze tables after the load.
+    ``role`` is 'take' for files that were loaded, 'fail' for files that could not be; others are skipped. A loaded file without
+    any stored row failed. ``stored`` are the bronze tables after the load.
     """
-    key = ["_file_md5", "as_of_month"]
+    key = ["_file_md5", schemas.PROPERTY, "as_of_month"]
     counted = functools.reduce(
         lambda a, b: a.unionByName(b),
         [r.groupBy(*key).agg(F.count(F.lit(1)).alias("n")) for r in stored],
     ).groupBy(*key).agg(F.sum("n").alias("n"))
     taken = F.col("role") == "take"
+    status = (
+        F.when(F.col("role") == "fail", "failed").when(~taken, "skipped").when(F.col("n") > 0, "success").otherwise("failed")
+    )
     return arrivals.join(counted, key, "left").select(
-        *key,
+        schemas.PROPERTY, "file", "_file_md5", "as_of_month", "arrived",
         F.when(taken, F.coalesce("n", F.lit(0))).otherwise(0).cast("bigint").alias("rows_ingested"),
         F.lit(started).cast("timestamp").alias("started_at"),
         F.lit(finished).cast("timestamp").alias("finished_at"),
-        F.when(~taken, "skipped").when(F.col("n") > 0, "success").otherwise("failed").alias("status"),
+        status.alias("status"),
+        F.when(status == "failed", F.coalesce("error", F.lit("no known block"))).alias("error"),
     )
 
 
@@ -214,8 +222,9 @@ def run_entry(spark: SparkSession, name: str, status: str, started: datetime, fi
 
 def check_entries(summary: DataFrame, run_id: str, at: datetime) -> DataFrame:
     """Check-log rows out of a check summary."""
-    details = F.to_json(F.struct("as_of_month", "column", "severity", "row_count"))
-    identity = F.md5(F.concat_ws("|", F.lit(run_id), "table_name", "as_of_month", "column", "check"))
+    whose = [c for c in (schemas.PROPERTY,) if c in summary.columns]
+    details = F.to_json(F.struct(*whose, "as_of_month", "column", "severity", "row_count"))
+    identity = F.md5(F.concat_ws("|", F.lit(run_id), "table_name", *whose, "as_of_month", "column", "check"))
     return summary.select(
         identity.alias("check_id"),
         F.lit(run_id).alias("run_id"),

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from leasemill.functions.expressions import safe_sheet_name
 from leasemill.schemas import CELLS
+from leasemill.sources.bronze import WORKBOOK_GLOB
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -28,7 +29,7 @@ _DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 _BATCH = 20_000
 
 
-def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xls[xm]") -> DataFrame:
+def read_workbooks(spark: SparkSession, path: str, glob: str = WORKBOOK_GLOB) -> DataFrame:
     """Cells of every workbook below ``path``."""
     files = (
         spark.read.format("binaryFile")
@@ -41,7 +42,10 @@ def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xls[xm]") -> D
 
 
 def cells_of(files: DataFrame) -> DataFrame:
-    """(path, content) rows to cells."""
+    """(path, content) rows to cells.
+
+    A file that cannot be read, or that has no cell, is one row without a sheet; ``value`` says what was wrong.
+    """
     return files.select("path", "content").mapInPandas(_decode, CELLS)
 
 
@@ -49,14 +53,20 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["file", "sheet", "sheet_no", "row", "col", "value"]
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            rows = []
-            for cell in _workbook_cells(content):
-                rows.append((path, *cell))
-                if len(rows) >= _BATCH:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
+            rows, some, error = [], False, None
+            try:
+                for cell in _workbook_cells(content):
+                    rows.append((path, *cell))
+                    some = True
+                    if len(rows) >= _BATCH:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+            except Exception as failure:  # a file is data: a bad one must not stop the others
+                error = f"{type(failure).__name__}: {failure}"
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
+            if error or not some:
+                yield pd.DataFrame([(path, None, None, None, None, error or "no cells")], columns=columns, dtype=object)
 
 
 def _workbook_cells(content: bytes) -> Iterator[tuple]:
@@ -120,6 +130,6 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
 
     A group is one worksheet row, at most 16,384 cells.
     """
-    return cells.groupBy("file", safe_sheet_name(F.col("sheet")).alias("sheet_safe"), "row").agg(
+    return cells.where("sheet IS NOT NULL").groupBy("file", safe_sheet_name(F.col("sheet")).alias("sheet_safe"), "row").agg(
         F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("cells")
     )

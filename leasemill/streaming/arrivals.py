@@ -1,9 +1,9 @@
 """Arrival-driven ingestion: new worksheets become bronze months, in any order of arrival.
 
-A micro-batch is idempotent. A file whose content is already in its month is left out; a new file replaces its month in
-every table. The ledger table is written last and is the one duplicates are looked up in, so a batch that is replayed
-after a failure either writes the same months again or finds them complete. Late months are handled like any other
-month, because work follows the touched partitions.
+The ingestion log says which file a property's month holds. A file whose content is already there is left out, and so is one that
+arrived before it; a newer file replaces the month in all tables, also in those it has no rows for. A file that
+cannot be read fails alone, with a log row. The log is written last, so a batch that is replayed after a failure
+writes the same months again. Late months are handled like any other month, because work follows the touched partitions.
 """
 
 from __future__ import annotations
@@ -17,17 +17,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leasemill import schemas
 from leasemill.operators.clean import detect_months
-from leasemill.operators.incremental import FILE_KEY, touched_months, unseen
+from leasemill.operators.incremental import FILE_KEY, touched_months
 from leasemill.plans import models
 from leasemill.session import shared_folder
 from leasemill.sources import grid, sinks
-from leasemill.sources.bronze import read_bronze
+from leasemill.sources.bronze import (
+    WORKBOOK_GLOB, delete_partition, path_exists, property_of, read_bronze, table_path, upload_epoch,
+)
 from leasemill.sources.workbook import cells_of
 
 LANDED_CELLS = f"{schemas.CELLS}, _file_md5 STRING"
 FollowUp = Callable[[SparkSession, list[str]], None]
 
-# Written in this order; the table duplicates are looked up in comes last.
+MONTH = [schemas.PROPERTY, "as_of_month"]
+
 _PARSERS = {
     schemas.EXPENSE_TABLE: grid.expense_records,
     schemas.LEASE_TABLE: grid.lease_records,
@@ -50,35 +53,75 @@ def _stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def roles(arrivals: DataFrame, stored: DataFrame) -> DataFrame:
-    """Mark each arrival 'take' or 'skip'.
+def current_files(spark: SparkSession, root: str) -> DataFrame:
+    """The file that each property's month holds: the last to arrive of those that were loaded."""
+    if not path_exists(spark, log_path(root)):
+        return spark.createDataFrame([], "property_id STRING, as_of_month STRING, known STRUCT<arrived: BIGINT, file: STRING, _file_md5: STRING>")
+    loaded = read_log(spark, root).where("status = 'success'")
+    return loaded.groupBy(*MONTH).agg(F.max(F.struct("arrived", "file", "_file_md5")).alias("known"))
+
+
+def roles(arrivals: DataFrame, current: DataFrame) -> DataFrame:
+    """Mark each arrival 'take', 'skip' or 'fail'.
 
-    Skipped are contents already stored for their month, repeated contents, and files another arrival of the same
-    month replaces (the later file name wins, as if loaded in name order).
+    ``arrivals`` holds (file, _file_md5, property_id, as_of_month, arrived, error). Files with an error fail. Skipped are contents
+    that their month already holds, files older than the one it holds, and files that another arrival of the same month
+    replaces: the last to arrive wins, then the later name, whichever batch a file comes in.
     """
-    fresh = unseen(arrivals, stored)
-    winners = fresh.groupBy("as_of_month").agg(F.max("file").alias("winner"))
-    return arrivals.join(winners, "as_of_month", "left").select(
-        "file",
-        "_file_md5",
-        "as_of_month",
-        F.when(F.col("file") == F.col("winner"), "take").otherwise("skip").alias("role"),
+    order = F.struct("arrived", "file")
+    newer = F.col("known").isNull() | (
+        (order >= F.struct("known.arrived", "known.file")) & (F.col("_file_md5") != F.col("known._file_md5")))
+    held = arrivals.join(current, MONTH, "left").withColumn("fits", F.col("error").isNull() & newer)
+    winners = held.where("fits").groupBy(*MONTH).agg(F.max(order).alias("winner"))
+    return held.join(winners, MONTH, "left").select(
+        *arrivals.columns,
+        F.when(F.col("error").isNotNull(), "fail").when(F.col("fits") & (order == F.col("winner")), "take").otherwise("skip").alias("role"),
     )
 
 
+def arrivals_of(landed: DataFrame, run_month: str | None = None) -> DataFrame:
+    """One row per landed file: whose it is, its month, when it arrived, and what is wrong with it, if anything.
+
+    A file without a month of its own belongs to the run month or, without one, to the month it arrived in, so that a replay
+    puts it in the same place.
+    """
+    seen = F.max("_arrived") if "_arrived" in landed.columns else F.lit(None).cast("bigint")
+    files = landed.groupBy("file", "_file_md5").agg(
+        F.max(F.when(F.col("sheet").isNull(), F.coalesce("value", F.lit("no cells")))).alias("error"), seen.alias("seen"))
+    arrived = F.coalesce(upload_epoch(F.col("file")), F.col("seen"), F.lit(0).cast("bigint"))
+    month = F.when((F.col("rule") == "run_month") & F.lit(run_month is None) & (F.col("arrived") > 0),
+                   F.date_format(F.timestamp_seconds("arrived"), "yyyy-MM")).otherwise(F.col("as_of_month"))
+    return files.withColumn("arrived", arrived).join(detect_months(landed, run_month), "file").select(
+        "file", "_file_md5", property_of(F.col("file")).alias(schemas.PROPERTY), month.alias("as_of_month"), "arrived", "error")
+
+
+def _clear_replaced(spark: SparkSession, root: str, taken: DataFrame, months: list[str]) -> None:
+    """Remove the months of tables for which the file that now holds them has no rows.
+
+    A file without rows in any table replaces nothing. The list is at most three entries per file of the batch.
+    """
+    have = {}
+    for table in _PARSERS:
+        rows = read_bronze(spark, root, table, months).select(*FILE_KEY, schemas.PROPERTY).distinct()
+        kept = rows.join(taken.select(*FILE_KEY, schemas.PROPERTY), [*FILE_KEY, schemas.PROPERTY], "left_semi")
+        have[table] = {(r[schemas.PROPERTY], r["as_of_month"]) for r in kept.collect()}
+    for table, places in have.items():
+        for owner, month in set().union(*have.values()) - places:
+            delete_partition(spark, table_path(root, table), {schemas.PROPERTY: owner, "as_of_month": month})
+
+
 def ingest(spark: SparkSession, landed: DataFrame, root: str, run_month: str | None = None) -> list[str]:
     """Take one set of landed cells (with content hash) into bronze; returns the months written."""
     started = datetime.now(timezone.utc)
-    found = landed.select("file", "_file_md5").distinct().join(detect_months(landed, run_month), "file")
-    arrivals = _stored(spark, found.select("file", "_file_md5", "as_of_month"), "arrivals")
-    known = read_bronze(spark, root, schemas.LEDGER_TABLE, touched_months(arrivals)).select(*FILE_KEY)
-    marked = _stored(spark, roles(arrivals, known), "roles")
+    arrivals = _stored(spark, arrivals_of(landed, run_month), "arrivals")
+    marked = _stored(spark, roles(arrivals, current_files(spark, root)), "roles")
     taken = marked.where("role = 'take'")
     months = touched_months(taken)
     if months:
-        mine = landed.drop("_file_md5").join(taken.select("file"), "file", "left_semi")
+        mine = landed.select("file", "sheet", "sheet_no", "row", "col", "value").join(taken.select("file"), "file", "left_semi")
         for table, parse in _PARSERS.items():
             sinks.write_bronze(grid.stamp(parse(mine, taken), taken), root, table)
+        _clear_replaced(spark, root, taken, months)
     stored = [read_bronze(spark, root, table, months) for table in _PARSERS]
     sinks.append_log(sinks.ingestion_entries(marked, stored, started, datetime.now(timezone.utc)), log_path(root))
     return months
@@ -122,13 +165,14 @@ def stream_workbooks(
         spark.readStream.format("binaryFile")
         .schema(schemas.FILES)
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.xls[xm]")
+        .option("pathGlobFilter", WORKBOOK_GLOB)
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(landing)
     )
 
     def decode(batch: DataFrame) -> DataFrame:
-        files = batch.select(F.col("path").alias("file"), F.md5("content").alias("_file_md5"))
+        files = batch.select(F.col("path").alias("file"), F.md5("content").alias("_file_md5"),
+                             F.unix_timestamp("modificationTime").alias("_arrived"))
         return _stored(batch.sparkSession, cells_of(batch).join(files, "file"), "cells")
 
     return _run(source, decode, root, checkpoint, after)
@@ -145,7 +189,7 @@ def refresh_staging(root: str, staged_root: str) -> FollowUp:
     def refresh(spark: SparkSession, months: list[str]) -> None:
         for table, stage in stagers.items():
             path = f"{staged_root.rstrip('/')}/{schemas.STAGED[table]}"
-            staged = stage(read_bronze(spark, root, table, months))
-            sinks.upsert_months(spark, staged, path, schemas.BRONZE[table][1])
+            staged = stage(read_bronze(spark, root, table, months), [schemas.PROPERTY])
+            sinks.upsert_months(spark, staged, path, [schemas.PROPERTY, *schemas.BRONZE[table][1]])
 
     return refresh

@@ -93,6 +93,55 @@ def test_two_files_of_one_month_in_one_batch(spark, tmp_path):
     assert [status for _, status, _ in feed.log()] == ["skipped", "success"]
 
 
+def test_bad_files_fail_alone(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    put(feed.landing, "a_2025-01.xlsx", monthly_book(1))
+    put(feed.landing, "b_2025-01.xlsx", b"PK no archive")
+    put(feed.landing, "c_2025-01.xlsx", workbook({"Empty": {}}))
+    put(feed.landing, "d_2025-01.xls", b"\xd0\xcf\x11\xe0 old format")
+    feed.run()
+    rows = {r["file"][-14:]: (r["status"], bool(r["error"])) for r in arrivals.read_log(spark, feed.root).collect()}
+    assert rows == {"a_2025-01.xlsx": ("success", False), "b_2025-01.xlsx": ("failed", True), "c_2025-01.xlsx": ("failed", True),
+                    "/d_2025-01.xls": ("failed", True)}
+    assert feed.lease("2025-01") == {"1A": "Acme"}
+
+
+def test_two_properties_keep_their_months(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    for org, tenant in (("org1/b1", "One"), ("org2/b9", "Two")):
+        put(feed.landing / f"raw/{org}/2025/03/05", "1700000000-book_2025-03.xlsx", monthly_book(3, suites={"1A": (tenant, 100, 200)}))
+    feed.run()
+    put(feed.landing / "raw/org3/b1/2025/03/06", "1700000001-book_2025-03.xlsx", monthly_book(3, suites={"1A": ("Three", 1, 2)}))
+    # Uploaded before the one that is there: it comes too late to replace it.
+    put(feed.landing / "raw/org1/b1/2025/03/04", "1600000000-book_2025-03.xlsx", monthly_book(3, suites={"1A": ("Old", 1, 2)}))
+    feed.run()
+    lease = bronze.read_bronze(spark, feed.root, schemas.LEASE_TABLE)
+    assert {(r["property_id"], r["tenant"]) for r in lease.collect()} == {("org1-b1", "One"), ("org2-b9", "Two"), ("org3-b1", "Three")}
+    assert spark.read.parquet(f"{feed.staged}/stg_lease_rate").count() == 3
+
+
+def test_replaced_month_loses_the_rows_it_no_longer_has(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    lease_only = workbook({"Lease Rate": {(4, 1): "Suite", (4, 2): "Tenant", (5, 1): "9Z", (5, 2): "Solo"}})
+    put(feed.landing, "1_2025-02.xlsx", monthly_book(2))
+    feed.run()
+    put(feed.landing, "2_2025-02.xlsx", monthly_book(2, expenses=False))
+    feed.run()
+    assert bronze.read_bronze(spark, feed.root, schemas.EXPENSE_TABLE).count() == 0
+    assert bronze.read_bronze(spark, feed.root, schemas.LEDGER_TABLE).count() == 2
+    put(feed.landing, "3_2025-05.xlsx", lease_only)
+    feed.run()
+    put(feed.landing, "4_2025-05.xlsx", lease_only)
+    feed.run()
+    assert [(m, s) for m, s, _ in feed.log() if m == "2025-05"] == [("2025-05", "skipped"), ("2025-05", "success")]
+
+
+def test_month_of_a_file_without_one(spark, tmp_path):
+    landed = spark.createDataFrame([("a.xlsx", "Notes", 1, 1, 1, "x", "m", 1_600_000_000)], f"{arrivals.LANDED_CELLS}, _arrived BIGINT")
+    assert [r["as_of_month"] for r in arrivals.arrivals_of(landed).collect()] == ["2020-09"]
+    assert [r["as_of_month"] for r in arrivals.arrivals_of(landed, "2024-01").collect()] == ["2024-01"]
+
+
 def test_batch_equals_stream(spark, tmp_path):
     feed = Feed(spark, tmp_path)
     for month in (1, 2, 3):
@@ -125,12 +174,14 @@ def test_whole_run(spark, tmp_path):
     assert run.read_gold("snap_lease_rate_scd2").count() == 1
     assert run.read_gold("model_tests").count() == len(quality.MODEL_TESTS)
     forecast = spark.read.parquet(f"{run.root}/gold/prop_kpi_forecast.parquet")
-    assert forecast.count() == 12 and len(forecast.columns) == 11
+    assert forecast.count() == 12 and len(forecast.columns) == 12
     exported = spark.read.option("header", True).csv(f"{run.root}/exports/kpi_windows.csv")
     assert exported.count() == 12 and "avg_noi_margin_pct" in exported.columns
     log = spark.read.parquet(f"{run.root}/logs/pipeline_runs")
     assert {(r["pipeline_name"], r["status"]) for r in log.collect()} == {(s, "success") for s in refresh.STAGES}
     assert f'"run":"{run.run_id}"' in log.first()["metadata"]
+    records = {r["pipeline_name"]: r["records_processed"] for r in log.collect()}
+    assert records["ingest"] == 3 + 6 + 6 and records["models"] > records["ingest"] and records["quality"] > 0
 
 
 def test_run_stops_at_the_failing_stage(spark, tmp_path):
