@@ -12,15 +12,15 @@ CELLS = "file STRING, sheet STRING, sheet_no INT, row INT, col INT, value STRING
 FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 RAW_LEDGER = (
-    "property_id STRING, as_of_month STRING, month DATE, rent_base DOUBLE, collected DOUBLE, uncollected DOUBLE, "
+    "as_of_month STRING, month DATE, rent_base DOUBLE, collected DOUBLE, uncollected DOUBLE, "
     "leased_sqft DOUBLE, price_per_sf_yr DOUBLE, _file_md5 STRING, _ingested_at STRING"
 )
 RAW_EXPENSES = (
-    "property_id STRING, as_of_month STRING, month DATE, item STRING, actual DOUBLE, expense_category STRING, "
+    "as_of_month STRING, month DATE, item STRING, actual DOUBLE, expense_category STRING, "
     "_file_md5 STRING, _ingested_at STRING"
 )
 RAW_LEASE = (
-    "property_id STRING, as_of_month STRING, suite_id STRING, building STRING, tenant STRING, sqft DOUBLE, "
+    "as_of_month STRING, suite_id STRING, building STRING, tenant STRING, sqft DOUBLE, "
     "rent_monthly DOUBLE, rent_annual DOUBLE, rent_psf_yr DOUBLE, is_vacant BOOLEAN, "
     "is_own_use BOOLEAN, _file_md5 STRING, _ingested_at STRING"
 )
@@ -42,9 +42,9 @@ LEDGER_TABLE = "raw_dashboard_monthly"
 EXPENSE_TABLE = "raw_expenses_monthly"
 LEASE_TABLE = "raw_lease_rate_snapshot"
 BRONZE = {
-    LEDGER_TABLE: (RAW_LEDGER, ["as_of_month", "month"]),
-    EXPENSE_TABLE: (RAW_EXPENSES, ["as_of_month", "month", "item"]),
-    LEASE_TABLE: (RAW_LEASE, ["as_of_month", "suite_id"]),
+    LEDGER_TABLE: (f"{PROPERTY} STRING, {RAW_LEDGER}", ["as_of_month", "month"]),
+    EXPENSE_TABLE: (f"{PROPERTY} STRING, {RAW_EXPENSES}", ["as_of_month", "month", "item"]),
+    LEASE_TABLE: (f"{PROPERTY} STRING, {RAW_LEASE}", ["as_of_month", "suite_id"]),
 }
 STAGED = {
     LEDGER_TABLE: "stg_dashboard_monthly",
