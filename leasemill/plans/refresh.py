@@ -2,6 +2,9 @@
 
 Stages are plain functions over stored tables, in order; any of them can be skipped. A stage reads what the stage
 before it wrote, so a run that stops can start again at the failed stage.
+
+Staging follows the files: it reads the bronze months that hold another file than the one they were staged from, and
+replaces those months. ``full_refresh`` stages everything anew. Models are built from the staged tables.
 """
 
 from __future__ import annotations
@@ -18,14 +21,22 @@ from leasemill import schemas
 from leasemill.functions import vocabulary as V
 from leasemill.operators import forecast as fc
 from leasemill.operators import history, quality, windows
+from leasemill.operators.incremental import touched_months
 from leasemill.plans import models
 from leasemill.sources import sinks
-from leasemill.sources.bronze import read_bronze
+from leasemill.sources.bronze import delete_partition, path_exists, read_bronze
 from leasemill.streaming import arrivals
 
 STAGES = ("ingest", "quality", "models", "forecast", "export")
 # The grain of every table: one property or a portfolio, the same run.
 KEYS = [schemas.PROPERTY]
+STAGERS = {
+    schemas.STAGED[schemas.LEDGER_TABLE]: (schemas.LEDGER_TABLE, models.stage_ledger),
+    schemas.STAGED[schemas.EXPENSE_TABLE]: (schemas.EXPENSE_TABLE, models.stage_expenses),
+    schemas.STAGED[schemas.LEASE_TABLE]: (schemas.LEASE_TABLE, models.stage_lease),
+}
+# The files that bronze held when staging began, and those of the last staging that ended.
+SEEN, DONE = "_files_seen", "_files_staged"
 EXPORTS = ("prop_kpi_monthly", "building_kpi_monthly", "kpi_windows", "fact_expense_monthly")
 
 
@@ -38,6 +49,7 @@ class Run:
     landed: DataFrame | None = None
     total_sqft: int = V.TOTAL_SQFT
     exclude_own_use: bool = False
+    full_refresh: bool = False
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
     records: int = 0
 
@@ -48,7 +60,12 @@ class Run:
         return f"{self.root}/gold/{table}"
 
     def read_gold(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.gold(table))
+        """A gold table. Staged ones have a declared schema, for they may be without a single month."""
+        reader = self.spark.read
+        if table in STAGERS:
+            raw, stage = STAGERS[table]
+            reader = reader.schema(stage(self.spark.createDataFrame([], schemas.BRONZE[raw][0]), KEYS).schema)
+        return reader.parquet(self.gold(table))
 
     def save(self, table: str, df: DataFrame) -> None:
         """Write a gold table and add its rows to the records of the running stage."""
@@ -56,11 +73,18 @@ class Run:
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(self.gold(table))
         self.records += seen.get["n"]
 
-    def save_months(self, table: str, df: DataFrame) -> None:
-        """The same, by month: a later month filter reads that month's folder only."""
+    def save_months(self, table: str, df: DataFrame, months: Sequence[str] | None = None) -> None:
+        """The same, by month: a later month filter reads that month's folder only. Given months are replaced, the others stay."""
+        if months is not None and not months:
+            return
         seen = Observation()
         observed = df.observe(seen, F.count(F.lit(1)).alias("n"))
-        observed.write.mode("overwrite").partitionBy(sinks.PARTITION).parquet(self.gold(table))
+        if months is None:
+            observed.write.mode("overwrite").partitionBy(sinks.PARTITION).parquet(self.gold(table))
+        else:
+            for month in months:  # also those that have no rows any more
+                delete_partition(self.spark, self.gold(table), {sinks.PARTITION: month})
+            sinks.write_months(observed, self.gold(table))
         self.records += seen.get["n"]
 
 
@@ -83,12 +107,36 @@ def validate(run: Run) -> None:
     quality.gate(summary)
 
 
+def stale_months(run: Run) -> list[str] | None:
+    """Months whose files are not those they were staged from; None where everything has to be staged."""
+    if run.full_refresh or not path_exists(run.spark, run.gold(DONE)):
+        return None
+    return touched_months(run.read_gold(SEEN).subtract(run.read_gold(DONE)))
+
+
+def staged(run: Run, table: str, months: Sequence[str] | None) -> DataFrame:
+    """A staged table's rows of some months, or of all; the month list reaches bronze as a partition filter."""
+    raw, stage = STAGERS[table]
+    return stage(read_bronze(run.spark, run.bronze(), raw, months), KEYS)
+
+
+def stage_tables(run: Run) -> None:
+    """Bring the staged tables up to the files of the ingestion log.
+
+    The list of files is kept before bronze is read and becomes that of the staged ones at the end: a staging that stops
+    is done again, and a file that arrives meanwhile is staged by the next run. Bronze without a log is always staged whole.
+    """
+    arrivals.current_files(run.spark, run.bronze()).write.mode("overwrite").parquet(run.gold(SEEN))
+    months = stale_months(run)
+    for table in STAGERS:
+        run.save_months(table, staged(run, table, months), months)
+    if path_exists(run.spark, arrivals.log_path(run.bronze())):
+        run.read_gold(SEEN).write.mode("overwrite").parquet(run.gold(DONE))
+
+
 def build_models(run: Run) -> None:
     """Stage, then dimensions, facts, KPIs, windows and history; shared inputs are read from what was saved."""
-    spark, bronze = run.spark, run.bronze()
-    run.save_months("stg_dashboard_monthly", models.stage_ledger(read_bronze(spark, bronze, schemas.LEDGER_TABLE), KEYS))
-    run.save_months("stg_expenses_monthly", models.stage_expenses(read_bronze(spark, bronze, schemas.EXPENSE_TABLE), KEYS))
-    run.save_months("stg_lease_rate", models.stage_lease(read_bronze(spark, bronze, schemas.LEASE_TABLE), KEYS))
+    stage_tables(run)
     ledger, expenses, lease = (
         run.read_gold(t) for t in ("stg_dashboard_monthly", "stg_expenses_monthly", "stg_lease_rate")
     )

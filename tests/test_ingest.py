@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pytest
 from books import monthly_book, workbook
+from pyspark.sql import functions as F
 
 from leasemill import schemas
 from leasemill.operators import quality
@@ -184,6 +185,51 @@ def test_whole_run(spark, tmp_path):
     assert records["ingest"] == 3 + 6 + 6 and records["models"] > records["ingest"] and records["quality"] > 0
 
 
+def test_second_run_stages_touched_months_only(spark, tmp_path):
+    books = {f"b_2025-{m:02d}.xlsx": monthly_book(m) for m in (1, 2, 3)}
+    root = str(tmp_path / "run")
+    stop = ["quality", "forecast", "export"]
+    refresh.run_stages(refresh.Run(spark, root, landed_books(spark, tmp_path / "a", books), total_sqft=1000), skip=stop)
+    first = refresh.Run(spark, root)
+    assert refresh.stale_months(first) == []
+
+    # A new month, and a correction of the second without its expenses.
+    later = {"b_2025-04.xlsx": monthly_book(4), "c_2025-02.xlsx": monthly_book(2, rent=70000.0, expenses=False)}
+    landed = landed_books(spark, tmp_path / "b", later)
+    touched = refresh.Run(spark, root, landed, total_sqft=1000)
+    refresh.ingest(touched)
+    # A staged month that no file changed is left as it is: its marked row survives.
+    lease = f"{root}/gold/stg_lease_rate"
+    january = touched.read_gold("stg_lease_rate").where("as_of_month = '2025-01'").withColumn("tenant", F.lit("marked"))
+    marked = spark.createDataFrame(january.collect(), january.schema)
+    sinks.write_months(marked, lease)
+    refresh.stage_tables(touched)
+    months = {r["as_of_month"] for r in touched.read_gold("stg_lease_rate").where("tenant = 'marked'").collect()}
+    assert months == {"2025-01"}
+    assert refresh.stale_months(touched) == []
+    plan = refresh.staged(touched, "stg_lease_rate", ["2025-04"])._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "as_of_month" in filters and "2025-04" in filters
+    expenses = touched.read_gold("stg_expenses_monthly")
+    assert {r["as_of_month"] for r in expenses.collect()} == {"2025-01", "2025-03", "2025-04"}
+
+    # A full refresh replaces what is stale, and agrees with the tables staged month by month elsewhere.
+    step = {t: touched.read_gold(t).where("as_of_month <> '2025-01'").collect() for t in refresh.STAGERS}
+    whole = refresh.Run(spark, root, full_refresh=True)
+    refresh.stage_tables(whole)
+    assert whole.read_gold("stg_lease_rate").where("tenant = 'marked'").isEmpty()
+    for table, rows in step.items():
+        again = whole.read_gold(table).where("as_of_month <> '2025-01'").collect()
+        assert rows and sorted(map(str, rows)) == sorted(map(str, again))
+
+
+def test_run_without_expenses(spark, tmp_path):
+    landed = landed_books(spark, tmp_path / "landing", {"b_2025-01.xlsx": monthly_book(1, expenses=False)})
+    run = refresh.Run(spark, str(tmp_path / "run"), landed, total_sqft=1000)
+    assert refresh.run_stages(run, skip=["forecast", "export"]) == ["ingest", "quality", "models"]
+    assert run.read_gold("stg_expenses_monthly").isEmpty() and run.read_gold("prop_kpi_monthly").count() > 0
+
+
 def test_run_stops_at_the_failing_stage(spark, tmp_path):
     landed = landed_books(spark, tmp_path / "landing", {"b_2025-01.xlsx": monthly_book(1, rent=-50000.0)})
     run = refresh.Run(spark, str(tmp_path / "run"), landed)
