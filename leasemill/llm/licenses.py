@@ -27,14 +27,49 @@ BASE = (
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-#: Wordings of licenses and notices, with their regions marked.
+_MIT_TEXT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this {{1..4}} and associated documentation files [[the {{1..1}}]] "
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+    "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+    "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+    "fitness for a particular purpose and noninfringement in no event shall {{1..8}} be liable for any claim damages or other liability "
+    "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_BSD_TEXT = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[[1]] [[a]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[[2]] [[b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution "
+    "[[[[3]] [[c]] all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by {{1..12}}]] "
+    "[[[[3]] [[4]] [[c]] [[d]] neither the name of {{1..12}} nor the names of {{1..3}} contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission]] "
+    "[[[[3]] [[4]] [[c]] [[d]] the {{1..2}} of {{1..12}} may not be used to endorse or promote products derived from this software without specific prior written permission]] "
+    "this software is provided by {{1..12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability "
+    "and fitness for a particular purpose are disclaimed in no event shall {{1..12}} be liable for any direct indirect incidental special exemplary or consequential damages "
+    "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+    "arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+
+
+def _spellings(label: str, wording: str) -> tuple[tuple[str, str], ...]:
+    """The wording with plain and typographic quotes (which are letters of a word here), and with both spellings of noninfringement."""
+    quoted = (wording, wording.replace(" as is ", " “as is” "))
+    return tuple((label, w) for w in dict.fromkeys(v for q in quoted for v in (q, q.replace("noninfringement", "non infringement"))))
+
+
+#: Wordings of licenses and notices, with their regions marked. The labels that end in ``-text`` need the whole license, with its
+#: conditions and its disclaimer; the others are those of a notice, a title or a license's opening, whatever follows it.
 TEMPLATES = (
+    *_spellings("mit-text", _MIT_TEXT),
+    *_spellings("bsd-text", _BSD_TEXT),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this {{1..4}} and associated documentation files"),
     ("mit", "[[is]] {{1..1}} under [[the terms of]] the mit license [[see license]]"),
     ("apache-2", "licensed under the apache license version 2 [[0]] [[the license]] [[you may not use this file except in compliance with the license]]"),
     ("cc-by-nc", "[[this work is]] licensed under [[a]] [[creative commons]] cc by nc [[sa]] [[nd]] {{1..1}} 0 [[international [[license]]]]"),
     ("cc-by-nc", "creative commons attribution noncommercial {{0..1}} {{1..1}} 0 [[international]] license"),
-    ("gpl-3", "[[this {{1..2}} is]] licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3 "
+    ("gpl-3", "[[[[this {{1..2}} is]] licensed under the]] [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3 "
               "[[of the license]] [[or [[at your option]] any later version]]"),
     ("gpl-2", "gnu general public license [[as published by the free software foundation]] [[either]] version 2 [[of the license]] [[or [[at your option]] any later version]]"),
     ("lgpl", "gnu lesser general public license [[as published by the free software foundation]] [[either]] version {{1..2}}"),
