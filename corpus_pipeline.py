@@ -52,7 +52,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence of at most 1024 tokens and its offset there."""
     shipped(spark)
     path = public_tokenizers.path
-    return packing.packed(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, size=1024)
+    return packing.packed(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, size=1024, added_tokens=True)
 
 
 STAGES = [

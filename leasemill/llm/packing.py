@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import array
 import base64
+import json
 import re
 from collections.abc import Iterator
 
@@ -43,10 +44,15 @@ class Encoder:
 
     No token of the vocabulary spans a blank before a visible character, so texts are cut there and the ids of a chunk
     are remembered. Chunks not seen yet are encoded together, from the same vocabulary's ranks where a ranks file is given.
+
+    With ``added_tokens`` a text is first split at the vocabulary's added tokens, such as an end of text, which have their own ids, as
+    ``encode`` does by default. Without, they are plain text, as they are with the tokenizer's ``encode_special_tokens``.
     """
 
-    def __init__(self, vocabulary: str, ranks: str | None = None, pattern: str | None = None):
+    def __init__(self, vocabulary: str, ranks: str | None = None, pattern: str | None = None, added_tokens: bool = False):
         self.known: dict[str, bytes] = {}
+        self.added = _added(vocabulary) if added_tokens else {}
+        self.splits = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         if ranks is None:
             tokenizer = Tokenizer.from_file(vocabulary)
             tokenizer.encode_special_tokens = True
@@ -76,6 +82,14 @@ class Encoder:
             at = to
 
     def many(self, group: list[str]) -> list[bytes]:
+        if not self.splits:
+            return self._plain(group)
+        # Every second part is an added token.
+        split = [self.splits.split(text) for text in group]
+        plain = iter(self._plain([part for parts in split for part in parts[::2]]))
+        return [b"".join(self.added[part] if k % 2 else next(plain) for k, part in enumerate(parts)) for parts in split]
+
+    def _plain(self, group: list[str]) -> list[bytes]:
         parts = []
         for text in group:
             if _ODD_SPACE.search(text):
@@ -94,13 +108,25 @@ class Encoder:
         return [array.array("I", self.encode(head)).tobytes() + b"".join(map(get, rest)) for head, rest in parts]
 
 
+def _added(vocabulary: str) -> dict[str, bytes]:
+    """The added tokens of a vocabulary and their ids. Those that look at their neighbours or at normalised text are refused."""
+    with open(vocabulary, encoding="utf-8") as file:
+        given = json.load(file)
+    out = {}
+    for token in given.get("added_tokens") or ():
+        if token.get("single_word") or token.get("lstrip") or token.get("rstrip") or (token.get("normalized") and given.get("normalizer")):
+            raise ValueError(f"no support for the options of the added token {token['content']}")
+        out[token["content"]] = array.array("I", [token["id"]]).tobytes()
+    return out
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(*files: str | None) -> Encoder:
-    if files not in _encoders:
-        _encoders[files] = Encoder(*files)
-    return _encoders[files]
+def _encoder(*given: str | bool | None) -> Encoder:
+    if given not in _encoders:
+        _encoders[given] = Encoder(*given)
+    return _encoders[given]
 
 
 def _groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -153,14 +179,14 @@ def _pieces(files: tuple, size: int):
     return rows
 
 
-def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str | None = None, size: int = 1024) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str | None = None, size: int = 1024, added_tokens: bool = False) -> DataFrame:
     """A stored table of pieces of ``docs(doc_id, text, ...)``: doc_id, piece, start, length, part, nth, ids (uint32, little-endian).
 
     Null texts are empty and, like empty ones, have the end id alone. Repeated rows are packed each for itself.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length int, part int, nth long, ids binary"
-    return stored(docs.select("doc_id", "text").mapInArrow(_pieces((vocabulary, ranks, pattern), size), schema), "pieces")
+    return stored(docs.select("doc_id", "text").mapInArrow(_pieces((vocabulary, ranks, pattern, added_tokens), size), schema), "pieces")
 
 
 def plan_bins(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -284,9 +310,9 @@ def sequences(cut: DataFrame, placed: DataFrame) -> DataFrame:
         "sequence_id", F.unhex("hex").alias("ids"), "length")
 
 
-def packed(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str | None = None, size: int = 1024) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str | None = None, size: int = 1024, added_tokens: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of every document. No rows give no rows."""
-    cut = pieces(docs, vocabulary, ranks, pattern, size)
+    cut = pieces(docs, vocabulary, ranks, pattern, size, added_tokens)
     slim = cut.select("doc_id", "piece", "start", "length", "part", "nth", F.crc32("ids").alias("ids_crc32"))
     out = place(slim, size)
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")

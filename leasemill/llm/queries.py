@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     docs = _table(spark, sf_dir, "documents")
-    return packing.packed(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, size=1024)
+    return packing.packed(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, size=1024, added_tokens=True)
 
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -6,7 +7,8 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from leasemill.llm import packing
+import corpus_pipeline
+from leasemill.llm import packing, queries
 
 FILES = (P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 ODD = ["", " ", "  a  b ", "a\n b\t c", "don't <|endoftext|> 12  34", " lead", "trail ", "x  y  z\x1c q", "日本 語 ß é", "a " * 500, "\n\n \n", "zq" * 3000]
@@ -27,6 +29,33 @@ def test_encoder_equals_tokenizer(files):
     assert [np.frombuffer(x, np.uint32).tolist() for x in encoder.many(many)] == [encode(t) for t in many]
 
 
+ADDED = ["one<|endoftext|>two", "<|endoftext|>", "a <|endoftext|> b", "  <|endoftext|>  z ", "<|endoftext|><|endoftext|> q", "<|endof <|endoftext|>text|>", "<|endoftext|", "é<|endoftext|>\n日本"]
+
+
+@pytest.mark.parametrize("files", [FILES, (FILES[0], None, None)])
+def test_added_tokens_have_their_ids(files):
+    encoder, tokenizer = packing.Encoder(*files, added_tokens=True), Tokenizer.from_file(FILES[0])
+    many = [*ADDED, *ODD, *ADDED]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in encoder.many(many)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in many]
+
+
+def test_query_and_stage_give_added_tokens_their_ids(spark, documents, tmp_path):
+    tokenizer = Tokenizer.from_file(FILES[0])
+    docs = documents(list(enumerate(ADDED)))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID] for i, t in enumerate(ADDED)}
+    for rows in (queries.op1_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in rows.collect()}
+        assert got == {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in expected.items()}
+
+
+def test_added_tokens_with_options_are_refused(tmp_path):
+    token = {"id": 7, "content": "<x>", "single_word": False, "lstrip": True, "rstrip": False, "normalized": False}
+    (tmp_path / "v.json").write_text(json.dumps({"added_tokens": [token], "normalizer": None}))
+    with pytest.raises(ValueError):
+        packing.Encoder(str(tmp_path / "v.json"), *FILES[1:], added_tokens=True)
+
+
 def test_plan_uses_every_piece_once():
     rng = random.Random(4)
     for size, kinds in ((10, 10), (1024, 300)):
