@@ -143,6 +143,9 @@ def last_row_per(df: DataFrame, by: Keys, order: Sequence[str]) -> DataFrame:
     )
 
 
-def top_by(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """First n rows in a total order (planned as a per-partition top-n)."""
+def top_by(df: DataFrame, n: int, *order: Column, keys: Keys = ()) -> DataFrame:
+    """First n rows in a total order (planned as a per-partition top-n), with keys of each group, without an order among the groups."""
+    if keys:
+        ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return ranked.where(F.col("_rank") <= n).drop("_rank")
     return df.orderBy(*order).limit(n)

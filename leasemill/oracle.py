@@ -392,6 +392,10 @@ def _noi(by_property: bool = False) -> str:
 
 def _reports() -> dict[str, str]:
     newest_lease = "as_of_month = (SELECT MAX(as_of_month) FROM lease)"
+
+    def own_newest(of: str) -> str:
+        return f"{of}.month = (SELECT MAX(q.month) FROM {of} q WHERE q.property_id = {of}.property_id)"
+
     return {
         "r01_property_overview": _sql(f"""
             SELECT {_d('month')}, {_n('occupancy_pct', 'Occupancy %')}, {_i('leased_sqft', 'Leased SqFt')},
@@ -410,6 +414,44 @@ def _reports() -> dict[str, str]:
                    {_i('vacant_count', 'Vacant Suites')}, {_i('own_use_count', 'Own-Use Suites')},
                    {_i('revenue_sqft', 'Revenue SqFt')}
             FROM bld WHERE month = (SELECT MAX(month) FROM bld)""", "bld"),
+        "r01_by_property": _sql(f"""
+            SELECT property_id, {_d('month')}, {_n('occupancy_pct', 'Occupancy %')}, {_i('leased_sqft', 'Leased SqFt')},
+                   {_i('total_property_sqft', 'Total SqFt')}, {_n('collected', 'Revenue Collected')},
+                   {_n('rent_base', 'Rent Base')}, {_n('collection_rate_pct', 'Collection Rate %')},
+                   {_n('price_per_sf_yr', 'Price $/SF/Year')}, {_n('accounts_receivable', 'AR (Uncollected)')}
+            FROM prop WHERE {own_newest('prop')}""", "prop", by_property=True),
+        "r02_by_property": _sql(f"""
+            SELECT property_id, {_d('month')}, {_n('rent_base', 'Rent Base')}, {_n('collected', 'Collected')},
+                   {_n('uncollected', 'Uncollected')}, {_n('collection_rate_pct', 'Collection %')},
+                   {_n('ROUND(CAST(collected AS DOUBLE) / CAST(rent_base AS DOUBLE) * 100, 2)', 'Collection Rate (Calc)')}
+            FROM rent WHERE (SELECT COUNT(*) FROM rent q WHERE q.property_id = rent.property_id AND q.month > rent.month) < 6""",
+            "rent", by_property=True),
+        "r03_by_property": _sql(f"""
+            SELECT property_id, building, {_i('total_sqft', 'Total SqFt')}, {_i('occupied_sqft', 'Occupied SqFt')},
+                   {_n('ROUND(occupancy_pct, 2)', 'Occupancy %')}, {_i('suite_count', 'Total Suites')},
+                   {_i('vacant_count', 'Vacant Suites')}, {_i('own_use_count', 'Own-Use Suites')},
+                   {_i('revenue_sqft', 'Revenue SqFt')}
+            FROM bld WHERE {own_newest('bld')}""", "bld", by_property=True),
+        "r07_by_property": _sql(f"""
+            SELECT property_id, building AS "Building", {_i('occupied_sqft', 'Occupied SqFt')},
+                   {_n('ROUND(est, 2)', 'Est. Revenue')}, {_n('ROUND(est / NULLIF(occupied_sqft, 0), 2)', 'Revenue per SqFt')}
+            FROM (SELECT property_id, b.building, b.occupied_sqft, CAST(r.collected AS DOUBLE)
+                         * ({_ratio('b.revenue_sqft', 'p.revenue_sqft')}) AS est
+                  FROM (SELECT * FROM bld WHERE {own_newest('bld')}) b
+                  JOIN rent r USING (property_id, as_of_month, month) JOIN prop p USING (property_id, as_of_month, month))""",
+            "bld", "rent", "prop", by_property=True),
+        "r08_by_property": _sql(f"""
+            SELECT property_id, {_d('month', 'Report Month')}, {_n('ROUND(occupancy_pct, 1)', 'Occupancy %')},
+                   {_i('leased_sqft', 'Leased SqFt')}, {_i('total_property_sqft', 'Total SqFt')},
+                   {_n('collected', 'Revenue Collected')}, {_n('rent_base', 'Rent Base')},
+                   {_n('ROUND(collection_rate_pct, 1)', 'Collection Rate %')}, {_n('accounts_receivable', 'AR')},
+                   {_n('price_per_sf_yr', 'Avg $/SF/Year')}, {_i('a_sqft', 'Building A SqFt')}, {_i('b_sqft', 'Building B SqFt')},
+                   {_i('suites', 'Total Suites')}, {_i('vacant', 'Vacant Suites')}
+            FROM prop LEFT JOIN (
+                SELECT property_id, month, MAX(CASE WHEN building = 'A' THEN occupied_sqft END) AS a_sqft,
+                       MAX(CASE WHEN building = 'B' THEN occupied_sqft END) AS b_sqft, SUM(suite_count) AS suites,
+                       SUM(vacant_count) AS vacant FROM bld GROUP BY property_id, month) USING (property_id, month)
+            WHERE {own_newest('prop')}""", "prop", "bld", by_property=True),
         "r04_vacant_suites": _sql(f"""
             SELECT suite_id AS "Suite", building AS "Building", {_i('sqft', 'SqFt')},
                    {_n('COALESCE(mean_rate, 0)', 'Avg $/SF/Yr (Building)')}

@@ -2,6 +2,9 @@
 
 Where several snapshots repeat a month, a report reads the newest snapshot of the month it shows; every report
 with a row limit has a total order.
+
+With ``keys`` a report is made for each property of a portfolio: its newest months are the property's own, and the keys are its first columns.
+Reports without the argument take one property's frames.
 """
 
 from __future__ import annotations
@@ -15,21 +18,21 @@ from pyspark.sql import functions as F
 
 from leasemill.functions import vocabulary as V
 from leasemill.functions.expressions import collection_band, md5_key, money, ratio, roster_status
-from leasemill.operators.windows import latest, since, top_by
+from leasemill.operators.windows import Keys, latest, since, top_by
 
 def _newest_first() -> tuple[Column, Column]:
     return F.desc("month"), F.desc("as_of_month")
 
 
-def _named(df: DataFrame, labels: Mapping[str, str]) -> DataFrame:
-    return df.select(*[F.col(f"`{column}`").alias(label) for column, label in labels.items()])
+def _named(df: DataFrame, labels: Mapping[str, str], keys: Keys = ()) -> DataFrame:
+    return df.select(*keys, *[F.col(f"`{column}`").alias(label) for column, label in labels.items()])
 
 
-def property_overview(prop_kpi: DataFrame) -> DataFrame:
+def property_overview(prop_kpi: DataFrame, keys: Keys = ()) -> DataFrame:
     """KPIs of the newest month that has collections."""
     known = prop_kpi.where(F.col("month").isNotNull() & F.col("collected").isNotNull())
     return _named(
-        top_by(known, 1, *_newest_first()),
+        top_by(known, 1, *_newest_first(), keys=keys),
         {
             "month": "month",
             "occupancy_pct": "Occupancy %",
@@ -41,15 +44,16 @@ def property_overview(prop_kpi: DataFrame) -> DataFrame:
             "price_per_sf_yr": "Price $/SF/Year",
             "accounts_receivable": "AR (Uncollected)",
         },
+        keys,
     )
 
 
-def revenue_trends(rent: DataFrame, months: int = 6) -> DataFrame:
+def revenue_trends(rent: DataFrame, months: int = 6, keys: Keys = ()) -> DataFrame:
     """The newest six ledger months with the rate recomputed and rounded."""
     known = rent.where(F.col("month").isNotNull() & F.col("rent_base").isNotNull())
     recomputed = F.col("collected").cast("double") / F.nullif(F.col("rent_base").cast("double"), F.lit(0.0)) * 100
     return _named(
-        top_by(known, months, *_newest_first()).withColumn("calc", F.round(recomputed, 2)),
+        top_by(known, months, *_newest_first(), keys=keys).withColumn("calc", F.round(recomputed, 2)),
         {
             "month": "month",
             "rent_base": "Rent Base",
@@ -58,12 +62,13 @@ def revenue_trends(rent: DataFrame, months: int = 6) -> DataFrame:
             "collection_rate_pct": "Collection %",
             "calc": "Collection Rate (Calc)",
         },
+        keys,
     )
 
 
-def building_comparison(building_kpi: DataFrame) -> DataFrame:
+def building_comparison(building_kpi: DataFrame, keys: Keys = ()) -> DataFrame:
     """Newest month, one row per building (needs the revenue area)."""
-    newest = latest(building_kpi.where(F.col("month").isNotNull()), "month").withColumn(
+    newest = latest(building_kpi.where(F.col("month").isNotNull()), "month", keys).withColumn(
         "occupancy_pct", F.round("occupancy_pct", 2)
     )
     return _named(
@@ -78,7 +83,8 @@ def building_comparison(building_kpi: DataFrame) -> DataFrame:
             "own_use_count": "Own-Use Suites",
             "revenue_sqft": "Revenue SqFt",
         },
-    ).orderBy("building")
+        keys,
+    ).orderBy(*keys, "building")
 
 
 def vacant_suites(lease: DataFrame, months: DataFrame | None = None) -> DataFrame:
@@ -129,10 +135,10 @@ def occupancy_history(prop_kpi: DataFrame) -> DataFrame:
     )
 
 
-def revenue_by_building(rent: DataFrame, prop_kpi: DataFrame, building_kpi: DataFrame) -> DataFrame:
+def revenue_by_building(rent: DataFrame, prop_kpi: DataFrame, building_kpi: DataFrame, keys: Keys = ()) -> DataFrame:
     """Collections of the newest month split over the buildings by revenue area."""
-    grain = ["as_of_month", "month"]
-    newest = latest(building_kpi, "month").select(*grain, "building", "occupied_sqft", "revenue_sqft")
+    grain = [*keys, "as_of_month", "month"]
+    newest = latest(building_kpi, "month", keys).select(*grain, "building", "occupied_sqft", "revenue_sqft")
     whole = prop_kpi.select(*grain, F.col("revenue_sqft").alias("property_revenue_sqft"))
     paid = rent.where(F.col("collected").isNotNull()).select(*grain, "collected")
     share = ratio(F.col("revenue_sqft"), F.col("property_revenue_sqft"))
@@ -141,18 +147,19 @@ def revenue_by_building(rent: DataFrame, prop_kpi: DataFrame, building_kpi: Data
         newest.join(paid, grain)
         .join(whole, grain)
         .select(
+            *keys,
             F.col("building").alias("Building"),
             F.col("occupied_sqft").alias("Occupied SqFt"),
             F.round(estimate, 2).alias("Est. Revenue"),
             F.round(F.try_divide(estimate, F.col("occupied_sqft").cast("double")), 2).alias("Revenue per SqFt"),
         )
-        .orderBy("Building")
+        .orderBy(*keys, "Building")
     )
 
 
-def kpi_summary(prop_kpi: DataFrame, building_kpi: DataFrame) -> DataFrame:
+def kpi_summary(prop_kpi: DataFrame, building_kpi: DataFrame, keys: Keys = ()) -> DataFrame:
     """One row: newest month's KPIs with the occupied area of each building and the suite counts."""
-    grain = ["as_of_month", "month"]
+    grain = [*keys, "as_of_month", "month"]
 
     def occupied(building: str):
         return F.max(F.when(F.col("building") == building, F.col("occupied_sqft")))
@@ -164,7 +171,7 @@ def kpi_summary(prop_kpi: DataFrame, building_kpi: DataFrame) -> DataFrame:
         F.sum("vacant_count").alias("vacant"),
     )
     known = prop_kpi.where(F.col("month").isNotNull() & F.col("collected").isNotNull())
-    newest = top_by(known, 1, *_newest_first()).withColumns(
+    newest = top_by(known, 1, *_newest_first(), keys=keys).withColumns(
         {
             "occupancy_pct": F.round("occupancy_pct", 1),
             "collection_rate_pct": F.round("collection_rate_pct", 1),
@@ -188,6 +195,7 @@ def kpi_summary(prop_kpi: DataFrame, building_kpi: DataFrame) -> DataFrame:
             "suites": "Total Suites",
             "vacant": "Vacant Suites",
         },
+        keys,
     )
 
 

@@ -783,6 +783,26 @@ _QUERIES: dict[str, Query] = {
     "r01_property_overview": _of(lambda p: reports.property_overview(p.prop())),
     "r02_revenue_trends": _of(lambda p: reports.revenue_trends(p.rent)),
     "r03_building_comparison": _of(lambda p: reports.building_comparison(p.stored_building(revenue_sqft=True))),
+    "r01_by_property": _of(lambda p: reports.property_overview(p.prop(), p.keys), by_property=True),
+    "r02_by_property": _of(lambda p: reports.revenue_trends(p.rent, keys=p.keys), by_property=True),
+    "r03_by_property": _of(
+        lambda p: reports.building_comparison(p.stored_building(revenue_sqft=True), p.keys), by_property=True
+    ),
+    "r07_by_property": _of(
+        lambda p: _with(
+            p.stored("raw_ledger", "raw_lease"),
+            lambda s: reports.revenue_by_building(
+                s.rent, s.prop(revenue_sqft=True), s.stored_building(revenue_sqft=True), s.keys
+            ),
+        ),
+        by_property=True,
+    ),
+    "r08_by_property": _of(
+        lambda p: _with(
+            p.stored("raw_ledger", "raw_lease"), lambda s: reports.kpi_summary(s.prop(), s.building(), s.keys)
+        ),
+        by_property=True,
+    ),
     "r04_vacant_suites": _of(lambda p: _with(p.stored("raw_lease"), lambda s: reports.vacant_suites(s.lease))),
     "r04b_all_suites": _of(lambda p: reports.all_suites(models.dim_suite(p.lease))),
     "r05_tenant_roster": _of(lambda p: reports.tenant_roster(models.dim_tenant(p.lease))),

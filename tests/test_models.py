@@ -128,6 +128,25 @@ def test_overview_skips_months_without_collections(spark, ledger, lease):
     assert reports.property_overview(kpi).first()["month"] == date(2025, 2, 1)
 
 
+def test_reports_keep_every_property(ledger, lease):
+    keys = ["property_id"]
+
+    def two(df):
+        older = df.where("as_of_month <= '2025-01'").withColumn("property_id", F.lit("q"))
+        return df.withColumn("property_id", F.lit("p")).unionByName(older)
+
+    prop = two(models.prop_kpi(ledger, lease, revenue_sqft=True))
+    building = two(models.building_kpi(ledger, lease, revenue_sqft=True))
+    rent = two(models.fact_rent(ledger))
+    made = [(reports.property_overview, (prop,)), (reports.revenue_trends, (rent,)), (reports.building_comparison, (building,)),
+            (reports.revenue_by_building, (rent, prop, building)), (reports.kpi_summary, (prop, building))]
+    for report, frames in made:
+        got = report(*frames, keys=keys).collect()
+        for who in ("p", "q"):
+            alone = report(*[f.where(F.col("property_id") == who).drop("property_id") for f in frames]).collect()
+            assert alone and sorted(map(repr, alone)) == sorted(repr(type(r)(**{k: v for k, v in r.asDict().items() if k != "property_id"})) for r in got if r["property_id"] == who)
+
+
 def test_reports_read_one_snapshot_when_months_repeat(ledger, lease):
     again = ledger.where("as_of_month = '2025-01'").withColumn("as_of_month", F.lit("2025-02"))
     both = ledger.where("as_of_month <= '2025-02'").unionByName(again)
