@@ -5,7 +5,7 @@ empty. Of equal texts the row with the most code points in its original text sta
 
 ``CuckooIndex`` is the index of one shard: a cuckoo filter of 16-bit fingerprints, four to a bucket, and beside every
 slot the place of the stored key it stands for. A lookup reads two buckets; a fingerprint that matches is verified
-against the stored key, the SHA-256 of the normalised text and its length. A key can be deleted again, and when an insertion finds no free
+against the stored key, the whole SHA-256 of the normalised text; no text is held, so texts of equal SHA-256 count as equal. A key can be deleted again, and when an insertion finds no free
 slot after ``KICKS`` moves, the filter is rebuilt at twice the size from the stored keys, so nothing is ever dropped.
 
 On Spark, every task first folds its own copies, so that a text which makes up a third of all rows sends one row per
