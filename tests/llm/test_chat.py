@@ -42,3 +42,29 @@ def test_ties_and_nulls(spark, turns):
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     row = chat.format_trees(chat.from_turns(frame)).first()
     assert chat.read_back(row["formatted"]) == [("", ""), ("", ""), ("user", "a"), ("user", "a")]
+
+
+def test_circles_and_nodes_without_id(spark):
+    trees = [
+        # 4 and 5 hang on the circle 1, 2, 3; 0 hangs on it too and is smaller than its nodes.
+        (1, 1, 3), (1, 2, 1), (1, 3, 2), (1, 4, 3), (1, 5, 4), (1, 0, 2),
+        (2, 7, 7),
+        # Two circles and a tree of one conversation.
+        (3, 1, 2), (3, 2, 1), (3, 3, 4), (3, 4, 3), (3, 5, None), (3, 6, 5),
+        (4, 1, None), (4, 2, 1), (4, None, 2), (4, None, None),
+        (None, None, None),
+    ]
+    frame = spark.createDataFrame([(c, n, p, "user", f"{n}", 0.0) for c, n, p in trees], "conv_id long, node long, parent long, role string, text string, score double")
+    expected = [(1, 0, "120"), (1, 5, "12345"), (2, 7, "7"), (3, 2, "12"), (3, 4, "34"), (3, 6, "56"), (4, None, "12None"), (4, None, "None"), (None, None, "None")]
+    for given, wanted in ((frame, expected), (frame.where("conv_id < 4"), expected[:6])):
+        rows = chat.format_trees(given).collect()
+        got = [(r["conv_id"], r["leaf"], "".join(t for _, t in chat.read_back(r["formatted"]))) for r in rows]
+        assert sorted(got, key=repr) == sorted(wanted, key=repr)
+
+
+def test_many_leaves_of_a_circle_stay_small(spark):
+    ring = [(1, n, (n + 1) % 40) for n in range(40)] + [(1, 100 + n, n % 40) for n in range(60)]
+    nodes = spark.createDataFrame([("v1", n, p, 0.0) for _, n, p in ring], "conv string, node long, parent long, score double")
+    got = {(r["leaf"], r["n"]) for r in chat.paths(nodes).groupBy("leaf").count().withColumnRenamed("count", "n").collect()}
+    # Cut at node 0, the ring is a chain below it: 39 answers 0, 38 answers 39, and so on down to 1.
+    assert got == {(100 + n, 2 + (40 - n % 40) % 40) for n in range(60)}
