@@ -14,6 +14,7 @@ TARGET_LABELS = ["collection target", "target"]
 # Patterns that choose a worksheet, first pattern first.
 LEDGER_SHEET_PATTERNS = ["dashboard", "2025", "2026"]
 LEASE_SHEET_PATTERNS = ["lease", "rate"]
+EXPENSE_SHEET_PATTERNS = ["expense", "gastos", "budget"]
 
 # Tenant wording that marks an empty suite.
 VACANCY_PATTERNS = ["vacante", "vacant", "disponible", "available"]
@@ -39,6 +40,18 @@ LEDGER_ALIASES = {
     "price per sf/yr": "price_per_sf_yr",
     "$/sf/yr": "price_per_sf_yr",
 }
+EXPENSE_ALIASES = {
+    "concepto": "item",
+    "item": "item",
+    "proveedor": "vendor",
+    "vendor": "vendor",
+    "real": "actual",
+    "actual": "actual",
+    "presupuesto": "budget",
+    "budget": "budget",
+    "varianza": "variance",
+    "variance": "variance",
+}
 LEASE_ALIASES = {
     "suite": "suite_id",
     "suite_id": "suite_id",

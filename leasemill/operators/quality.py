@@ -192,7 +192,8 @@ MODEL_TESTS = [
 def model_tests(frames: Mapping[str, DataFrame]) -> DataFrame:
     """Run the declared tests of the given models: (model, column, test, failures, passed).
 
-    not_null and accepted_values count rows and share one pass per model; unique counts values that repeat.
+    not_null and accepted_values count rows and share one pass per model; unique counts values that repeat, within their
+    property where the model has one.
     """
     results = []
     for model, df in frames.items():
@@ -210,8 +211,9 @@ def model_tests(frames: Mapping[str, DataFrame]) -> DataFrame:
             )
         for m, column, test, _ in MODEL_TESTS:
             if m == model and test == "unique":
+                whose = [k for k in (schemas.PROPERTY,) if k in df.columns]
                 results.append(
-                    duplicates(df, [column]).agg(F.count(F.lit(1)).alias("failures")).select(
+                    duplicates(df, [*whose, column]).agg(F.count(F.lit(1)).alias("failures")).select(
                         F.lit(model).alias("model"), F.lit(column).alias("column"), F.lit("unique").alias("test"),
                         "failures",
                     )

@@ -7,6 +7,7 @@ uses. Decimals are compared as doubles with six places and dates as text, like `
 from __future__ import annotations
 
 from leasemill.functions import vocabulary as V
+from leasemill.sources.star import ITEM_ROWS
 
 
 def _n(expr: str, name: str | None = None, places: int = 6) -> str:
@@ -335,6 +336,12 @@ def _models() -> dict[str, str]:
             "expense"),
         "prop_kpi": _sql(f"SELECT {_PROP} FROM prop", "prop"),
         "prop_kpi_excl_own_use": _sql(f"SELECT {_PROP} FROM prop_x", "prop_x"),
+        "prop_kpi_with_areas": _sql(f"""
+            SELECT property_id, {_PROP} FROM (
+              SELECT p.* REPLACE (CASE WHEN p.total_property_sqft IS NOT NULL THEN total_sqft END AS total_property_sqft,
+                                  {_pct("CASE WHEN p.total_property_sqft IS NOT NULL THEN p.leased_sqft END", "total_sqft")} AS occupancy_pct)
+              FROM prop p LEFT JOIN (SELECT property_id, MAX(leased_sqft) AS total_sqft FROM ledger WHERE property_id <> '3' GROUP BY property_id) a
+              ON a.property_id = p.property_id)""", "prop", "ledger", by_property=True),
         "prop_kpi_by_property": _sql(f"SELECT property_id, {_PROP} FROM prop", "prop", by_property=True),
         "building_kpi": _sql(f"SELECT {_BLD} FROM bld", "bld"),
         "building_kpi_excl_own_use": _sql(f"SELECT {_BLD} FROM bld_x", "bld_x"),
@@ -555,6 +562,16 @@ def _reports() -> dict[str, str]:
                    {_n(_pct('(SUM(suite_count) - SUM(vacant_count))', 'SUM(suite_count)'), 'avg_occupancy_pct')}
             FROM bld JOIN rent USING (as_of_month, month) WHERE month = (SELECT MAX(month) FROM bld)
             GROUP BY month""", "bld", "rent"),
+        **{name: _sql(f"""
+            SELECT {k} {_d('MAX(month)', 'month')}, {_i('SUM(buildings)', 'buildings')}, {_i('SUM(suites)', 'total_suites')},
+                   {_i('SUM(suites - vacant)', 'occupied_suites')}, {_n('SUM(collected)', 'total_revenue')},
+                   {_n(_pct('SUM(suites - vacant)', 'SUM(suites)'), 'avg_occupancy_pct')}
+            FROM (SELECT property_id, month, COUNT(*) AS buildings, SUM(suite_count) AS suites, SUM(vacant_count) AS vacant
+                  FROM bld GROUP BY property_id, month) b
+            JOIN rent USING (property_id, month)
+            WHERE month = (SELECT MAX(q.month) FROM bld q WHERE q.property_id = b.property_id) {group}""",
+                   "bld", "rent", by_property=True)
+           for name, k, group in (("portfolio_totals_by_property", "property_id,", "GROUP BY property_id"), ("portfolio_totals_all", "", ""))},
         "last_12_points": _sql(f"""
             SELECT {_cols(n='collected occupancy_pct price_per_sf_yr', d='month')}
             FROM (SELECT * FROM prop ORDER BY month DESC LIMIT 12)""", "prop"),
@@ -693,6 +710,15 @@ def _ingestion() -> dict[str, str]:
         "alias_columns": f"""
             SELECT {_i('p_partkey')}, {alias.format("'tenant'", "'rent_monthly'", "'rent_psf_yr'")} AS lease_column,
                    {alias.format("'inquilino'", "'renta mensual'", "'price_per_sf_yr'")} AS ledger_column FROM part""",
+        "alias_every_header": _every_alias(),
+        "expense_sheet": _sql(f"""
+            SELECT 'portfolio_' || as_of_month || '.xlsx' AS file, {_i("place + CASE WHEN odd THEN 4 ELSE 6 END", 'row')}, item,
+                   CASE WHEN odd THEN 'Vendor ' || place ELSE NULL END AS vendor, {_n('actual')},
+                   {_n('budget')}, {_n('CASE WHEN odd THEN -7 ELSE budget - actual END', 'variance')}
+            FROM (SELECT as_of_month, item, month(month) % 2 = 1 AS odd, place, actual,
+                         CASE WHEN place % 3 <> 0 THEN 1000 * place END AS budget
+                  FROM raw_expenses JOIN (SELECT UNNEST([{', '.join(map(repr, ITEM_ROWS))}]) AS item,
+                                                 UNNEST(range(0, 6)) AS place) USING (item))""", "raw_expenses"),
         "clean_rows": f"""
             SELECT o_orderpriority AS priority, {_i('o_orderkey', 'order_key')} FROM orders WHERE o_orderstatus <> 'P'""",
         "numeric_coerce": f"""
@@ -867,6 +893,15 @@ def _quality() -> dict[str, str]:
             counted("stg_expenses_monthly", "expense_category", "accepted_values",
                     "expense_category NOT IN ('fixed', 'variable')", "expenses"), "expenses"),
         "quality_model_tests": _model_tests(),
+        "quality_dimensions_by_property": _sql("""
+            SELECT model, column_name AS "column", test, CAST(failures AS BIGINT) AS failures, failures = 0 AS passed FROM (
+              SELECT 'dim_suite' AS model, 'suite_id' AS column_name, 'not_null' AS test, 0 AS failures
+              UNION ALL SELECT 'dim_tenant', 'tenant_id', 'not_null', 0
+              UNION ALL SELECT 'dim_suite', 'suite_id', 'unique', COUNT(*)
+                FROM (SELECT property_id, suite_id FROM dim_suite GROUP BY ALL HAVING COUNT(*) > 1)
+              UNION ALL SELECT 'dim_tenant', 'tenant_id', 'unique', COUNT(*)
+                FROM (SELECT property_id, tenant_id FROM dim_tenant GROUP BY ALL HAVING COUNT(*) > 1))""",
+            "dim_suite", "dim_tenant", by_property=True),
         "kpi_rules": _sql(" UNION ALL ".join(
             counted(t, c, k, b, source, severity, by="") for t, c, k, b, source, severity in rules),
             "prop", "rent", "raw_ledger", "raw_lease"),
@@ -888,6 +923,18 @@ def _quality() -> dict[str, str]:
     }
 
 
+def _every_alias() -> str:
+    """The vocabulary as a table of (place, canonical name per worksheet)."""
+    wording = [*dict.fromkeys([*V.LEDGER_ALIASES, *V.EXPENSE_ALIASES, *V.LEASE_ALIASES]), "note"]
+    rows = ", ".join(
+        f"({i}, {', '.join(repr(aliases.get(w, w)) for aliases in (V.LEDGER_ALIASES, V.EXPENSE_ALIASES, V.LEASE_ALIASES))})"
+        for i, w in enumerate(wording))
+    return f"""
+        SELECT {_i('p_partkey')}, ledger_column, expense_column, lease_column
+        FROM part JOIN (VALUES {rows}) AS v(place, ledger_column, expense_column, lease_column)
+             ON p_partkey % {len(wording)} = place"""
+
+
 def _model_tests() -> str:
     """Only the two uniqueness tests can fail on these tables."""
     from leasemill.operators.quality import MODEL_TESTS

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leasemill import schemas
 from leasemill.functions import vocabulary as V
 from leasemill.functions.expressions import percentage, suite_status
 from leasemill.operators.windows import last_row_per, latest, top_by, window_filter
@@ -127,22 +128,27 @@ def summary_cards(
     )
 
 
-def portfolio_totals(building_kpi: DataFrame, rent: DataFrame) -> DataFrame:
-    """Newest month over all buildings: suites, occupied suites, share occupied, collected revenue."""
-    newest = latest(building_kpi, "month")
-    suites = newest.groupBy("as_of_month", "month").agg(
-        F.countDistinct("building").alias("buildings"),
-        F.sum("suite_count").alias("total_suites"),
-        (F.sum("suite_count") - F.sum("vacant_count")).alias("occupied_suites"),
-    )
-    return suites.join(rent.select("as_of_month", "month", "collected"), ["as_of_month", "month"]).select(
-        "month",
-        "buildings",
-        "total_suites",
-        "occupied_suites",
-        F.col("collected").alias("total_revenue"),
-        percentage(F.col("occupied_suites"), F.col("total_suites")).alias("avg_occupancy_pct"),
+def portfolio_totals(building_kpi: DataFrame, rent: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Buildings, suites, occupied suites, share occupied and collected revenue of the newest months; the newest snapshot of them counts.
+
+    Every property counts with its own newest month, so one that reports late is not lost; ``month`` is the newest of all. One row
+    for the whole portfolio, or with ``keys`` one per property. Suites are summed per property and month before rent is
+    joined, so neither side multiplies the other.
+    """
+    own = [c for c in (schemas.PROPERTY,) if c in building_kpi.columns]
+    newest = latest(latest(building_kpi, "month", own), "as_of_month", own)
+    grain = [*own, "as_of_month", "month"]
+    suites = newest.groupBy(*grain).agg(
+        F.countDistinct("building").alias("buildings"), F.sum("suite_count").alias("suites"), F.sum("vacant_count").alias("vacant"))
+    totals = suites.join(rent.select(*grain, "collected"), grain).groupBy(*keys).agg(
+        F.max("month").alias("month"),
+        F.sum("buildings").alias("buildings"),
+        F.sum("suites").alias("total_suites"),
+        (F.sum("suites") - F.sum("vacant")).alias("occupied_suites"),
+        F.sum("collected").alias("total_revenue"),
     )
+    return totals.where(F.col("month").isNotNull()).withColumn(
+        "avg_occupancy_pct", percentage(F.col("occupied_suites"), F.col("total_suites")))
 
 
 def last_points(prop_kpi: DataFrame, n: int = 12) -> DataFrame:

@@ -158,13 +158,16 @@ def _earning() -> Column:
 def prop_kpi(
     ledger: DataFrame,
     lease: DataFrame,
-    total_sqft: int | Column = V.TOTAL_SQFT,
+    total_sqft: int | Column | DataFrame = V.TOTAL_SQFT,
     exclude_own_use: bool = False,
     keys: Keys = (),
     revenue_sqft: bool = False,
 ) -> DataFrame:
     """Property KPIs per (snapshot month, month); a month without a roster keeps null areas and zero ratios.
 
+    ``total_sqft`` is the area of every property, or a frame (*keys, total_sqft) with one row per property; a property without
+    a row there has no area and a zero occupancy.
+
     The roster collapses to one row per month before the join, so only month-grain rows are joined; both sides
     are already partitioned by the join key.
     """
@@ -178,10 +181,14 @@ def prop_kpi(
         _sum_where(_earning(), area).alias("revenue_sqft"),
         F.lit(True).alias("has_roster"),
     )
-    total = total_sqft if isinstance(total_sqft, Column) else F.lit(total_sqft)
+    if isinstance(total_sqft, DataFrame):
+        areas = total_sqft.select(*keys, F.col("total_sqft").cast("bigint").alias("property_sqft"))
+        measured = ledger.join(areas, list(keys), "left")
+    else:
+        total = total_sqft if isinstance(total_sqft, Column) else F.lit(total_sqft)
+        measured = ledger.withColumn("property_sqft", total.cast("bigint"))
     joined = (
-        ledger.withColumn("property_sqft", total.cast("bigint"))
-        .join(roster, grain, "left")
+        measured.join(roster, grain, "left")
         .withColumn("total_property_sqft", F.when(F.col("has_roster"), F.col("property_sqft")))
     )
     return joined.select(

@@ -42,12 +42,15 @@ EXPORTS = ("prop_kpi_monthly", "building_kpi_monthly", "kpi_windows", "fact_expe
 
 @dataclass
 class Run:
-    """Settings of one run. ``root`` is a shared folder; bronze, staged and gold tables live below it."""
+    """Settings of one run. ``root`` is a shared folder; bronze, staged and gold tables live below it.
+
+    ``total_sqft`` is one area for every property, or a frame (property_id, total_sqft).
+    """
 
     spark: SparkSession
     root: str
     landed: DataFrame | None = None
-    total_sqft: int = V.TOTAL_SQFT
+    total_sqft: int | DataFrame = V.TOTAL_SQFT
     exclude_own_use: bool = False
     full_refresh: bool = False
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
@@ -147,6 +150,7 @@ def build_models(run: Run) -> None:
     run.save("fact_expense_monthly", models.fact_expense(expenses, KEYS))
     run.save("prop_kpi_monthly", models.prop_kpi(ledger, lease, run.total_sqft, run.exclude_own_use, KEYS))
     run.save("building_kpi_monthly", models.building_kpi(ledger, lease, run.exclude_own_use, KEYS))
+    run.save("noi_monthly", models.noi(run.read_gold("fact_rent_monthly"), run.read_gold("fact_expense_monthly"), KEYS))
     run.save("kpi_windows", windows.trailing_kpis(run.read_gold("prop_kpi_monthly"), KEYS))
     run.save("snap_lease_rate_scd2", history.versions(lease, keys=KEYS))
     # Failed model tests are recorded, not fatal: some declared uniqueness does not hold for a changing roster.

@@ -101,6 +101,11 @@ class Portfolio:
     def building(self, exclude_own_use: bool = False, revenue_sqft: bool = False) -> DataFrame:
         return models.building_kpi(self.ledger, self.lease, exclude_own_use, self.keys, revenue_sqft)
 
+    @cached_property
+    def areas(self) -> DataFrame:
+        """An area for every property but one: the largest leased area of its months."""
+        return self.ledger.where("property_id <> '3'").groupBy(*self.keys).agg(F.max("leased_sqft").alias("total_sqft"))
+
     @cached_property
     def rent(self) -> DataFrame:
         return models.fact_rent(self.ledger, self.keys)
@@ -210,6 +215,22 @@ def alias_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def alias_every_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every known header wording, padded and in capitals, and an unknown one, under the aliases of each worksheet."""
+    wording = [*dict.fromkeys([*V.LEDGER_ALIASES, *V.EXPENSE_ALIASES, *V.LEASE_ALIASES]), "Note"]
+    place = F.col("p_partkey") % len(wording)
+    header = F.concat(F.lit(" "), F.upper(F.element_at(F.array(*map(F.lit, wording)), place.cast("int") + 1)), F.lit("  "))
+    tables = {"ledger_column": V.LEDGER_ALIASES, "expense_column": V.EXPENSE_ALIASES, "lease_column": V.LEASE_ALIASES}
+    return star.table(spark, sf_dir, "part").select(
+        "p_partkey", *[clean.canonical_name(header, aliases).alias(name) for name, aliases in tables.items()])
+
+
+def expense_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expense sheets with their own headers, Spanish in even months: read by alias, numbers coerced, the variance filled in."""
+    cells = _stored(spark, star.expense_sheet_cells(spark, sf_dir), "cells")
+    return grid.expense_sheet_records(cells)
+
+
 def clean_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empty rows and the empty column go, text is trimmed."""
     orders = star.table(spark, sf_dir, "orders")
@@ -475,6 +496,13 @@ def quality_accepted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.check_summary(p.expenses, "stg_expenses_monthly", only_two)
 
 
+def quality_dimensions_by_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests of the dimensions of a portfolio: a suite or tenant of two properties is no repetition."""
+    p = Portfolio(spark, sf_dir, by_property=True).stored("raw_lease")
+    frames = {"dim_suite": models.dim_suite(p.lease, p.keys), "dim_tenant": models.dim_tenant(p.lease, p.keys)}
+    return quality.model_tests(frames)
+
+
 def quality_model_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The declared tests of every model."""
     p = Portfolio(spark, sf_dir).stored("raw_ledger", "raw_lease", "raw_expenses")
@@ -715,6 +743,8 @@ _QUERIES: dict[str, Query] = {
     "sheet_pick": sheet_pick,
     "sheet_outputs": sheet_outputs,
     "alias_columns": alias_columns,
+    "alias_every_header": alias_every_header,
+    "expense_sheet": expense_sheet,
     "clean_rows": clean_rows,
     "numeric_coerce": numeric_coerce,
     "lease_flags": lease_flags,
@@ -743,6 +773,7 @@ _QUERIES: dict[str, Query] = {
     "quality_unique": quality_unique,
     "lease_suite_rules": lease_suite_rules,
     "quality_accepted_values": quality_accepted_values,
+    "quality_dimensions_by_property": quality_dimensions_by_property,
     "quality_model_tests": quality_model_tests,
     "kpi_rules": kpi_rules,
     "reconcile_layers": reconcile_layers,
@@ -759,6 +790,9 @@ _QUERIES: dict[str, Query] = {
     "fact_expense": _of(lambda p: p.expense),
     "prop_kpi": _of(lambda p: p.prop()),
     "prop_kpi_excl_own_use": _of(lambda p: p.prop(exclude_own_use=True)),
+    "prop_kpi_with_areas": _of(
+        lambda p: models.prop_kpi(p.ledger, p.lease, p.areas, keys=p.keys), by_property=True
+    ),
     "prop_kpi_by_property": _of(lambda p: p.prop(), by_property=True),
     "building_kpi": _of(lambda p: p.building()),
     "building_kpi_excl_own_use": _of(lambda p: p.building(exclude_own_use=True)),
@@ -847,6 +881,10 @@ _QUERIES: dict[str, Query] = {
         lambda p: _with(p.stored("raw_lease"), lambda s: dashboard.summary_cards(s.prop(), s.lease))
     ),
     "portfolio_totals": _of(lambda p: dashboard.portfolio_totals(p.stored_building(), p.rent)),
+    "portfolio_totals_by_property": _of(
+        lambda p: dashboard.portfolio_totals(p.stored_building(), p.rent, p.keys), by_property=True
+    ),
+    "portfolio_totals_all": _of(lambda p: dashboard.portfolio_totals(p.stored_building(), p.rent), by_property=True),
     "last_12_points": _of(lambda p: dashboard.last_points(p.prop())),
     "vs_target": _of(lambda p: dashboard.against_target(p.prop())),
     # forecast

@@ -327,5 +327,31 @@ def lease_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def expense_sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expense worksheets with headers of their own: English with vendor and variance in odd months, Spanish below a title in even ones.
+
+    A sheet of notes with the same wording stands before them, and every third budget is text.
+    """
+    place = F.array_position(F.array(*[F.lit(i) for i in ITEM_ROWS]), F.col("item")).cast("int") - 1
+    given = expenses(spark, sf_dir).withColumns({"place": place, "odd": F.month("month") % 2 == 1})
+    item = F.concat(F.lit(" "), F.col("item"), F.lit("  "))
+    budget = F.when(F.col("place") % 3 == 0, F.lit("n/a")).otherwise((F.col("place") * 1000).cast("string"))
+    english = [item, F.concat(F.lit("Vendor "), F.col("place").cast("string")), _plain(F.col("actual")), budget, F.lit("-7")]
+    spanish = [budget, item, _plain(F.col("actual"))]
+    body = given.select("as_of_month", "odd", F.explode(F.when(
+        F.col("odd"), F.array(*[_cell(F.col("place") + 4, F.lit(2 + i), v) for i, v in enumerate(english)]),
+    ).otherwise(F.array(*[_cell(F.col("place") + 6, F.lit(1 + i), v) for i, v in enumerate(spanish)]))).alias("cell"))
+    head = given.select("as_of_month", "odd").distinct().select("as_of_month", "odd", F.explode(F.when(
+        F.col("odd"), F.array(*[_cell(F.lit(3), F.lit(2 + i), F.lit(v)) for i, v in enumerate(["Item", "VENDOR", "Actual ", "Budget", "Variance"])]),
+    ).otherwise(F.array(
+        _cell(F.lit(2), F.lit(2), F.lit("Presupuesto")),
+        *[_cell(F.lit(5), F.lit(1 + i), F.lit(v)) for i, v in enumerate([" Presupuesto", "Concepto", "REAL", "Concepto"])],
+    ))).alias("cell"))
+    notes = head.withColumns({"sheet": F.lit("Notes"), "sheet_no": F.lit(1)})
+    sheet = F.when(F.col("odd"), "Expense plan").otherwise("Gastos")
+    sheets = body.unionByName(head).withColumns({"sheet": sheet, "sheet_no": F.lit(2)}).unionByName(notes)
+    return sheets.select(file_name(F.col("as_of_month")).alias("file"), "sheet", "sheet_no", "cell.*")
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_cells(spark, sf_dir).unionByName(lease_cells(spark, sf_dir))
