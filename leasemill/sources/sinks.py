@@ -192,11 +192,16 @@ def ingestion_entries(arrivals: DataFrame, stored: Sequence[DataFrame], started:
         lambda a, b: a.unionByName(b),
         [r.groupBy(*key).agg(F.count(F.lit(1)).alias("n")) for r in stored],
     ).groupBy(*key).agg(F.sum("n").alias("n"))
+    return log_entries(arrivals.join(counted, key, "left"), started, finished)
+
+
+def log_entries(arrivals: DataFrame, started: datetime, finished: datetime) -> DataFrame:
+    """The log rows of arrivals with a role and ``n``, the number of rows that were loaded from them."""
     taken = F.col("role") == "take"
     status = (
         F.when(F.col("role") == "fail", "failed").when(~taken, "skipped").when(F.col("n") > 0, "success").otherwise("failed")
     )
-    return arrivals.join(counted, key, "left").select(
+    return arrivals.select(
         schemas.PROPERTY, "file", "_file_md5", "as_of_month", "arrived",
         F.when(taken, F.coalesce("n", F.lit(0))).otherwise(0).cast("bigint").alias("rows_ingested"),
         F.lit(started).cast("timestamp").alias("started_at"),
