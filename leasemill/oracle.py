@@ -623,6 +623,10 @@ def _history() -> dict[str, str]:
             SELECT suite_id, building, tenant, is_vacant, is_own_use, as_of_month, valid_from, {_TO},
                    {_cols(n='rent_monthly rent_annual rent_psf_yr', i='sqft version')}
             FROM ({_scd('lease', _CHECKED, carried)})""", "lease"),
+        "scd2_incremental": _sql(f"""
+            SELECT property_id, suite_id, tenant, as_of_month, valid_from, {_TO}, {_cols(n='rent_monthly', i='sqft version')}
+            FROM ({_scd('lease', _CHECKED, 'tenant rent_monthly sqft as_of_month', 'property_id, suite_id', True)})""",
+            "lease", by_property=True),
         "scd2_status": _sql(f"""
             SELECT suite_id, tenant, is_vacant, {_i('version')}, valid_from, {_TO}
             FROM ({_scd('lease', ['tenant', 'is_vacant'], 'tenant is_vacant')})""", "lease"),
@@ -643,6 +647,12 @@ def _history() -> dict[str, str]:
             WHERE as_of_month = (SELECT MAX(q.as_of_month) FROM lease q WHERE q.property_id = lease.property_id)""",
             "lease", by_property=True),
         "incremental_new_months": _sql(f"SELECT {_LEDGER} FROM ledger WHERE as_of_month > '1999-06'", "ledger"),
+        "gold_after_late_month": _sql(f"""
+            SELECT property_id, {_WIN}, {_n('noi')} FROM win JOIN (
+              SELECT property_id, as_of_month AS end_month, collected - COALESCE(spent, 0) AS noi FROM rent
+              LEFT JOIN (SELECT property_id, as_of_month, SUM(total_actual) AS spent FROM expense WHERE expense_category IN ('fixed', 'variable')
+                         GROUP BY ALL) USING (property_id, as_of_month)) USING (property_id, end_month)""",
+            "win", "rent", "expense", by_property=True),
         "late_month": _sql(f"SELECT {_LEDGER} FROM ledger", "ledger"),
         "full_refresh": _sql(
             f"SELECT {_cols('as_of_month item expense_category', 'actual', d='month')} FROM expenses", "expenses"),

@@ -19,7 +19,8 @@ from leasemill.functions import expressions as X
 from leasemill.functions import vocabulary as V
 from leasemill.operators import clean, history, incremental, quality, windows
 from leasemill.operators import forecast as fc
-from leasemill.plans import dashboard, models, reports
+from leasemill.operators.history_table import HistoryTable
+from leasemill.plans import dashboard, models, refresh, reports
 from leasemill.session import shared_folder
 from leasemill.sources import bronze, grid, sinks, star, workbook
 from leasemill.streaming import arrivals
@@ -389,11 +390,59 @@ def late_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _audit_free(incremental.load(batch, loaded, ["as_of_month", "month"], "touched"))
 
 
+def _built(p: Portfolio, months: Column | None = None) -> refresh.Run:
+    """A run over bronze tables and a log that have the given months of the portfolio, by property."""
+    run = refresh.Run(p.spark, shared_folder(p.spark, "run"))
+    _land(run, p, F.lit(True) if months is None else months)
+    return run
+
+
+def _land(run: refresh.Run, p: Portfolio, months: Column, factor: int = 1) -> None:
+    """Rows of some months arrive in bronze, their rents multiplied, and in the log."""
+    raw = p.raw_ledger.where(months).withColumn("collected", F.col("collected") * factor)
+    for table, df in ((schemas.LEDGER_TABLE, raw), (schemas.EXPENSE_TABLE, p.raw_expenses.where(months)), (schemas.LEASE_TABLE, p.raw_lease.where(months))):
+        sinks.write_bronze(df, run.bronze(), table)
+    arrived = F.unix_micros(F.current_timestamp())
+    files = raw.select(*p.keys, F.concat_ws("-", "as_of_month", F.lit(str(factor))).alias("file"), F.md5(F.lit(str(factor))).alias("_file_md5"),
+                       "as_of_month", arrived.alias("arrived"), F.lit("take").alias("role"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("n"))
+    now = datetime(2025, 1, 1)
+    sinks.append_log(sinks.log_entries(files, now, now), arrivals.log_path(run.bronze()))
+
+
+def gold_after_late_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold is built without a month and with a wrong one; both arrive later, and what depends on them is written: windows, with the month's own NOI."""
+    p = Portfolio(spark, sf_dir, by_property=True).stored("raw_ledger", "raw_lease", "raw_expenses")
+    month = F.col("as_of_month")
+    run = _built(p, ~month.isin("1998-03", "2000-11"))
+    _land(run, p, month == "2000-11", factor=3)
+    refresh.build_months(run, refresh.stage_tables(run))
+    run.read_gold(refresh.SEEN).write.mode("overwrite").parquet(run.gold(refresh.DONE))
+    _land(run, p, month.isin("1998-03", "2000-11"))
+    refresh.build_months(run, refresh.stage_tables(run))
+    noi = run.read_gold("noi_monthly").select(*p.keys, month.alias("end_month"), "noi")
+    return run.read_gold("kpi_windows").join(noi, [*p.keys, "end_month"])
+
+
 def scd2_lease(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Portfolio(spark, sf_dir).stored("raw_lease")
     return _audit_free(history.versions(p.lease, one_row_per_month=True, months=p.lease_months))
 
 
+def scd2_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored history takes up months out of order: two late ones, one that is sent again with its right rents, and the newest."""
+    p = Portfolio(spark, sf_dir, by_property=True).stored("raw_lease")
+    lease = p.lease
+    late, wrong, newest = ("1995-01", "1998-03"), "1997-05", "2001-07"
+    started = lease.where(~F.col("as_of_month").isin(*late) & (F.col("as_of_month") < newest))
+    mistaken = F.when(F.col("as_of_month") == wrong, F.col("rent_monthly") + 1).otherwise(F.col("rent_monthly"))
+    table = HistoryTable(spark, shared_folder(spark, "history"), keys=p.keys)
+    table.rebuild(started.withColumn("rent_monthly", mistaken.cast(lease.schema["rent_monthly"].dataType)))
+    after = [r[0] for r in lease.where(F.col("as_of_month") >= newest).select("as_of_month").distinct().collect()]
+    for month in [late[1], wrong, *sorted(after, reverse=True), late[0]]:
+        table.take(month, lease)
+    return table.read().select("property_id", "suite_id", "version", "valid_from", "valid_to", "is_current", "tenant", "rent_monthly", "sqft", "as_of_month")
+
+
 def scd2_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History of tenant and vacancy only."""
     p = Portfolio(spark, sf_dir).stored("raw_lease")
@@ -757,7 +806,9 @@ _QUERIES: dict[str, Query] = {
     "upsert_by_key": upsert_by_key,
     "full_refresh": full_refresh,
     "late_month": late_month,
+    "gold_after_late_month": gold_after_late_month,
     "scd2_lease": scd2_lease,
+    "scd2_incremental": scd2_incremental,
     "scd2_status": scd2_status,
     "scd2_by_property": scd2_by_property,
     "scd2_hard_delete": scd2_hard_delete,

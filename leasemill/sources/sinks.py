@@ -41,8 +41,8 @@ def write_bronze(df: DataFrame, root: str, table: str) -> None:
     _replace_partitions(df.select(*columns), table_path(root, table), schemas.PROPERTY, PARTITION)
 
 
-def write_months(df: DataFrame, path: str) -> None:
-    _replace_partitions(df, path, PARTITION)
+def write_months(df: DataFrame, path: str, by: str = PARTITION) -> None:
+    _replace_partitions(df, path, by)
 
 
 def upsert_months(spark: SparkSession, batch: DataFrame, path: str, key: Sequence[str]) -> list[str]:
