@@ -40,8 +40,8 @@ STAGERS = {
     schemas.STAGED[schemas.EXPENSE_TABLE]: (schemas.EXPENSE_TABLE, models.stage_expenses),
     schemas.STAGED[schemas.LEASE_TABLE]: (schemas.LEASE_TABLE, models.stage_lease),
 }
-# The files that bronze held when staging began, those of the last build that ended, and the settings of that build.
-SEEN, DONE, SETTINGS = "_files_seen", "_files_staged", "_settings"
+# The files that bronze held when staging began, those of the last staging and of the last build that ended, and its settings.
+SEEN, DONE, BUILT, SETTINGS = "_files_seen", "_files_staged", "_files_built", "_settings"
 # Models stored by month, and how many months from a changed one on they have to be written anew.
 REACH = {
     "fact_rent_monthly": 1,
@@ -137,11 +137,17 @@ def validate(run: Run) -> None:
     quality.gate(summary)
 
 
-def stale_months(run: Run) -> list[str] | None:
-    """Months whose files are not those they were staged from; None where everything has to be staged."""
-    if run.full_refresh or not path_exists(run.spark, run.gold(DONE)):
+def stale_months(run: Run, since: str = DONE) -> list[str] | None:
+    """Months whose files are not those they were staged (or ``BUILT``) from; None where everything has to be done."""
+    if run.full_refresh or not path_exists(run.spark, f"{run.gold(since)}/_SUCCESS"):
         return None
-    return touched_months(run.read_gold(SEEN).subtract(run.read_gold(DONE)))
+    return touched_months(run.read_gold(SEEN).subtract(run.read_gold(since)))
+
+
+def mark(run: Run, step: str) -> None:
+    """A step has taken up all files that were seen; without a log it is always done whole."""
+    if path_exists(run.spark, arrivals.log_path(run.bronze())):
+        run.read_gold(SEEN).write.mode("overwrite").parquet(run.gold(step))
 
 
 def staged(run: Run, table: str, months: Sequence[str] | None) -> DataFrame:
@@ -150,17 +156,17 @@ def staged(run: Run, table: str, months: Sequence[str] | None) -> DataFrame:
     return stage(read_bronze(run.spark, run.bronze(), raw, months), KEYS)
 
 
-def stage_tables(run: Run) -> list[str] | None:
-    """Bring the staged tables up to the files of the ingestion log; returns the months that changed, None for all.
+def stage_tables(run: Run) -> None:
+    """Bring the staged tables up to the files of the ingestion log.
 
-    The list of files is kept before bronze is read and becomes that of the finished build at its end: a build that stops is done
-    again, and a file that arrives meanwhile is staged by the next run. Bronze without a log is always staged whole.
+    The list of files is kept before bronze is read and becomes that of the staged ones at the end: a staging that stops
+    is done again, and a file that arrives meanwhile is staged by the next run. Bronze without a log is always staged whole.
     """
     arrivals.current_files(run.spark, run.bronze()).write.mode("overwrite").parquet(run.gold(SEEN))
     months = stale_months(run)
     for table in STAGERS:
         run.save_months(table, staged(run, table, months), months)
-    return months
+    mark(run, DONE)
 
 
 def months_from(months: Sequence[str], back: int, on: int) -> list[str]:
@@ -230,7 +236,8 @@ def build_history(run: Run, months: Sequence[str] | None) -> None:
 def build_models(run: Run) -> None:
     """Stage, then dimensions, facts, KPIs, windows and history of what changed; shared inputs are read from what was saved."""
     settings = _settings(run)
-    months = stage_tables(run)
+    stage_tables(run)
+    months = stale_months(run, BUILT)
     ledger, lease = run.read_gold("stg_dashboard_monthly"), run.read_gold("stg_lease_rate")
     if months is None or months:
         run.save("dim_suite", models.dim_suite(lease, KEYS))
@@ -242,8 +249,7 @@ def build_models(run: Run) -> None:
     names = sorted({model for model, *_ in quality.MODEL_TESTS})
     run.save("model_tests", quality.model_tests({n: run.read_gold(n) for n in names}))
     run.spark.createDataFrame([(settings,)], "settings STRING").coalesce(1).write.mode("overwrite").parquet(run.gold(SETTINGS))
-    if path_exists(run.spark, arrivals.log_path(run.bronze())):
-        run.read_gold(SEEN).write.mode("overwrite").parquet(run.gold(DONE))
+    mark(run, BUILT)
 
 
 def build_forecast(run: Run) -> None:

@@ -415,10 +415,12 @@ def gold_after_late_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = F.col("as_of_month")
     run = _built(p, ~month.isin("1998-03", "2000-11"))
     _land(run, p, month == "2000-11", factor=3)
-    refresh.build_months(run, refresh.stage_tables(run))
-    run.read_gold(refresh.SEEN).write.mode("overwrite").parquet(run.gold(refresh.DONE))
+    refresh.stage_tables(run)
+    refresh.build_months(run, None)
+    refresh.mark(run, refresh.BUILT)
     _land(run, p, month.isin("1998-03", "2000-11"))
-    refresh.build_months(run, refresh.stage_tables(run))
+    refresh.stage_tables(run)
+    refresh.build_months(run, refresh.stale_months(run, refresh.BUILT))
     noi = run.read_gold("noi_monthly").select(*p.keys, month.alias("end_month"), "noi")
     return run.read_gold("kpi_windows").join(noi, [*p.keys, "end_month"])
 
