@@ -300,12 +300,15 @@ def place(cut: DataFrame, size: int = 1024) -> DataFrame:
     return numbered.mapInArrow(_place(shared), schema)
 
 
-def sequences(cut: DataFrame, placed: DataFrame) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids (uint32, little-endian) and length, from pieces and their places."""
-    at = placed.select("doc_id", "piece", "start", "length", "sequence_id", "offset")
-    with_ids = at.join(cut.select("doc_id", "piece", "start", "length", "ids"), ["doc_id", "piece", "start", "length"])
+def sequences(cut: DataFrame, size: int = 1024) -> DataFrame:
+    """The packed sequences themselves: sequence_id, ids (uint32, little-endian) and length, from a table of ``pieces``.
+
+    The ids travel with their pieces, so repeated rows and rows without an id are packed each for itself like any other. A sequence
+    holds ``size`` ids at most.
+    """
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return with_ids.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("parts")).select(
+    return place(cut.select("length", "part", "nth", "ids"), size).groupBy("sequence_id").agg(
+        F.sum("length").alias("length"), parts.alias("parts")).select(
         "sequence_id", F.concat_ws("", F.transform("parts", lambda p: F.hex(p["ids"]))).alias("hex"), "length").select(
         "sequence_id", F.unhex("hex").alias("ids"), "length")
 

@@ -117,8 +117,20 @@ def test_sequences_hold_the_ids(documents):
     pairs = list(enumerate(["alpha beta", "gamma " * 1500, "delta"]))
     cut = packing.pieces(documents(pairs), *FILES)
     placed = packing.place(cut.drop("ids"))
-    whole = {r["sequence_id"]: np.frombuffer(r["ids"], np.uint32).tolist() for r in packing.sequences(cut, placed).collect()}
+    whole = {r["sequence_id"]: np.frombuffer(r["ids"], np.uint32).tolist() for r in packing.sequences(cut).collect()}
     encode = reference()
     for r in placed.collect():
         ids = [*encode(pairs[r["doc_id"]][1]), packing.END_ID][r["start"] : r["start"] + r["length"]]
         assert whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == ids
+
+
+def test_sequences_of_repeated_rows_and_rows_without_an_id(documents):
+    pairs = [(1, "same text")] * 2 + [(None, "n")] * 3 + [(2, "other " * 700)]
+    cut = packing.pieces(documents(pairs), *FILES)
+    got = packing.sequences(cut).collect()
+    encode = reference()
+    texts = sorted([*encode(t), packing.END_ID] for _, t in pairs)
+    found = [np.frombuffer(r["ids"], np.uint32).tolist() for r in got]
+    assert [len(f) for f in found] == [r["length"] for r in got] and sum(map(len, found)) == sum(map(len, texts))
+    assert sorted(x for f in found for x in f) == sorted(x for t in texts for x in t)
+    assert packing.sequences(packing.pieces(documents([]), *FILES)).count() == 0
