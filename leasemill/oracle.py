@@ -603,6 +603,8 @@ def _forecasts() -> dict[str, str]:
         "forecast_sink": _sql(f"""
             SELECT strftime(forecast_month, '%Y-%m') AS forecast_month, {_i('horizon')}, {wide}
             FROM fc GROUP BY fc.forecast_month, horizon""", "fc"),
+        "forecast_selected": _selected(),
+        "forecast_selected_short": _selected("year, "),
         "forecast_by_property": _sql(f"SELECT property_id, {_FC} FROM fc", "fc", by_property=True),
         "forecast_backtest": _sql(f"""
             SELECT metric, {_i('COUNT(*)', 'points')}, {_n('AVG(abs(p50 - y))', 'mae', 2)},
@@ -616,6 +618,52 @@ def _forecasts() -> dict[str, str]:
     }
 
 
+def _selected(k: str = "") -> str:
+    """Every candidate run over every series by recursion, one month a step."""
+    from leasemill.operators.smoothing import GRID, TESTED
+
+    grain = f"{k}metric"
+    grid = ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {p}::DOUBLE)" for i, (a, b, p) in enumerate(GRID))
+    source = "(SELECT year(month) AS year, * FROM points)" if k else "points"
+    return _sql(f"""
+        , grid AS (SELECT * FROM (VALUES {grid}) AS g(candidate, alpha, beta, phi)),
+        placed AS (
+          SELECT {grain}, month, y, ROW_NUMBER() OVER w AS t, COUNT(*) OVER (PARTITION BY {grain}) AS n,
+                 MAX(month) OVER (PARTITION BY {grain}) AS last_month, lag(y, 12) OVER w AS year_before
+          FROM {source} WHERE y IS NOT NULL WINDOW w AS (PARTITION BY {grain} ORDER BY month)),
+        fold AS (
+          SELECT {grain}, candidate, t, n, y AS level, 0::DOUBLE AS trend, 0::DOUBLE AS sse FROM placed, grid WHERE t = 1 AND n >= 3
+          UNION ALL
+          SELECT {grain}, candidate, t, n, guess + alpha * miss, phi * trend + alpha * beta * miss,
+                 sse + CASE WHEN t > n - least({TESTED}, n - 2) THEN miss * miss ELSE 0::DOUBLE END
+          FROM (SELECT {", ".join("f." + c.strip() for c in grain.split(","))}, f.candidate, p.t, f.n, alpha, beta, phi, f.trend, f.sse, f.level + phi * f.trend AS guess,
+                       p.y - (f.level + phi * f.trend) AS miss
+                FROM fold f JOIN grid g ON g.candidate = f.candidate
+                JOIN placed p ON p.t = f.t + 1 AND {" AND ".join(f"p.{c.strip()} = f.{c.strip()}" for c in grain.split(","))})),
+        fits AS (
+          SELECT {grain}, candidate, n, level, trend, sse / least({TESTED}, n - 2) AS mse FROM fold WHERE t = n
+          UNION ALL
+          SELECT {grain}, {len(GRID)}, n, 0, 0, SUM((y - year_before) * (y - year_before) ORDER BY t) / {TESTED}
+          FROM placed WHERE n >= 24 AND t > n - {TESTED} GROUP BY {grain}, n),
+        best AS (
+          SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {grain} ORDER BY mse, candidate) AS place FROM fits) WHERE place = 1),
+        steps AS (
+          SELECT b.*, COALESCE(alpha, 0) AS alpha, COALESCE(beta, 0) AS beta, COALESCE(phi, 0) AS phi, h.h,
+                 list_sum(list_transform(range(1, h.h + 1), lambda i: pow(COALESCE(phi, 0), i))) AS reach,
+                 1 + COALESCE(list_sum(list_transform(range(1, h.h), lambda j:
+                   pow(alpha + alpha * beta * list_sum(list_transform(range(1, j + 1), lambda i: pow(phi, i))), 2))), 0) AS factor
+          FROM best b LEFT JOIN grid g ON g.candidate = b.candidate, (SELECT UNNEST(range(1, 13)) AS h) h),
+        shown AS (
+          SELECT {", ".join("s." + c.strip() for c in grain.split(","))}, h AS horizon, CAST(p.last_month + to_months(CAST(h AS INTEGER)) AS DATE) AS forecast_month,
+                 CASE WHEN candidate = {len(GRID)} THEN 'seasonal' WHEN beta = 0 THEN 'level' WHEN phi < 1 THEN 'damped' ELSE 'trend' END AS model,
+                 s.n AS n_points, sqrt(mse) AS tested_rmse, CASE WHEN candidate = {len(GRID)} THEN p.y ELSE level + reach * trend END AS mid,
+                 {V.Z80} * sqrt(mse * CASE WHEN candidate = {len(GRID)} THEN 1 ELSE factor END) AS half
+          FROM steps s JOIN placed p ON {" AND ".join(f"p.{c.strip()} = s.{c.strip()}" for c in grain.split(","))}
+               AND p.t = CASE WHEN candidate = {len(GRID)} THEN s.n - 12 + h ELSE 1 END)
+        SELECT {k.replace("year", _i("year"))} metric, model, {_i("horizon")}, {_i("n_points")}, {_d("forecast_month")}, {_n("tested_rmse", places=2)},
+               {_n("mid - half", "p10", 2)}, {_n("mid", "p50", 2)}, {_n("mid + half", "p90", 2)} FROM shown""", "points").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _history() -> dict[str, str]:
     carried = "as_of_month building tenant sqft rent_monthly rent_annual rent_psf_yr is_vacant is_own_use"
     return {

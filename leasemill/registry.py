@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from leasemill import schemas
 from leasemill.functions import expressions as X
 from leasemill.functions import vocabulary as V
-from leasemill.operators import clean, history, incremental, quality, windows
+from leasemill.operators import clean, history, incremental, quality, smoothing, windows
 from leasemill.operators import forecast as fc
 from leasemill.operators.history_table import HistoryTable
 from leasemill.plans import dashboard, models, refresh, reports
@@ -661,6 +661,17 @@ def forecast_by_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fc.forecast(p.series, p.keys)
 
 
+def forecast_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model with the smallest tested errors for every metric."""
+    return smoothing.forecast(Portfolio(spark, sf_dir).series)
+
+
+def forecast_selected_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One series per calendar year and metric, too short for last year's months."""
+    yearly = Portfolio(spark, sf_dir).series.withColumn("year", F.year("month"))
+    return smoothing.forecast(yearly, ["year"])
+
+
 def history_and_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The KPI rows are stored first: the history part and the fit both read them."""
     kpi = Portfolio(spark, sf_dir).stored_prop()
@@ -778,7 +789,7 @@ def _of(build: Callable[[Portfolio], DataFrame], by_property: bool = False) -> Q
 
 
 _SMALL_PLACES = {"forecast_wide": 2, "forecast_long": 2, "forecast_short": 2, "forecast_by_property": 2,
-                 "forecast_horizons": 2, "forecast_sink": 2, "forecast_backtest": 2, "history_and_forecast": 2}
+                 "forecast_horizons": 2, "forecast_sink": 2, "forecast_backtest": 2, "forecast_selected": 2, "forecast_selected_short": 2, "history_and_forecast": 2}
 
 _QUERIES: dict[str, Query] = {
     # sources, cleaning
@@ -948,6 +959,8 @@ _QUERIES: dict[str, Query] = {
     "forecast_horizons": _of(lambda p: fc.at_horizons(fc.forecast(p.series))),
     "forecast_wide": forecast_wide,
     "forecast_by_property": forecast_by_property,
+    "forecast_selected": forecast_selected,
+    "forecast_selected_short": forecast_selected_short,
     "forecast_backtest": _of(lambda p: fc.backtest(fc.long_series(p.stored_prop()))),
     "history_and_forecast": history_and_forecast,
     # sinks, streaming
