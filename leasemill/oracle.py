@@ -399,6 +399,7 @@ def _noi(by_property: bool = False) -> str:
 
 def _reports() -> dict[str, str]:
     newest_lease = "as_of_month = (SELECT MAX(as_of_month) FROM lease)"
+    own_lease = "lease.as_of_month = (SELECT MAX(q.as_of_month) FROM lease q WHERE q.property_id = lease.property_id)"
 
     def own_newest(of: str) -> str:
         return f"{of}.month = (SELECT MAX(q.month) FROM {of} q WHERE q.property_id = {of}.property_id)"
@@ -512,6 +513,64 @@ def _reports() -> dict[str, str]:
         "r11_parameterised": _sql(f"""
             SELECT {_cols('as_of_month', 'collected')} FROM rent WHERE as_of_month >= '1999-01' AND leased_sqft > 100""",
             "rent"),
+        "r04_by_property": _sql(f"""
+            SELECT property_id, suite_id AS "Suite", building AS "Building", {_i('sqft', 'SqFt')},
+                   {_n('COALESCE(mean_rate, 0)', 'Avg $/SF/Yr (Building)')}
+            FROM lease LEFT JOIN (SELECT property_id, building, CAST(SUM(rent_psf_yr) AS DOUBLE) / COUNT(rent_psf_yr) AS mean_rate
+                                  FROM lease WHERE {own_lease} GROUP BY property_id, building) USING (property_id, building)
+            WHERE is_vacant AND {own_lease}""", "lease", by_property=True),
+        "r04b_by_property": _sql(
+            f"""SELECT property_id, suite_id AS "Suite", building AS "Building", {_i('sqft', 'SqFt')} FROM dim_suite""", "dim_suite", by_property=True),
+        "r05_by_property": _sql(f"""
+            SELECT property_id, tenant_name AS "Tenant", CASE WHEN is_own_use THEN 'Own-Use' ELSE 'Leased' END AS "Status",
+                   {_i('COUNT(*)', '# Suites')} FROM dim_tenant GROUP BY property_id, tenant_name, is_own_use""", "dim_tenant", by_property=True),
+        "r06_by_property": _sql(f"""
+            SELECT property_id, {_d('month')}, {_n('ROUND(occupancy_pct, 2)', 'Occupancy %')}, {_i('leased_sqft', 'Leased SqFt')},
+                   {_i('total_property_sqft', 'Total SqFt')}, {_n('price_per_sf_yr', 'Avg $/SF/Year')}
+            FROM prop""", "prop", by_property=True),
+        "r09_by_property": _sql(f"""
+            SELECT property_id, {_d('month')}, {_n('rent_base', 'Rent Base')}, {_n('collected', 'Collected')},
+                   {_n('uncollected', 'Uncollected')}, {_n('ROUND(collection_rate_pct, 1)', 'Collection %')},
+                   CASE WHEN collection_rate_pct < 95 THEN '{V.BELOW_TARGET_LABEL}'
+                        WHEN collection_rate_pct >= 100 THEN '{V.PERFECT_LABEL}' ELSE '{V.GOOD_LABEL}' END AS "Status"
+            FROM rent""", "rent", by_property=True),
+        "r10a_by_property": _sql(f"""
+            SELECT property_id, {_cols('suite_id building', i='sqft')}, {_n('sqft * 30.00', 'Potential Annual Revenue @ $30/SF')}
+            FROM dim_suite WHERE sqft > 45""", "dim_suite", by_property=True),
+        "r10b_by_property": _sql(f"""
+            SELECT property_id, building, {_i('COUNT(*)', 'Suite Count')}, {_n('ROUND(AVG(sqft), 0)', 'Avg SqFt')},
+                   {_i('SUM(sqft)', 'Total SqFt')} FROM dim_suite GROUP BY property_id, building""", "dim_suite", by_property=True),
+        "r10c_by_property": _sql(f"""
+            SELECT property_id, {_i('year(month)', 'year')}, {_i('month(month)', 'month_num')},
+                   {_n('ROUND(AVG(occupancy_pct), 2)', 'Avg Occupancy %')},
+                   {_n('ROUND(AVG(CAST(price_per_sf_yr AS DOUBLE)), 2)', 'Avg $/SF/Year')}
+            FROM prop GROUP BY property_id, year(month), month(month)""", "prop", by_property=True),
+        "latest_kpis_by_property": _sql(f"SELECT property_id, {_PROP} FROM prop WHERE {own_newest('prop')}", "prop", by_property=True),
+        "kpi_since_by_property": _sql(f"""
+            SELECT property_id, {_d('month')}, {_n('occupancy_pct')} FROM prop WHERE month >= DATE '2000-09-01'""", "prop", by_property=True),
+        "latest_buildings_by_property": _sql(f"""
+            SELECT property_id, {_cols('building', 'occupancy_pct', 'occupied_sqft')} FROM bld WHERE {own_newest('bld')}""", "bld", by_property=True),
+        "tenant_suite_count_by_property": _sql(f"""
+            SELECT property_id, tenant AS tenant_name, {_i('COUNT(DISTINCT suite_id)', 'suite_count')}
+            FROM lease GROUP BY property_id, tenant""", "lease", by_property=True),
+        "building_latest_by_property": _sql(f"""
+            SELECT property_id, {_d('month')},
+                   {_n("COALESCE(MAX(CASE WHEN building = 'A' THEN occupancy_pct END), 0)", 'building_a_pct')},
+                   {_n("COALESCE(MAX(CASE WHEN building = 'B' THEN occupancy_pct END), 0)", 'building_b_pct')}
+            FROM bld WHERE {own_newest('bld')} GROUP BY property_id, month""", "bld", by_property=True),
+        "suite_status_by_property": _sql(f"""
+            SELECT property_id, {_LEASE.split(', ', 1)[1]},
+                   CASE WHEN is_own_use THEN 'Own-Use' WHEN is_vacant THEN 'Vacant' ELSE 'Leased' END AS status
+            FROM lease WHERE {own_lease}""", "lease", by_property=True),
+        "summary_cards_by_property": _sql(f"""
+            SELECT property_id, {_n('occupancy_pct', 'occupancy')}, {_n('collected', 'monthly_revenue')},
+                   {_n('price_per_sf_yr', 'price_per_sf')}, {_n('collection_rate_pct', 'collection_rate')},
+                   {_n('noi_proto')}, {_n('noi_margin_pct')}, {_n('leased_sqft')},
+                   {_i('total_suites')}, {_i('vacant_suites')}, {_i('own_use_suites')}, {_i('9917', 'total_sqft')}
+            FROM (SELECT * FROM prop WHERE {own_newest('prop')}) JOIN (
+              SELECT property_id, COUNT(*) AS total_suites, SUM(CASE WHEN is_vacant THEN 1 ELSE 0 END) AS vacant_suites,
+                     SUM(CASE WHEN is_own_use THEN 1 ELSE 0 END) AS own_use_suites
+              FROM lease WHERE {own_lease} GROUP BY property_id) USING (property_id)""", "prop", "lease", by_property=True),
         "latest_kpis": _sql(f"SELECT {_PROP} FROM prop WHERE {_NEWEST}", "prop"),
         "latest_buildings": _sql(f"""
             SELECT {_cols('building', 'occupancy_pct', 'occupied_sqft')} FROM bld
@@ -969,6 +1028,30 @@ def _quality() -> dict[str, str]:
                    CASE WHEN as_of_month LIKE '1996%' THEN 'rent_base,collected,leased_sqft' ELSE 'collected' END AS differs
             FROM ledger WHERE as_of_month LIKE '1996%' OR (as_of_month LIKE '1999%' AND collected <> rent_base)""",
             "ledger"),
+        "reconcile_by_digest": _sql("""
+            SELECT as_of_month, strftime(month, '%Y-%m-%d') AS month,
+                   CASE WHEN as_of_month LIKE '1996%' THEN 'left_only' ELSE 'unequal' END AS status,
+                   CASE WHEN as_of_month LIKE '1996%' THEN 'rent_base,collected,leased_sqft' ELSE 'collected' END AS differs
+            FROM ledger WHERE as_of_month LIKE '1996%' OR (as_of_month LIKE '1999%' AND collected <> rent_base)""",
+            "ledger"),
+        "published_tables": _sql(f"""
+            , n AS (SELECT 'prop_kpi_monthly' AS table_name, COUNT(*) AS n FROM prop UNION ALL SELECT 'building_kpi_monthly', COUNT(*) FROM bld
+                       UNION ALL SELECT 'dim_suite', COUNT(*) FROM dim_suite)
+            SELECT table_name, step, status, {_i('n', 'row_count')} FROM (
+              SELECT table_name, 'published' AS step, 'success' AS status, n FROM n UNION ALL SELECT 'broken', 'published', 'failed', 0
+              UNION ALL SELECT table_name, 'copied', 'success', n FROM n UNION ALL SELECT table_name, 'verified', 'present', n FROM n
+              UNION ALL SELECT 'fact_expense_monthly', 'verified', 'missing', NULL UNION ALL SELECT 'dim_tenant', 'verified', 'missing', NULL)""",
+            "prop", "bld", "dim_suite"),
+        "recorded_writes": _sql(f"""
+            SELECT source, {_i('n', 'row_count')}, {_i('c', 'column_count')}, 'snappy' AS compression FROM (
+              SELECT 'raw_dashboard_monthly' AS source, COUNT(*) AS n, 7 AS c FROM raw_ledger
+              UNION ALL SELECT 'raw_expenses_monthly', COUNT(*), 5 FROM raw_expenses
+              UNION ALL SELECT 'raw_lease_rate_snapshot', COUNT(*), 10 FROM raw_lease)""", "raw_ledger", "raw_expenses", "raw_lease"),
+        "content_hashes": f"""
+            SELECT {_i('n_nationkey')}, md5(n_name || chr(10)) AS _file_md5, {_i('length(n_name) + 1', 'length')} FROM nation""",
+        "audit_columns": _sql(f"""
+            SELECT as_of_month, md5('portfolio_' || as_of_month || '.xlsx') AS _file_md5, {_i('month(month)', 'rows')}, TRUE AS just_now
+            FROM raw_ledger""", "raw_ledger"),
         "layer_totals": _sql(" UNION ALL ".join(f"""
             SELECT '{layer}' AS layer, {_i('COUNT(*)', 'row_count')},
                    {", ".join(_n(f"SUM(CAST({c} AS DECIMAL(28,2)))", c) for c in ("rent_base", "collected", "leased_sqft"))}

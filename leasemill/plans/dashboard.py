@@ -41,11 +41,11 @@ def building_series(
     return rows.withColumn("shown_occupancy_pct", _shown_occupancy(exclude_own_use))
 
 
-def building_latest(building_kpi: DataFrame, exclude_own_use: bool = False) -> DataFrame:
-    """One row with both buildings' occupancy in the newest month; 0 for a building that month lacks."""
-    newest = latest(building_kpi, "month")
+def building_latest(building_kpi: DataFrame, exclude_own_use: bool = False, keys: Keys = ()) -> DataFrame:
+    """One row (per property) with both buildings' occupancy in the newest month; 0 for a building that month lacks."""
+    newest = latest(building_kpi, "month", keys)
     shown = _shown_occupancy(exclude_own_use)
-    return newest.groupBy("month").agg(
+    return newest.groupBy(*keys, "month").agg(
         *[
             F.coalesce(F.max(F.when(F.col("building") == b, shown)), F.lit(0.0)).alias(f"building_{b.lower()}_pct")
             for b in V.BUILDINGS
@@ -86,9 +86,9 @@ def expense_against_budget(expense: DataFrame, budget: DataFrame) -> DataFrame:
     )
 
 
-def suite_details(lease: DataFrame, months: DataFrame | None = None) -> DataFrame:
-    return latest(lease, months=months).select(
-        "suite_id", "building", "tenant", "sqft", "rent_monthly", "rent_annual", "rent_psf_yr",
+def suite_details(lease: DataFrame, months: DataFrame | None = None, keys: Keys = ()) -> DataFrame:
+    return latest(lease, keys=keys, months=months).select(
+        *keys, "suite_id", "building", "tenant", "sqft", "rent_monthly", "rent_annual", "rent_psf_yr",
         "is_vacant", "is_own_use", suite_status().alias("status"),
     )
 
@@ -99,14 +99,15 @@ def summary_cards(
     total_sqft: int = V.TOTAL_SQFT,
     exclude_own_use: bool = False,
     months: DataFrame | None = None,
+    keys: Keys = (),
 ) -> DataFrame:
     """One card row: newest KPIs with collections, suite counts of the newest snapshot, zeros where empty.
 
     Both halves are global aggregates, so the row exists even when a source is empty. They are stacked and folded
-    into one row rather than joined.
+    into one row rather than joined. With ``keys`` there is such a row for every property that has either.
     """
     known = prop_kpi.where(F.col("month").isNotNull() & F.col("collected").isNotNull())
-    newest = top_by(known, 1, F.desc("month"), F.desc("as_of_month"))
+    newest = top_by(known, 1, F.desc("month"), F.desc("as_of_month"), keys=keys)
     figures = {
         "occupancy": _shown_occupancy(exclude_own_use),
         "monthly_revenue": F.col("collected").cast("double"),
@@ -116,16 +117,16 @@ def summary_cards(
         "noi_margin_pct": F.col("noi_margin_pct").cast("double"),
         "leased_sqft": F.col("leased_sqft").cast("double"),
     }
-    cards = newest.agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(n) for n, c in figures.items()])
-    counts = latest(lease, months=months).agg(
+    cards = newest.groupBy(*keys).agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(n) for n, c in figures.items()])
+    counts = latest(lease, keys=keys, months=months).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_suites"),
         F.count_if("is_vacant").alias("vacant_suites"),
         F.count_if("is_own_use").alias("own_use_suites"),
     )
     both = cards.unionByName(counts, allowMissingColumns=True)
-    return both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn(
-        "total_sqft", F.lit(total_sqft).cast("bigint")
-    )
+    shown = [c for c in both.columns if c not in keys]
+    folded = both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in shown])
+    return folded.na.fill(0, shown).withColumn("total_sqft", F.lit(total_sqft).cast("bigint"))
 
 
 def portfolio_totals(building_kpi: DataFrame, rent: DataFrame, keys: Keys = ()) -> DataFrame:

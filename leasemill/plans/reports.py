@@ -4,7 +4,6 @@ Where several snapshots repeat a month, a report reads the newest snapshot of th
 with a row limit has a total order.
 
 With ``keys`` a report is made for each property of a portfolio: its newest months are the property's own, and the keys are its first columns.
-Reports without the argument take one property's frames.
 """
 
 from __future__ import annotations
@@ -87,44 +86,48 @@ def building_comparison(building_kpi: DataFrame, keys: Keys = ()) -> DataFrame:
     ).orderBy(*keys, "building")
 
 
-def vacant_suites(lease: DataFrame, months: DataFrame | None = None) -> DataFrame:
+def vacant_suites(lease: DataFrame, months: DataFrame | None = None, keys: Keys = ()) -> DataFrame:
     """Vacant suites of the newest snapshot next to their building's average rent per area and year.
 
-    The average covers all suites of the building with a known rate. Building is one of two letters, so the averages
-    are a handful of rows and are broadcast: a join by shuffle would put half of the suites in one task.
+    The average covers all suites of the building with a known rate. Building is one of two letters, so the averages of one property
+    are a handful of rows and are broadcast: a join by shuffle would put half of the suites in one task. Those of a portfolio are
+    joined by property and building as the planner measures them.
     """
-    newest = latest(lease, months=months)
-    mean = newest.groupBy("building").agg(F.avg(F.col("rent_psf_yr").cast("double")).alias("mean_rate"))
+    newest = latest(lease, keys=keys, months=months)
+    # Rates are decimals: their sum is exact in any order.
+    rate = F.col("rent_psf_yr")
+    mean = newest.groupBy(*keys, "building").agg(F.try_divide(F.sum(rate).cast("double"), F.count(rate).cast("double")).alias("mean_rate"))
     return _named(
         newest.where("is_vacant")
-        .join(F.broadcast(mean), "building", "left")
+        .join(mean if keys else F.broadcast(mean), [*keys, "building"], "left")
         .withColumn("mean_rate", F.coalesce("mean_rate", F.lit(0.0))),
         {"suite_id": "Suite", "building": "Building", "sqft": "SqFt", "mean_rate": "Avg $/SF/Yr (Building)"},
-    ).orderBy("Building", "Suite")
+        keys,
+    ).orderBy(*keys, "Building", "Suite")
 
 
-def all_suites(dim_suite: DataFrame) -> DataFrame:
-    return _named(dim_suite, {"suite_id": "Suite", "building": "Building", "sqft": "SqFt"}).orderBy(
-        F.asc_nulls_last("Building"), "Suite", "SqFt"
+def all_suites(dim_suite: DataFrame, keys: Keys = ()) -> DataFrame:
+    return _named(dim_suite, {"suite_id": "Suite", "building": "Building", "sqft": "SqFt"}, keys).orderBy(
+        *keys, F.asc_nulls_last("Building"), "Suite", "SqFt"
     )
 
 
-def tenant_roster(dim_tenant: DataFrame) -> DataFrame:
+def tenant_roster(dim_tenant: DataFrame, keys: Keys = ()) -> DataFrame:
     """Rows per tenant and own-use flag, leased tenants first."""
     return (
-        dim_tenant.groupBy(F.col("tenant_name").alias("Tenant"), "is_own_use")
+        dim_tenant.groupBy(*keys, F.col("tenant_name").alias("Tenant"), "is_own_use")
         .agg(F.count(F.lit(1)).alias("# Suites"))
-        .select("Tenant", roster_status().alias("Status"), "# Suites")
-        .orderBy(F.when(F.col("Status") == "Own-Use", 1).otherwise(0), F.asc_nulls_last("Tenant"))
+        .select(*keys, "Tenant", roster_status().alias("Status"), "# Suites")
+        .orderBy(*keys, F.when(F.col("Status") == "Own-Use", 1).otherwise(0), F.asc_nulls_last("Tenant"))
     )
 
 
-def occupancy_history(prop_kpi: DataFrame) -> DataFrame:
+def occupancy_history(prop_kpi: DataFrame, keys: Keys = ()) -> DataFrame:
     rounded = prop_kpi.where(F.col("month").isNotNull() & F.col("occupancy_pct").isNotNull()).withColumns(
         {"occupancy_pct": F.round("occupancy_pct", 2), "price": F.round("price_per_sf_yr", 2)}
     )
     return _named(
-        rounded.orderBy(*_newest_first()),
+        rounded.orderBy(*keys, *_newest_first()),
         {
             "month": "month",
             "occupancy_pct": "Occupancy %",
@@ -132,6 +135,7 @@ def occupancy_history(prop_kpi: DataFrame) -> DataFrame:
             "total_property_sqft": "Total SqFt",
             "price": "Avg $/SF/Year",
         },
+        keys,
     )
 
 
@@ -199,12 +203,12 @@ def kpi_summary(prop_kpi: DataFrame, building_kpi: DataFrame, keys: Keys = ()) -
     )
 
 
-def collection_analysis(rent: DataFrame) -> DataFrame:
+def collection_analysis(rent: DataFrame, keys: Keys = ()) -> DataFrame:
     known = rent.where(F.col("month").isNotNull() & F.col("rent_base").isNotNull()).withColumns(
         {"rate": F.round("collection_rate_pct", 1), "band": collection_band(F.col("collection_rate_pct"))}
     )
     return _named(
-        known.orderBy(*_newest_first()),
+        known.orderBy(*keys, *_newest_first()),
         {
             "month": "month",
             "rent_base": "Rent Base",
@@ -213,66 +217,67 @@ def collection_analysis(rent: DataFrame) -> DataFrame:
             "rate": "Collection %",
             "band": "Status",
         },
+        keys,
     )
 
 
-def high_value_suites(dim_suite: DataFrame, above_sqft: int = V.LARGE_SUITE_SQFT) -> DataFrame:
+def high_value_suites(dim_suite: DataFrame, above_sqft: int = V.LARGE_SUITE_SQFT, keys: Keys = ()) -> DataFrame:
     potential = (F.col("sqft") * money(F.lit(V.WHAT_IF_RENT_PER_SQFT))).alias("Potential Annual Revenue @ $30/SF")
     return (
         dim_suite.where(F.col("sqft") > above_sqft)
-        .select("suite_id", "building", "sqft", potential)
-        .orderBy(F.desc("sqft"), "suite_id")
+        .select(*keys, "suite_id", "building", "sqft", potential)
+        .orderBy(*keys, F.desc("sqft"), "suite_id")
     )
 
 
-def size_by_building(dim_suite: DataFrame) -> DataFrame:
+def size_by_building(dim_suite: DataFrame, keys: Keys = ()) -> DataFrame:
     return (
-        dim_suite.groupBy("building")
+        dim_suite.groupBy(*keys, "building")
         .agg(
             F.count(F.lit(1)).alias("Suite Count"),
             F.round(F.avg(F.col("sqft").cast("double")), 0).alias("Avg SqFt"),
             F.sum("sqft").alias("Total SqFt"),
         )
-        .orderBy(F.asc_nulls_last("building"))
+        .orderBy(*keys, F.asc_nulls_last("building"))
     )
 
 
-def year_month_averages(prop_kpi: DataFrame) -> DataFrame:
+def year_month_averages(prop_kpi: DataFrame, keys: Keys = ()) -> DataFrame:
     return (
         prop_kpi.where(F.col("month").isNotNull())
-        .groupBy(F.year("month").alias("year"), F.month("month").alias("month_num"))
+        .groupBy(*keys, F.year("month").alias("year"), F.month("month").alias("month_num"))
         .agg(
             F.round(F.avg("occupancy_pct"), 2).alias("Avg Occupancy %"),
             F.round(F.avg(F.col("price_per_sf_yr").cast("double")), 2).alias("Avg $/SF/Year"),
         )
-        .orderBy(F.desc("year"), F.desc("month_num"))
+        .orderBy(*keys, F.desc("year"), F.desc("month_num"))
     )
 
 
 # --- query patterns of the schema guide ---------------------------------------------------------------------
 
 
-def latest_kpis(prop_kpi: DataFrame) -> DataFrame:
-    return latest(prop_kpi, "month")
+def latest_kpis(prop_kpi: DataFrame, keys: Keys = ()) -> DataFrame:
+    return latest(prop_kpi, "month", keys)
 
 
-def recent_occupancy(prop_kpi: DataFrame, run_date) -> DataFrame:
-    return since(prop_kpi, run_date).select("month", "occupancy_pct").orderBy("month")
+def recent_occupancy(prop_kpi: DataFrame, run_date, keys: Keys = ()) -> DataFrame:
+    return since(prop_kpi, run_date).select(*keys, "month", "occupancy_pct").orderBy(*keys, "month")
 
 
-def latest_buildings(building_kpi: DataFrame) -> DataFrame:
-    return latest(building_kpi, "month").select("building", "occupied_sqft", "occupancy_pct")
+def latest_buildings(building_kpi: DataFrame, keys: Keys = ()) -> DataFrame:
+    return latest(building_kpi, "month", keys).select(*keys, "building", "occupied_sqft", "occupancy_pct")
 
 
-def tenant_suite_count(dim_tenant: DataFrame, lease: DataFrame) -> DataFrame:
+def tenant_suite_count(dim_tenant: DataFrame, lease: DataFrame, keys: Keys = ()) -> DataFrame:
     """Distinct suites per tenant over the hash-key join.
 
     Suites are counted per tenant first, so the join has one row per tenant on either side and no key is hot.
     """
-    counts = lease.select("tenant", "suite_id").distinct().groupBy("tenant").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select(md5_key(F.col("tenant")).alias("tenant_id"), "n")
-    tenants = dim_tenant.select("tenant_id", "tenant_name").distinct()
-    return counts.join(tenants, "tenant_id").groupBy("tenant_name").agg(F.sum("n").alias("suite_count"))
+    counts = lease.select(*keys, "tenant", "suite_id").distinct().groupBy(*keys, "tenant").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(*keys, md5_key(F.col("tenant")).alias("tenant_id"), "n")
+    tenants = dim_tenant.select(*keys, "tenant_id", "tenant_name").distinct()
+    return counts.join(tenants, [*keys, "tenant_id"]).groupBy(*keys, "tenant_name").agg(F.sum("n").alias("suite_count"))
 
 
 def parameterised(spark: SparkSession, text: str, params: Mapping[str, Any], **frames: DataFrame) -> DataFrame:

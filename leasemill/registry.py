@@ -6,6 +6,7 @@ integers as bigint, dates as text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from functools import cached_property
@@ -603,6 +604,15 @@ def reconcile_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.reconcile(p.ledger, changed, ["as_of_month", "month"], ["rent_base", "collected", "leased_sqft"])
 
 
+def reconcile_by_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layers of ``reconcile_layers``: only the months whose digests differ are joined."""
+    p = Portfolio(spark, sf_dir).stored("raw_ledger")
+    year = F.substring("as_of_month", 1, 4)
+    changed = p.rent.where(year != "1996").withColumn(
+        "collected", F.when(year == "1999", F.col("rent_base")).otherwise(F.col("collected")))
+    return quality.reconcile_by_digest(p.ledger, changed, ["as_of_month", "month"], ["rent_base", "collected", "leased_sqft"])
+
+
 def layer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Portfolio(spark, sf_dir).stored("raw_ledger")
     layers = {"bronze": p.raw_ledger, "staging": p.ledger, "mart": p.rent, "gold": p.prop()}
@@ -707,6 +717,57 @@ def forecast_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(wide.schema).option("header", True).csv(f"{root}/prop_kpi_forecast.csv")
 
 
+def published_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables published to the catalog, one of them failing, copied on to another database, and verified there."""
+    p = Portfolio(spark, sf_dir).stored("raw_ledger", "raw_lease")
+    name = f"mill_{uuid.uuid4().hex}"
+    frames = {
+        "prop_kpi_monthly": p.prop(),
+        "building_kpi_monthly": p.building(),
+        "broken": p.ledger.select(F.raise_error(F.lit("no such table")).alias("x")),
+        "dim_suite": models.dim_suite(p.lease),
+    }
+    first = sinks.publish(spark, frames, name).select("table_name", F.lit("published").alias("step"), "status", "row_count")
+    copied = sinks.publish(spark, None, f"{name}_copy", name)
+    second = copied.select("table_name", F.lit("copied").alias("step"), "status", "row_count")
+    found = sinks.verify_tables(spark, database=f"{name}_copy")
+    third = found.select("table_name", F.lit("verified").alias("step"), F.when(F.col("present"), "present").otherwise("missing").alias("status"), "row_count")
+    out = _stored(spark, first.unionByName(second).unionByName(third), "published")
+    for database in (name, f"{name}_copy"):
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+    return out
+
+
+def recorded_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the writer notes next to the files of each bronze table, as read back from there."""
+    p = Portfolio(spark, sf_dir)
+    root = shared_folder(spark, "recorded")
+    out = None
+    for table, df in ((schemas.LEDGER_TABLE, p.raw_ledger), (schemas.EXPENSE_TABLE, p.raw_expenses), (schemas.LEASE_TABLE, p.raw_lease)):
+        sinks.write_recorded(_audit_free(df), f"{root}/{table}", table)
+        record = sinks.read_record(spark, f"{root}/{table}").drop("path")
+        out = record if out is None else out.unionByName(record)
+    return out
+
+
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash and size of a text file per nation."""
+    path = shared_folder(spark, "files")
+    nations = star.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    nations.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    key = F.regexp_extract("file", "n_nationkey=([0-9]+)", 1).cast("bigint")
+    return bronze.file_hashes(spark, path, "*.txt").select(key.alias("n_nationkey"), "_file_md5", "length")
+
+
+def audit_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed ledger rows with the hash of their file, its month and whether the time of ingestion is a time."""
+    cells, months = _landed(spark, star.ledger_cells(spark, sf_dir))
+    files = cells.select("file", F.md5("file").alias("_file_md5")).distinct()
+    stamped = grid.stamp(grid.ledger_records(cells, months), files)
+    age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.to_timestamp("_ingested_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return stamped.groupBy("as_of_month", "_file_md5").agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(age) < 3600).alias("just_now"))
+
+
 def lake_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze copied to a lake root and verified there per month."""
     p = Portfolio(spark, sf_dir)
@@ -841,6 +902,7 @@ _QUERIES: dict[str, Query] = {
     "quality_model_tests": quality_model_tests,
     "kpi_rules": kpi_rules,
     "reconcile_layers": reconcile_layers,
+    "reconcile_by_digest": reconcile_by_digest,
     "layer_totals": layer_totals,
     "freshness_counts": freshness_counts,
     "ingest_counts": ingest_counts,
@@ -901,6 +963,35 @@ _QUERIES: dict[str, Query] = {
         ),
         by_property=True,
     ),
+    "r04_by_property": _of(
+        lambda p: _with(p.stored("raw_lease"), lambda s: reports.vacant_suites(s.lease, keys=s.keys)), by_property=True
+    ),
+    "r04b_by_property": _of(lambda p: reports.all_suites(models.dim_suite(p.lease, p.keys), p.keys), by_property=True),
+    "r05_by_property": _of(lambda p: reports.tenant_roster(models.dim_tenant(p.lease, p.keys), p.keys), by_property=True),
+    "r06_by_property": _of(lambda p: reports.occupancy_history(p.prop(), p.keys), by_property=True),
+    "r09_by_property": _of(lambda p: reports.collection_analysis(p.rent, p.keys), by_property=True),
+    "r10a_by_property": _of(
+        lambda p: reports.high_value_suites(models.dim_suite(p.lease, p.keys), 45, p.keys), by_property=True
+    ),
+    "r10b_by_property": _of(lambda p: reports.size_by_building(models.dim_suite(p.lease, p.keys), p.keys), by_property=True),
+    "r10c_by_property": _of(lambda p: reports.year_month_averages(p.prop(), p.keys), by_property=True),
+    "latest_kpis_by_property": _of(lambda p: reports.latest_kpis(p.stored_prop(), p.keys), by_property=True),
+    "kpi_since_by_property": _of(lambda p: reports.recent_occupancy(p.prop(), "2001-03-01", p.keys), by_property=True),
+    "latest_buildings_by_property": _of(lambda p: reports.latest_buildings(p.stored_building(), p.keys), by_property=True),
+    "tenant_suite_count_by_property": _of(
+        lambda p: _with(p.stored("raw_lease"), lambda s: reports.tenant_suite_count(models.dim_tenant(s.lease, s.keys), s.lease, s.keys)),
+        by_property=True,
+    ),
+    "building_latest_by_property": _of(
+        lambda p: dashboard.building_latest(p.stored_building(), keys=p.keys), by_property=True
+    ),
+    "suite_status_by_property": _of(
+        lambda p: _with(p.stored("raw_lease"), lambda s: dashboard.suite_details(s.lease, keys=s.keys)), by_property=True
+    ),
+    "summary_cards_by_property": _of(
+        lambda p: _with(p.stored("raw_ledger", "raw_lease"), lambda s: dashboard.summary_cards(s.prop(), s.lease, keys=s.keys)),
+        by_property=True,
+    ),
     "r04_vacant_suites": _of(lambda p: _with(p.stored("raw_lease"), lambda s: reports.vacant_suites(s.lease))),
     "r04b_all_suites": _of(lambda p: reports.all_suites(models.dim_suite(p.lease))),
     "r05_tenant_roster": _of(lambda p: reports.tenant_roster(models.dim_tenant(p.lease))),
@@ -967,6 +1058,10 @@ _QUERIES: dict[str, Query] = {
     "csv_export": csv_export,
     "csv_round_trip": csv_round_trip,
     "forecast_sink": forecast_sink,
+    "published_tables": published_tables,
+    "recorded_writes": recorded_writes,
+    "content_hashes": content_hashes,
+    "audit_columns": audit_columns,
     "lake_copy": lake_copy,
     "stream_ingest_equals_batch": stream_ingest_equals_batch,
     "stream_replay": stream_replay,

@@ -15,6 +15,7 @@ from leasemill.operators.incremental import touched_months, upsert
 from leasemill.sources.bronze import path_exists, read_bronze, read_partitioned, table_path
 
 PARTITION = "as_of_month"
+WRITTEN = "source STRING, path STRING, row_count BIGINT, column_count INT, compression STRING"
 
 
 def _replace_partitions(df: DataFrame, path: str, *partition: str) -> None:
@@ -92,6 +93,22 @@ def export_csv(spark: SparkSession, tables: Mapping[str, DataFrame], root: str)
     return _outcomes(spark, results)
 
 
+def write_recorded(df: DataFrame, path: str, source: str) -> DataFrame:
+    """Write snappy Parquet and return its record: source, path, rows, columns and compression.
+
+    Rows are counted while they are written. The record is kept next to the files, as ``_written``, for whoever reads them.
+    """
+    spark, seen = df.sparkSession, Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("compression", "snappy").parquet(path)
+    record = spark.createDataFrame([(source, path, seen.get["n"], len(df.columns), "snappy")], WRITTEN)
+    record.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/_written")
+    return record
+
+
+def read_record(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(WRITTEN).json(f"{path.rstrip('/')}/_written")
+
+
 def write_forecast(df: DataFrame, root: str) -> None:
     """The forecast as Parquet and CSV; the CSV is written from the stored Parquet, not computed again."""
     base = f"{root.rstrip('/')}/prop_kpi_forecast"

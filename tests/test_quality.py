@@ -121,3 +121,20 @@ def test_layer_totals_are_exact(spark):
     df = spark.createDataFrame([(Decimal("0.10"),)] * 3, "v decimal(18,2)")
     got = {r["layer"]: (r["row_count"], r["v"]) for r in Q.layer_totals({"a": df, "b": df.limit(1)}, ["v"]).collect()}
     assert got == {"a": (3, Decimal("0.30")), "b": (1, Decimal("0.10"))}
+
+
+def test_reconcile_by_digest_joins_differing_months_only(spark, rows, tmp_path):
+    """Rows differ in one month, are missing in another and repeated in a third; the files of equal months are never joined."""
+    def layer(values):
+        return spark.createDataFrame(values, "as_of_month string, month string, v double")
+
+    base = [(f"2020-{m:02d}", f"2020-{m:02d}", float(m)) for m in range(1, 13)] + [(None, "x", 1.0)]
+    other = [r for r in base if r[0] not in ("2020-03", "2020-05")] + [("2020-05", "2020-05", None)]
+    left, right = layer(base), layer(other)
+    key, values = ["as_of_month", "month"], ["v"]
+    assert rows(Q.reconcile_by_digest(left, right, key, values)) == rows(Q.reconcile(left, right, key, values)) != []
+    assert rows(Q.reconcile_by_digest(left, left.orderBy(F.rand()), key, values)) == []
+    left.where("as_of_month is not null").write.partitionBy("as_of_month").parquet(str(tmp_path / "l"))
+    stored = spark.read.schema("as_of_month string, month string, v double").parquet(str(tmp_path / "l"))
+    plan = Q.reconcile_by_digest(stored, right, key, values)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "2020-03" in plan and "2020-04" not in plan
