@@ -1047,6 +1047,11 @@ def _quality() -> dict[str, str]:
               SELECT 'raw_dashboard_monthly' AS source, COUNT(*) AS n, 7 AS c FROM raw_ledger
               UNION ALL SELECT 'raw_expenses_monthly', COUNT(*), 5 FROM raw_expenses
               UNION ALL SELECT 'raw_lease_rate_snapshot', COUNT(*), 10 FROM raw_lease)""", "raw_ledger", "raw_expenses", "raw_lease"),
+        "sheet_tables": f"""
+            SELECT 'book_' || n_regionkey AS file, {_i('c_custkey', 'Key')}, c_name AS "Name", {_n('ROUND(c_acctbal, 2)', 'Balance')},
+                   lpad(c_custkey::VARCHAR, 9, '0') AS "Code", c_mktsegment AS column_5,
+                   CASE WHEN c_custkey % 2 = 0 THEN c_custkey::VARCHAR ELSE 'odd' END AS "Key.1"
+            FROM customer JOIN nation ON n_nationkey = c_nationkey""",
         "content_hashes": f"""
             SELECT {_i('n_nationkey')}, md5(n_name || chr(10)) AS _file_md5, {_i('length(n_name) + 1', 'length')} FROM nation""",
         "audit_columns": _sql(f"""

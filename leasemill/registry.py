@@ -335,6 +335,28 @@ def sheet_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.groupBy("file", "sheet_safe").agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def sheet_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook per region with two sheets of different headers, each written with its own columns; the accounts of all of them."""
+    nations = star.table(spark, sf_dir, "nation")
+    owned = star.table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    file = F.concat(F.lit("book_"), F.col("n_regionkey").cast("string"))
+
+    def sheet(df: DataFrame, name: str, number: int, row: Column, values: list[Column]) -> DataFrame:
+        cells = F.array(*[F.struct(row.cast("int").alias("row"), F.lit(i + 1).alias("col"), v.cast("string").alias("value")) for i, v in enumerate(values)])
+        return df.select(file.alias("file"), F.lit(name).alias("sheet"), F.lit(number).alias("sheet_no"), F.inline(cells))
+
+    accounts = [F.col("c_custkey"), F.concat(F.lit(" "), F.col("c_name")), F.col("c_acctbal").cast("decimal(12,2)"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"),
+                F.col("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).otherwise("odd")]
+    regions = nations.select("n_regionkey").distinct()
+    head = [F.lit(v) for v in ("Key", " Name", "Balance", "Code", None, "Key")]
+    cells = sheet(owned, "Key Accounts", 1, F.col("c_custkey") + 7, accounts).unionByName(sheet(regions, "Key Accounts", 1, F.lit(3), head))
+    cells = cells.unionByName(sheet(nations, "Nations/All", 2, F.col("n_nationkey") + 2, [F.col("n_name"), F.col("n_nationkey")]))
+    cells = cells.unionByName(sheet(regions, "Nations/All", 2, F.lit(1), [F.lit("Nation"), F.lit("Number")]))
+    path = shared_folder(spark, "sheets")
+    sinks.write_sheet_tables(workbook.sheet_tables(_stored(spark, cells, "cells")), path)
+    return sinks.read_sheets(spark, path, "Key_Accounts", [f"book_{r[0]}" for r in regions.collect()])
+
+
 def rent_psf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guarded yearly rent per area; every seventh suite loses its area."""
     lease = Portfolio(spark, sf_dir).lease
@@ -865,6 +887,7 @@ _QUERIES: dict[str, Query] = {
     "grid_lease": grid_lease,
     "sheet_pick": sheet_pick,
     "sheet_outputs": sheet_outputs,
+    "sheet_tables": sheet_tables,
     "alias_columns": alias_columns,
     "alias_every_header": alias_every_header,
     "expense_sheet": expense_sheet,

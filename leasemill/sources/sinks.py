@@ -9,6 +9,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leasemill import schemas
 from leasemill.operators.incremental import touched_months, upsert
@@ -65,6 +66,39 @@ def write_sheets(rows: DataFrame, path: str) -> None:
     _replace_partitions(rows, path, "file", "sheet_safe")
 
 
+def write_sheet_tables(tables: DataFrame, path: str) -> int:
+    """Every sheet of ``workbook.sheet_tables`` to its own folder, with the columns of its header; returns the number of layouts.
+
+    A column's type is that of its values: numbers stay numbers where all are, anything mixed is text. Sheets of one layout are written
+    by one job, so the number of jobs follows the layouts, not the sheets.
+    """
+    spark = tables.sparkSession
+    grain = ["file", "sheet_safe"]
+    layout = tables.groupBy(*grain).agg(F.first("names").alias("names"), F.expr("schema_of_variant_agg(record)").alias("kinds"))
+    layout = layout.withColumn("layout", F.md5(F.to_json(F.struct("names", "kinds"))))
+    marked = tables.drop("names").join(layout.select(*grain, "layout"), grain)
+    found = layout.groupBy("layout").agg(F.first("names").alias("names"), F.first("kinds").alias("kinds")).collect()
+    for r in found:
+        kinds = {f.name: f.dataType for f in T._parse_datatype_string(r["kinds"].replace("OBJECT<", "STRUCT<", 1))}
+        plain = {n: k for n, k in kinds.items() if isinstance(k, (T.NumericType, T.BooleanType))}
+        quoted = {n: "`" + n.replace("`", "``") + "`" for n in r["names"]}
+        ddl = ", ".join(f"{quoted[n]}: {plain[n].simpleString() if n in plain else 'string'}" for n in r["names"] if n in kinds)
+        values = F.variant_get("record", "$", f"struct<{ddl}>")
+        named = [F.col("v")[n].alias(n) if n in kinds else F.lit(None).cast("string").alias(n) for n in r["names"]]
+        rows = marked.where(F.col("layout") == r["layout"]).select(*grain, "row", values.alias("v"))
+        # In the order of the sheet within each file that is written.
+        ordered = rows.hint("rebalance", *grain).sortWithinPartitions(*grain, "row").select(*grain, *named)
+        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(*grain).parquet(path)
+    return len(found)
+
+
+def read_sheets(spark: SparkSession, path: str, sheet_safe: str, files: Sequence[str]) -> DataFrame:
+    """The rows of a sheet of some files that have it in one layout, with the file as a column."""
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    folders = [f"{path.rstrip('/')}/file={escaped(f)}/sheet_safe={escaped(sheet_safe)}" for f in files]
+    return spark.read.option("basePath", path).parquet(*folders).drop("sheet_safe")
+
+
 def _attempt(action: Callable[[], int]) -> tuple[str, int, str | None]:
     try:
         return "success", action(), None

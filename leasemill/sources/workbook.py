@@ -15,7 +15,7 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leasemill.functions.expressions import safe_sheet_name
@@ -133,3 +133,39 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
     return cells.where("sheet IS NOT NULL").groupBy("file", safe_sheet_name(F.col("sheet")).alias("sheet_safe"), "row").agg(
         F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("cells")
     )
+
+
+# A number as JSON writes it, of at most 18 digits; codes with leading zeros are text.
+_JSON_NUMBER = r"^(?=(?:[^0-9]*[0-9]){1,18}[^0-9]*$)-?(?:0|[1-9][0-9]*)(?:[.][0-9]+)?$"
+
+
+def _quoted(text: Column) -> Column:
+    """The text as a JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def sheet_tables(cells: DataFrame) -> DataFrame:
+    """Sheets as tables of their own: (file, sheet_safe, row, names, record), one row per row below a sheet's header.
+
+    The header is a sheet's first row with a value. ``names`` holds the sheet's columns in order: the trimmed header cell, with .1, .2 ...
+    where it repeats, or column_<number> for a column without one. ``record`` is a variant object of the row's values, numbers as
+    numbers. Empty rows and sheets without a row below the header have none.
+    """
+    filled = cells.where("sheet IS NOT NULL AND trim(value) <> ''").select(
+        "file", safe_sheet_name(F.col("sheet")).alias("sheet_safe"), "row", "col", F.trim("value").alias("value"))
+    grain = ["file", "sheet_safe"]
+    first = filled.groupBy(*grain).agg(F.min("row").alias("header_row"))
+    # One row per column of a sheet, 16,384 at most.
+    columns = filled.join(first, grain).groupBy(*grain, "header_row", "col").agg(
+        F.max(F.when(F.col("row") == F.col("header_row"), F.col("value"))).alias("header"))
+    given = F.coalesce("header", F.concat(F.lit("column_"), F.col("col").cast("string")))
+    again = F.row_number().over(Window.partitionBy(*grain, given).orderBy("col")) - 1
+    columns = columns.withColumn("name", F.when(again > 0, F.concat_ws(".", given, again.cast("string"))).otherwise(given))
+    names = columns.groupBy(*grain).agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "name"))), lambda c: c["name"]).alias("names"))
+    value = F.when(F.col("value").rlike(_JSON_NUMBER), F.col("value")).otherwise(_quoted(F.col("value")))
+    member = F.concat(_quoted(F.col("name")), F.lit(": "), value)
+    body = filled.join(columns.select(*grain, "header_row", "col", "name"), [*grain, "col"]).where(F.col("row") > F.col("header_row"))
+    records = body.groupBy(*grain, "row").agg(F.array_join(F.collect_list(member), ", ").alias("members"))
+    return records.join(names, grain).select(
+        *grain, "row", "names", F.parse_json(F.concat(F.lit("{"), F.col("members"), F.lit("}"))).alias("record"))
