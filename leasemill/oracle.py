@@ -1042,6 +1042,15 @@ def _quality() -> dict[str, str]:
               UNION ALL SELECT table_name, 'copied', 'success', n FROM n UNION ALL SELECT table_name, 'verified', 'present', n FROM n
               UNION ALL SELECT 'fact_expense_monthly', 'verified', 'missing', NULL UNION ALL SELECT 'dim_tenant', 'verified', 'missing', NULL)""",
             "prop", "bld", "dim_suite"),
+        "prop_kpi_bucketed": _sql(f"SELECT property_id, {_PROP} FROM prop", "prop", by_property=True),
+        "sql_revenue_trends": _sql(f"""
+            SELECT property_id, {_cols(n='rent_base collected uncollected collection_rate_pct', d='month')}
+            FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY property_id ORDER BY month DESC) AS place FROM rent)
+            WHERE (property_id = '1' AND place <= 6) OR (property_id = '3' AND place <= 9)""", "rent", by_property=True),
+        "sql_building_comparison": _sql(f"""
+            SELECT building, {_cols(n='occupancy_pct collected', i='total_sqft occupied_sqft suite_count', d='month')}
+            FROM bld JOIN (SELECT property_id, month, collected FROM rent) USING (property_id, month)
+            WHERE property_id = '2' AND month = (SELECT MAX(month) FROM bld WHERE property_id = '2')""", "bld", "rent", by_property=True),
         "recorded_writes": _sql(f"""
             SELECT source, {_i('n', 'row_count')}, {_i('c', 'column_count')}, 'snappy' AS compression FROM (
               SELECT 'raw_dashboard_monthly' AS source, COUNT(*) AS n, 7 AS c FROM raw_ledger

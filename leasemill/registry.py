@@ -21,7 +21,7 @@ from leasemill.functions import vocabulary as V
 from leasemill.operators import clean, history, incremental, quality, smoothing, windows
 from leasemill.operators import forecast as fc
 from leasemill.operators.history_table import HistoryTable
-from leasemill.plans import dashboard, models, refresh, reports
+from leasemill.plans import dashboard, models, refresh, reports, table_functions
 from leasemill.session import shared_folder
 from leasemill.sources import bronze, grid, sinks, star, workbook
 from leasemill.streaming import arrivals
@@ -760,6 +760,33 @@ def published_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _bucketed(p: Portfolio, database: str) -> tuple[DataFrame, DataFrame]:
+    """Staged ledger and lease as tables bucketed by property and month."""
+    p.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    keys = [*p.keys, "as_of_month"]
+    return (sinks.write_bucketed(p.ledger, f"{database}.stg_dashboard_monthly", keys), sinks.write_bucketed(p.lease, f"{database}.stg_lease_rate", keys))
+
+
+def prop_kpi_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Property KPIs over staged tables that are bucketed by property and month: grouped and joined where they lie."""
+    p = Portfolio(spark, sf_dir, by_property=True).stored("raw_ledger", "raw_lease")
+    database = f"mill_{uuid.uuid4().hex}"
+    ledger, lease = _bucketed(p, database)
+    out = _stored(spark, models.prop_kpi(ledger, lease, keys=p.keys), "prop")
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return out
+
+
+def _in_sql(text: str) -> Query:
+    """A statement that calls the table functions over the portfolio's gold."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = Portfolio(spark, sf_dir, by_property=True).stored("raw_ledger", "raw_lease")
+        table_functions.register(spark, {"prop_kpi_monthly": p.prop(), "fact_rent_monthly": p.rent, "building_kpi_monthly": p.building()})
+        return spark.sql(text)
+
+    return run
+
+
 def recorded_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the writer notes next to the files of each bronze table, as read back from there."""
     p = Portfolio(spark, sf_dir)
@@ -1082,6 +1109,11 @@ _QUERIES: dict[str, Query] = {
     "csv_round_trip": csv_round_trip,
     "forecast_sink": forecast_sink,
     "published_tables": published_tables,
+    "prop_kpi_bucketed": prop_kpi_bucketed,
+    "sql_revenue_trends": _in_sql(
+        "SELECT '1' AS property_id, * FROM revenue_trends('1') UNION ALL SELECT '3', * FROM revenue_trends(property => '3', months => 9)"),
+    "sql_building_comparison": _in_sql(
+        "SELECT b.*, o.collected FROM building_comparison('2') b JOIN property_overview('2') o ON o.month = b.month"),
     "recorded_writes": recorded_writes,
     "content_hashes": content_hashes,
     "audit_columns": audit_columns,

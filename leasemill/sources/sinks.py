@@ -151,6 +151,15 @@ def write_forecast(df: DataFrame, root: str) -> None:
     stored.write.mode("overwrite").option("header", True).csv(f"{base}.csv")
 
 
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Create or replace a catalog table bucketed and sorted by its keys; tables of one key and number of buckets are joined and
+    grouped by it without a shuffle. One file per bucket; the number of buckets is that of the shuffle partitions unless given.
+    """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.mode("overwrite").bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def publish(spark: SparkSession, tables: Mapping[str, DataFrame] | None = None, database: str = "default",
             source_database: str = "default", names: Sequence[str] | None = None) -> DataFrame:
     """Create or replace catalog tables; without frames, copies the listed (or all) tables of a database."""
