@@ -162,9 +162,9 @@ def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int
 
 def publish(spark: SparkSession, tables: Mapping[str, DataFrame] | None = None, database: str = "default",
             source_database: str = "default", names: Sequence[str] | None = None) -> DataFrame:
-    """Create or replace catalog tables; without frames, copies the listed (or all) tables of a database."""
+    """Create or replace catalog tables; without frames, copies the listed (or all) tables of a database, but no temporary views."""
     if tables is None:
-        listed = names or [t.name for t in spark.catalog.listTables(source_database)]
+        listed = names or [t.name for t in spark.catalog.listTables(source_database) if not t.isTemporary]
         loaders = {n: functools.partial(spark.table, f"{source_database}.{n}") for n in listed}
     else:
         loaders = {n: functools.partial(lambda d: d, df) for n, df in tables.items()}
