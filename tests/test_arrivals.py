@@ -96,13 +96,14 @@ def test_batches_read_their_own_files_only(spark, tmp_path, monkeypatch):
         handle.awaitTermination()
         return [p.numInputRows for p in handle.deciding.recentProgress if p.numInputRows], handle.deciding.recentProgress
 
-    for n in range(2):
-        put(feed.landing, f"{n}-book_2025-01.xlsx", monthly_book(1, suites={"1A": (f"T{n}", 1, 1)}))
+    books = [monthly_book(1, suites={"1A": (f"T{n}", 1, 1)}) for n in range(2)]
+    for n, content in enumerate(books):
+        put(feed.landing, f"{n}-book_2025-01.xlsx", content)
     put(feed.landing, "5-book_2025-02.xlsx", workbook({"Notes": {(1, 1): "nothing"}}))
     counts, progress = run()
     assert counts == [1] * 3 and reads == []
     assert feed.lease("2025-01") == {"1A": "T1"}
-    put(feed.landing, "6-copy_2025-01.xlsx", monthly_book(1, suites={"1A": ("T1", 1, 1)}))
+    put(feed.landing, "6-copy_2025-01.xlsx", books[1])
     put(feed.landing, "7-book_2025-01.xlsx", monthly_book(1, suites={"1A": ("T7", 1, 1)}))
     counts, progress = run()
     # The log is named once, for the state of a stream that begins anew; this one goes on.
