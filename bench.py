@@ -49,6 +49,9 @@ HEADLINE = [
     "as_of_month_detect",
     "quality_model_tests",
     "stream_ingest_equals_batch",
+    "scd2_incremental",
+    "forecast_selected",
+    "reconcile_by_digest",
 ]
 
 
