@@ -13,9 +13,11 @@ sets' Jaccard similarity reaches ``percent``.
 4. Within a group only the pairs with its hub, the node that meets most others over all bands, are looked at. The
    collision-corrected estimate of the similarity, from whole signatures, discards pairs ``SLACK`` (6 standard deviations) below the
    threshold; the rest is confirmed on the full sets.
-5. Linked nodes are merged. Groups that still hold several components are settled without emitting their pairs:
-   the nodes outside the hub's component meet the group's nodes block by block, on full sets, in memory, and only links
-   leave a task. This is exact and covers every pair of different components that shares a band.
+5. Linked nodes are merged. Bands that still hold several components are settled without emitting their pairs. The nodes
+   outside the component of a band's hub meet each other and the rest of the band in cells of two blocks. Every pair of different
+   components is looked at in the first band that it shares, by the order of the band keys, and there only: on signatures
+   first; then the nodes that have a pair left by the estimate meet again with their full sets. A task emits links that
+   join components it hasn't joined yet, at most one per node. Of bands with the same nodes one is taken. Pairs with the hub are those of step 4.
 6. Components of all links; the smallest doc_id of each names it.
 
 Rows with the same doc_id are separate documents. Null doc_ids take part; a component without any other id has a null
@@ -40,7 +42,7 @@ from leasemill.llm.store import stored
 ROWS, BANDS, MANTISSA = 6, 48, 10
 REGISTERS = ROWS * BANDS
 SLACK = 0.15
-#: Nodes of a block in step 5: a task holds two blocks of sets.
+#: Nodes of a block in step 5, about: a cell holds two blocks.
 BLOCK_NODES = 256
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -167,36 +169,77 @@ def _linked(percent: int):
     return rows
 
 
-def _block_links(percent: int):
-    """Links between the left block's nodes and the right block's, on full sets, as one product of 0/1 matrices."""
-
-    def rows(pair: pd.DataFrame) -> pd.DataFrame:
-        left, right = pair[pair["outside"]], pair[~pair["outside"]]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        a = [np.frombuffer(x, np.uint64) for x in left["shingles"]]
-        b = [np.frombuffer(x, np.uint64) for x in right["shingles"]]
-        na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
-        both = np.zeros((len(a), len(b)), np.float32)
-        for at in range(0, len(shared), 4096):
-            part = shared[at : at + 4096]
-            sides = []
-            for many in (a, b):
-                ones = np.zeros((len(many), len(part)), np.float32)
-                for i, x in enumerate(many):
-                    x = x[np.searchsorted(x, part[0]) : np.searchsorted(x, part[-1], "right")]
-                    at_part = np.minimum(np.searchsorted(part, x), len(part) - 1)
-                    ones[i, at_part[part[at_part] == x]] = 1
-                sides.append(ones)
-            both += sides[0] @ sides[1].T
-        union = na[:, None] + nb[None, :] - both
-        i, j = np.nonzero(100 * both >= percent * union)
-        return pd.DataFrame({"a": left["node"].to_numpy()[i], "b": right["node"].to_numpy()[j]})
+def first_pairs(cell: pd.DataFrame, registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cell's pairs (row numbers) of different components that share no band with a smaller key than the cell's."""
+    band, r, c = (cell[name].iat[0] for name in ("band", "r", "c"))
+    block = cell["block"].to_numpy()
+    left, right = np.flatnonzero(block == r), np.flatnonzero(block == c)
+    own = pd.factorize(cell["own"])[0]
+    open_ = own[left][:, None] != own[right][None, :]
+    if r == c:
+        open_ &= np.tri(len(left), k=-1, dtype=bool)
+    keys = band_keys(registers)
+    for j in range(BANDS):
+        a = keys[left, j]
+        early = np.flatnonzero(a < band)
+        open_[early] &= a[early, None] != keys[right, j][None, :]
+    i, j = np.nonzero(open_)
+    return left[i], right[j]
+
+
+def _candidates(cell: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the cell's first pairs that the estimate leaves."""
+    registers = np.frombuffer(b"".join(cell["signature"]), np.uint16).reshape(-1, REGISTERS)
+    a, b = first_pairs(cell, registers)
+    near = [estimate(registers[a[at : at + 4096]], registers[b[at : at + 4096]]) for at in range(0, len(a), 4096)]
+    near = np.concatenate([np.zeros(0), *near]) >= percent / 100 - SLACK
+    return a[near], b[near]
+
+
+def _open_rows(percent: int):
+    """The rows of a cell that have a pair left by the estimate."""
+
+    def rows(cell: pd.DataFrame) -> pd.DataFrame:
+        met = np.unique(np.concatenate(_candidates(cell, percent)))
+        return cell.iloc[met][_CELL_COLUMNS]
 
     return rows
 
 
+def _cell_links(percent: int):
+    """Links that join the cell's components, on full sets."""
+
+    def rows(cell: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in cell["shingles"]]
+        to = list(range(len(sets)))
+        own = pd.factorize(cell["own"])[0].tolist()
+
+        def root(x: int) -> int:
+            while to[x] != x:
+                to[x] = to[to[x]]
+                x = to[x]
+            return x
+
+        links = []
+        for i, j in zip(*(x.tolist() for x in _candidates(cell, percent))):
+            x, y = root(own[i]), root(own[j])
+            if x == y:
+                continue
+            few, many = sorted((sets[i], sets[j]), key=len)
+            if 100 * len(few) < percent * len(many):
+                continue
+            both = np.count_nonzero(many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few)
+            if 100 * both >= percent * (len(few) + len(many) - both):
+                links.append((i, j))
+                to[x] = y
+        node = cell["node"].to_numpy()
+        return pd.DataFrame({"a": [node[i] for i, _ in links], "b": [node[j] for _, j in links]})
+
+    return rows
+
+
+_CELL = "band long, r int, c int, node binary, own binary, block int"
+_CELL_COLUMNS = ["band", "r", "c", "node", "own", "block"]
 _PAIRS = "a binary, b binary"
 
 
@@ -234,23 +277,33 @@ def links_between(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -
     stars = stored(_joined(near, sets, "shingles").mapInArrow(_linked(percent), _PAIRS), "stars")
 
     roots = stored(components(stars), "roots")
-    large = groups.where("size > 2")
-    large = _rooted(_rooted(large, roots, "node", "own"), roots, "hub", "home").select("node", "own", "home").distinct()
-    large = stored(large, "unsettled")
-    outside = large.where("own <> home").select("home", "node").distinct()
-    homes = outside.groupBy("home").agg(F.count("*").alias("n_outside"))
-    members = large.select("home", "node").distinct().join(homes, "home")
-    counted = members.groupBy("home").agg(F.count("*").alias("n_members"), F.first("n_outside").alias("n_outside"))
-    parts = lambda n: F.ceil(F.col(n) / BLOCK_NODES).cast("int")
-    counted = counted.select("home", parts("n_outside").alias("rows"), parts("n_members").alias("columns"))
-    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    left = outside.join(counted, "home").join(sets, "node").select(
-        "home", "node", "shingles", place("rows").alias("r"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c"))
-    right = members.select("home", "node").join(counted, "home").join(sets, "node").select(
-        "home", "node", "shingles", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), place("columns").alias("c"))
-    both = left.withColumn("outside", F.lit(True)).unionByName(right.withColumn("outside", F.lit(False)))
-    more = both.groupBy("home", "r", "c").applyInPandas(_block_links(percent), _PAIRS)
-    return stars.union(more.where("a <> b"))
+    met = cells(groups, roots, distinct).groupBy("band", "r", "c").applyInPandas(_open_rows(percent), _CELL)
+    met = stored(met, "met").join(distinct.select("node", "signature"), "node").join(sets, "node")
+    more = met.groupBy("band", "r", "c").applyInPandas(_cell_links(percent), _PAIRS)
+    return stars.union(more)
+
+
+def cells(groups: DataFrame, roots: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Step 5's cells (band, r, c): rows (..., node, own, block, signature) of blocks r and c of a band.
+
+    Blocks are numbered from 0, those of nodes outside the hub's component first. An outside block meets every block of its
+    band once, itself too; two blocks of the hub's component don't meet.
+    """
+    large = _rooted(_rooted(groups.where("size > 2"), roots, "node", "own"), roots, "hub", "home")
+    large = stored(large.where("node <> hub").select("band", "node", "own", (F.col("own") != F.col("home")).alias("outside")), "unsettled")
+    bands = large.groupBy("band").agg(
+        F.count_if("outside").alias("n_outside"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("z"))
+    bands = bands.where("n_outside > 0").groupBy("n", "n_outside", "x", "y", "z").agg(F.min("band").alias("band"))
+    parts = lambda n: F.ceil(n / BLOCK_NODES).cast("int")
+    bands = bands.select("band", parts(F.col("n_outside")).alias("first"), parts(F.col("n") - F.col("n_outside")).alias("rest"))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    block = F.when(F.col("outside"), place("first")).otherwise(F.col("first") + place("rest"))
+    meets = F.when(F.col("outside"), F.col("first") + F.col("rest")).otherwise(F.col("first"))
+    rows = large.join(bands, "band").select("band", "node", "own", block.alias("block"), meets.alias("meets"))
+    rows = rows.join(signatures.select("node", "signature"), "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
+    return rows.select("band", F.least("block", "other").alias("r"), F.greatest("block", "other").alias("c"), "node", "own", "block", "signature")
 
 
 def _joined(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:

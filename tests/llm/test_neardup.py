@@ -4,6 +4,7 @@ import brute
 import numpy as np
 
 from leasemill.llm import neardup, texts
+from leasemill.llm.graph import components
 
 
 def near_texts(seed=1):
@@ -59,3 +60,55 @@ def test_estimate_follows_similarity():
         exact = shared / (2000 - shared)
         assert abs(float(neardup.estimate(s[:1], s[1:])[0]) - exact) < 0.1
     assert texts.mix(values[:1]).dtype == np.uint64
+
+
+def test_unlinked_texts_of_one_template_meet_once(spark, documents, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 64)
+    rng = random.Random(9)
+    shared, n = [f"t{i}" for i in range(70)], 300
+    pairs = [(i, " ".join(shared + [f"own{i}x{k}" for k in range(15)])) for i in range(n)]
+    rng.shuffle(pairs)
+    docs = documents(pairs)
+    nodes = neardup.shingle_nodes(docs, 2)
+    distinct = neardup.stored(nodes.where("node is not null").groupBy("node").agg(neardup.F.first("signature").alias("signature")), "distinct")
+    groups = neardup._with_hub(distinct.mapInArrow(neardup._band_rows, "band long, node binary"))
+    none = spark.createDataFrame([], "a binary, b binary")
+    seen, looked = set(), 0
+    for _, cell in neardup.cells(groups, components(none), distinct).toPandas().groupby(["band", "r", "c"]):
+        registers = np.frombuffer(b"".join(cell["signature"]), np.uint16).reshape(-1, neardup.REGISTERS)
+        assert len(cell) <= 4 * 64
+        node = cell["node"].tolist()
+        for a, b in zip(*neardup.first_pairs(cell, registers)):
+            seen.add(frozenset((bytes(node[a]), bytes(node[b]))))
+            looked += 1
+    # Every pair at most once; together with the pairs of hubs all that share a band of two or more others.
+    assert looked == len(seen) <= n * (n - 1) // 2
+    keys = {bytes(r["node"]): neardup.band_keys(np.frombuffer(bytes(r["signature"]), np.uint16)[None])[0] for r in distinct.collect()}
+    hubs, sizes = {}, {}
+    for r in groups.collect():
+        hubs[r["band"]], sizes[r["band"]] = bytes(r["hub"]), r["size"]
+    names = sorted(keys)
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            both = [int(k) for k in keys[a][keys[a] == keys[b]]]
+            first = min(both, default=None)
+            settled = first is None or hubs[first] in (a, b)
+            decided = any(hubs[k] in (a, b) for k in both)
+            assert (frozenset((a, b)) in seen) == (not settled) or decided
+    check(neardup.near_duplicates(docs, 2, 80), pairs, 2)
+
+
+def test_links_outside_the_hubs_component(documents, monkeypatch):
+    """Families that share bands with another family's hub are joined by links of their own."""
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 4)
+    rng = random.Random(11)
+    shared = [f"t{i}" for i in range(150)]
+    pairs = []
+    for family in range(8):
+        base = shared + [f"f{family}x{k}" for k in range(40)]
+        for _ in range(9):
+            copy = list(base)
+            for _ in range(rng.randrange(12)):
+                copy[rng.randrange(len(copy))] = f"c{rng.randrange(90)}"
+            pairs.append((len(pairs), " ".join(copy)))
+    check(neardup.near_duplicates(documents(pairs), 2, 80), pairs, 2)
