@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leasemill.llm import texts
+from leasemill.llm import groups, texts
 from leasemill.llm.graph import components
 from leasemill.llm.store import stored
 
@@ -169,50 +169,47 @@ def _linked(percent: int):
     return rows
 
 
-def first_pairs(cell: pd.DataFrame, registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cell's pairs (row numbers) of different components that share no band with a smaller key than the cell's."""
-    band, r, c = (cell[name].iat[0] for name in ("band", "r", "c"))
-    block = cell["block"].to_numpy()
-    left, right = np.flatnonzero(block == r), np.flatnonzero(block == c)
-    own = pd.factorize(cell["own"])[0]
-    open_ = own[left][:, None] != own[right][None, :]
-    if r == c:
-        open_ &= np.tri(len(left), k=-1, dtype=bool)
-    keys = band_keys(registers)
+def first_pairs(rows: pd.DataFrame, registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row numbers) of a cell that lie in different components and share no band with a smaller key than the cell's."""
+    cell = rows.groupby(["band", "r", "c"], sort=False).ngroup().to_numpy()
+    own, block = pd.factorize(rows["own"])[0], rows["block"].to_numpy()
+    met = np.tri(len(rows), k=-1, dtype=bool) & (cell[:, None] == cell) & (own[:, None] != own)
+    met &= (block[:, None] != block) | (rows["r"].to_numpy() == rows["c"].to_numpy())
+    a, b = np.nonzero(met)
+    keys, band = band_keys(registers), rows["band"].to_numpy()
     for j in range(BANDS):
-        a = keys[left, j]
-        early = np.flatnonzero(a < band)
-        open_[early] &= a[early, None] != keys[right, j][None, :]
-    i, j = np.nonzero(open_)
-    return left[i], right[j]
+        x = keys[a, j]
+        first = (x != keys[b, j]) | (x >= band[a])
+        a, b = a[first], b[first]
+    return a, b
 
 
-def _candidates(cell: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the cell's first pairs that the estimate leaves."""
-    registers = np.frombuffer(b"".join(cell["signature"]), np.uint16).reshape(-1, REGISTERS)
-    a, b = first_pairs(cell, registers)
+def _candidates(cells: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the first pairs that the estimate leaves."""
+    registers = np.frombuffer(b"".join(cells["signature"]), np.uint16).reshape(-1, REGISTERS)
+    a, b = first_pairs(cells, registers)
     near = [estimate(registers[a[at : at + 4096]], registers[b[at : at + 4096]]) for at in range(0, len(a), 4096)]
     near = np.concatenate([np.zeros(0), *near]) >= percent / 100 - SLACK
     return a[near], b[near]
 
 
 def _open_rows(percent: int):
-    """The rows of a cell that have a pair left by the estimate."""
+    """The rows of cells that have a pair left by the estimate."""
 
-    def rows(cell: pd.DataFrame) -> pd.DataFrame:
-        met = np.unique(np.concatenate(_candidates(cell, percent)))
-        return cell.iloc[met][_CELL_COLUMNS]
+    def rows(cells: pd.DataFrame) -> pd.DataFrame:
+        met = np.unique(np.concatenate(_candidates(cells, percent)))
+        return cells.iloc[met][_CELL_COLUMNS]
 
     return rows
 
 
 def _cell_links(percent: int):
-    """Links that join the cell's components, on full sets."""
+    """Links that join the components of cells, on full sets."""
 
-    def rows(cell: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in cell["shingles"]]
+    def rows(cells: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in cells["shingles"]]
         to = list(range(len(sets)))
-        own = pd.factorize(cell["own"])[0].tolist()
+        own = pd.factorize(cells["own"])[0].tolist()
 
         def root(x: int) -> int:
             while to[x] != x:
@@ -221,7 +218,7 @@ def _cell_links(percent: int):
             return x
 
         links = []
-        for i, j in zip(*(x.tolist() for x in _candidates(cell, percent))):
+        for i, j in zip(*(x.tolist() for x in _candidates(cells, percent))):
             x, y = root(own[i]), root(own[j])
             if x == y:
                 continue
@@ -232,14 +229,14 @@ def _cell_links(percent: int):
             if 100 * both >= percent * (len(few) + len(many) - both):
                 links.append((i, j))
                 to[x] = y
-        node = cell["node"].to_numpy()
+        node = cells["node"].to_numpy()
         return pd.DataFrame({"a": [node[i] for i, _ in links], "b": [node[j] for _, j in links]})
 
     return rows
 
 
-_CELL = "band long, r int, c int, node binary, own binary, block int"
-_CELL_COLUMNS = ["band", "r", "c", "node", "own", "block"]
+_CELL = "share long, band long, r int, c int, node binary, own binary, block int"
+_CELL_COLUMNS = ["share", "band", "r", "c", "node", "own", "block"]
 _PAIRS = "a binary, b binary"
 
 
@@ -249,61 +246,67 @@ def shingle_nodes(docs: DataFrame, width: int) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(_set_rows(width, "signature"), schema), "signatures")
 
 
-def _with_hub(groups: DataFrame) -> DataFrame:
+def _with_hub(bands_of: DataFrame) -> DataFrame:
     """Each (band, node) with the band's hub and size; bands of one node are gone."""
-    sizes = groups.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    groups = stored(groups.join(sizes, "band"), "bands")
-    meets = groups.groupBy("node").agg(F.sum("size").alias("meets"))
-    groups = groups.join(meets, "node")
-    hubs = groups.groupBy("band").agg(F.max(F.struct("meets", "node"))["node"].alias("hub"))
-    return stored(groups.join(hubs, "band").select("band", "node", "hub", "size"), "hubs")
+    sizes = bands_of.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    bands_of = stored(bands_of.join(sizes, "band"), "bands")
+    meets = bands_of.groupBy("node").agg(F.sum("size").alias("meets"))
+    bands_of = bands_of.join(meets, "node")
+    hubs = bands_of.groupBy("band").agg(F.max(F.struct("meets", "node"))["node"].alias("hub"))
+    return stored(bands_of.join(hubs, "band").select("band", "node", "hub", "size"), "hubs")
 
 
 def links_between(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Steps 3 to 5: links (a, b) that join exactly the nodes which links of similarity ``percent`` or more join."""
     distinct = nodes.where("node is not null").groupBy("node").agg(F.first("signature").alias("signature"))
     distinct = stored(distinct, "distinct")
-    groups = _with_hub(distinct.mapInArrow(_band_rows, "band long, node binary"))
+    bands_of = _with_hub(distinct.mapInArrow(_band_rows, "band long, node binary"))
 
-    met = groups.select("node").distinct()
+    met = bands_of.select("node").distinct()
     ids = nodes.join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     texts_met = docs.select("doc_id", "text").alias("d").join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, n_shingles long, shingles binary"
     sets = texts_met.mapInArrow(_set_rows(width, "shingles"), schema).where("node is not null")
     sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
-    pairs = groups.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = bands_of.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     near = _joined(pairs, distinct, "signature").mapInArrow(_near_by_signature(percent), _PAIRS)
     stars = stored(_joined(near, sets, "shingles").mapInArrow(_linked(percent), _PAIRS), "stars")
 
     roots = stored(components(stars), "roots")
-    met = cells(groups, roots, distinct).groupBy("band", "r", "c").applyInPandas(_open_rows(percent), _CELL)
+    met = cells(bands_of, roots, distinct).groupBy("share").applyInPandas(_open_rows(percent), _CELL)
     met = stored(met, "met").join(distinct.select("node", "signature"), "node").join(sets, "node")
-    more = met.groupBy("band", "r", "c").applyInPandas(_cell_links(percent), _PAIRS)
+    more = stored(met.groupBy("share").applyInPandas(_cell_links(percent), _PAIRS), "more")
     return stars.union(more)
 
 
-def cells(groups: DataFrame, roots: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Step 5's cells (band, r, c): rows (..., node, own, block, signature) of blocks r and c of a band.
+def cells(bands_of: DataFrame, roots: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Step 5's cells (band, r, c): rows (share, ..., node, own, block, signature) of blocks r and c of a band.
 
     Blocks are numbered from 0, those of nodes outside the hub's component first. An outside block meets every block of its
-    band once, itself too; two blocks of the hub's component don't meet.
+    band once, itself too; two blocks of the hub's component don't meet. A share is a number of whole cells, about two blocks
+    of rows; most bands are small.
     """
-    large = _rooted(_rooted(groups.where("size > 2"), roots, "node", "own"), roots, "hub", "home")
+    large = _rooted(_rooted(bands_of.where("size > 2"), roots, "node", "own"), roots, "hub", "home")
     large = stored(large.where("node <> hub").select("band", "node", "own", (F.col("own") != F.col("home")).alias("outside")), "unsettled")
     bands = large.groupBy("band").agg(
         F.count_if("outside").alias("n_outside"), F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("z"))
     bands = bands.where("n_outside > 0").groupBy("n", "n_outside", "x", "y", "z").agg(F.min("band").alias("band"))
     parts = lambda n: F.ceil(n / BLOCK_NODES).cast("int")
-    bands = bands.select("band", parts(F.col("n_outside")).alias("first"), parts(F.col("n") - F.col("n_outside")).alias("rest"))
+    first, rest = parts(F.col("n_outside")), parts(F.col("n") - F.col("n_outside"))
+    n_rows = F.col("n_outside") * (first + rest) + (F.col("n") - F.col("n_outside")) * first
+    bands = stored(bands.select("band", first.alias("first"), rest.alias("rest"), n_rows.alias("n_rows")), "open-bands")
+    shares = max(1, (bands.agg(F.sum("n_rows")).first()[0] or 0) // (2 * BLOCK_NODES))
     place = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1))).cast("int")
     block = F.when(F.col("outside"), place("first")).otherwise(F.col("first") + place("rest"))
     meets = F.when(F.col("outside"), F.col("first") + F.col("rest")).otherwise(F.col("first"))
     rows = large.join(bands, "band").select("band", "node", "own", block.alias("block"), meets.alias("meets"))
     rows = rows.join(signatures.select("node", "signature"), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
-    return rows.select("band", F.least("block", "other").alias("r"), F.greatest("block", "other").alias("c"), "node", "own", "block", "signature")
+    rows = rows.withColumns({"r": F.least("block", "other"), "c": F.greatest("block", "other")})
+    share = F.pmod(F.xxhash64("band", "r", "c"), F.lit(shares))
+    return rows.select(share.alias("share"), "band", "r", "c", "node", "own", "block", "signature")
 
 
 def _joined(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -326,8 +329,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     roots = stored(components(links_between(docs, nodes, width, percent)), "roots")
     named = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = stored(_rooted(named, roots, "node", "root"), "named")
-    component = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(component, "root").select("node", "component_id")
+    component = stored(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "components")
+    named = groups.joined(named, component, "root").select("node", "component_id")
     out = nodes.select("doc_id", "node", "n_shingles").join(named, "node", "left")
     component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"),

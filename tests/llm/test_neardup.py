@@ -74,9 +74,9 @@ def test_unlinked_texts_of_one_template_meet_once(spark, documents, monkeypatch)
     groups = neardup._with_hub(distinct.mapInArrow(neardup._band_rows, "band long, node binary"))
     none = spark.createDataFrame([], "a binary, b binary")
     seen, looked = set(), 0
-    for _, cell in neardup.cells(groups, components(none), distinct).toPandas().groupby(["band", "r", "c"]):
+    for _, cell in neardup.cells(groups, components(none), distinct).toPandas().groupby("share"):
         registers = np.frombuffer(b"".join(cell["signature"]), np.uint16).reshape(-1, neardup.REGISTERS)
-        assert len(cell) <= 4 * 64
+        assert len(cell) <= 8 * 64
         node = cell["node"].tolist()
         for a, b in zip(*neardup.first_pairs(cell, registers)):
             seen.add(frozenset((bytes(node[a]), bytes(node[b]))))
