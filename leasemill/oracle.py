@@ -19,6 +19,12 @@ def _i(expr: str, name: str | None = None) -> str:
     return f'CAST({expr} AS BIGINT) AS "{name or expr}"'
 
 
+def _within(rows: str, end_month: str) -> str:
+    """Rows of the n months up to and with the end month."""
+    months = f"date_diff('month', CAST({rows}.as_of_month || '-01' AS DATE), CAST({end_month} || '-01' AS DATE))"
+    return f"{months} BETWEEN 0 AND n - 1"
+
+
 def _d(expr: str, name: str | None = None) -> str:
     return f"strftime({expr}, '%Y-%m-%d') AS \"{name or expr}\""
 
@@ -575,6 +581,14 @@ def _reports() -> dict[str, str]:
         "latest_buildings": _sql(f"""
             SELECT {_cols('building', 'occupancy_pct', 'occupied_sqft')} FROM bld
             WHERE month = (SELECT MAX(month) FROM bld)""", "bld"),
+        "tenant_suite_count_by_window": _sql(f"""
+            SELECT l.tenant, e.end_month, n || 'm' AS window_size, {_i('COUNT(DISTINCT l.suite_id)', 'suite_count')}
+            FROM (SELECT DISTINCT as_of_month AS end_month FROM lease) e, (VALUES (3), (6), (9), (12)) w(n), lease l
+            WHERE {_within('l', 'e.end_month')} GROUP BY ALL""", "lease"),
+        "building_suite_count_by_window": _sql(f"""
+            SELECT l.property_id, l.building, e.end_month, n || 'm' AS window_size, {_i('COUNT(DISTINCT l.suite_id)', 'suite_count')}
+            FROM (SELECT DISTINCT property_id, as_of_month AS end_month FROM lease) e, (VALUES (3), (6), (9), (12)) w(n), lease l
+            WHERE l.property_id = e.property_id AND {_within('l', 'e.end_month')} GROUP BY ALL""", "lease", by_property=True),
         "tenant_suite_count": _sql(f"""
             SELECT t.tenant_name, {_i('COUNT(DISTINCT s.suite_id)', 'suite_count')}
             FROM dim_tenant t JOIN lease s ON md5(s.tenant) = t.tenant_id GROUP BY t.tenant_name""",

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from leasemill import schemas
 from leasemill.functions import expressions as X
 from leasemill.functions import vocabulary as V
-from leasemill.operators import clean, history, incremental, quality, smoothing, windows
+from leasemill.operators import clean, distinct, history, incremental, quality, smoothing, windows
 from leasemill.operators import forecast as fc
 from leasemill.operators.history_table import HistoryTable
 from leasemill.plans import dashboard, models, refresh, reports, table_functions
@@ -898,6 +898,19 @@ def _of(build: Callable[[Portfolio], DataFrame], by_property: bool = False) -> Q
     return lambda spark, sf_dir: build(Portfolio(spark, sf_dir, by_property))
 
 
+def _suites_by_window(*by: str) -> Callable[[Portfolio], DataFrame]:
+    """Distinct suites over the last months from stored sets of every month; lease rows are read for the sets only."""
+
+    def build(p: Portfolio) -> DataFrame:
+        lease = p.stored("raw_lease").lease
+        numbers = _stored(p.spark, distinct.extend(None, lease, "suite_id", p.keys), "suite_numbers")
+        sets = distinct.words(lease, numbers, "suite_id", [*p.keys, *by, "as_of_month"], p.keys)
+        sets = _stored(p.spark, sets, "suite_sets")
+        return distinct.counts_by_window(sets, [*p.keys, *by], p.keys, name="suite_count")
+
+    return build
+
+
 _SMALL_PLACES = {"forecast_wide": 2, "forecast_long": 2, "forecast_short": 2, "forecast_by_property": 2,
                  "forecast_horizons": 2, "forecast_sink": 2, "forecast_backtest": 2, "forecast_selected": 2, "forecast_selected_short": 2, "history_and_forecast": 2}
 
@@ -1071,6 +1084,8 @@ _QUERIES: dict[str, Query] = {
     ),
     "latest_kpis": _of(lambda p: reports.latest_kpis(p.stored_prop())),
     "latest_buildings": _of(lambda p: reports.latest_buildings(p.stored_building())),
+    "tenant_suite_count_by_window": _of(_suites_by_window("tenant")),
+    "building_suite_count_by_window": _of(_suites_by_window("building"), by_property=True),
     "tenant_suite_count": _of(
         lambda p: _with(p.stored("raw_lease"), lambda s: reports.tenant_suite_count(models.dim_tenant(s.lease), s.lease))
     ),
