@@ -36,7 +36,9 @@ def new_numbers(dictionary: DataFrame | None, rows: DataFrame, value: str, keys:
     own = Window.partitionBy(*keys, "_part").orderBy(value)
     new = found.withColumn("_part", part).withColumn("_nth", F.row_number().over(own).cast("bigint") - 1)
     if dictionary is not None:
-        used = dictionary.groupBy(*keys, part.alias("_part")).agg(F.count(F.lit(1)).alias("_used"))
+        # By the largest number, not by count: an append that was cut short may have left gaps.
+        nth = F.floor(F.col("number") / (PARTS * RUN)) * RUN + F.col("number") % RUN
+        used = dictionary.groupBy(*keys, part.alias("_part")).agg((F.max(nth) + 1).alias("_used"))
         new = new.alias("n").join(used.alias("d"), _same("n", "d", [*keys, "_part"]), "left").select(
             *[F.col(f"n.{c}") for c in (*keys, value, "_part")], (F.col("n._nth") + F.coalesce("d._used", F.lit(0))).alias("_nth"))
     run = F.floor(F.col("_nth") / RUN) * PARTS + F.col("_part")

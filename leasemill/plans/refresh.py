@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from leasemill import schemas
 from leasemill.functions import vocabulary as V
+from leasemill.operators import distinct, quality, windows
 from leasemill.operators import forecast as fc
-from leasemill.operators import quality, windows
 from leasemill.operators.history_table import HistoryTable
 from leasemill.operators.incremental import touched_months
 from leasemill.plans import models
@@ -52,6 +52,10 @@ REACH = {
     "kpi_windows": max(V.WINDOW_SIZES),
 }
 HISTORY = "snap_lease_rate_scd2"
+# Suites of every tenant and month as sets that merge, and the numbers that suites have in them.
+SETS, SUITE_NUMBERS = "tenant_suite_sets", "_suite_numbers"
+SETS_SCHEMA = f"{schemas.PROPERTY} STRING, tenant STRING, word BIGINT, bits BIGINT, as_of_month STRING"
+NUMBERS_SCHEMA = f"{schemas.PROPERTY} STRING, suite_id STRING, number BIGINT"
 EXPORTS = ("prop_kpi_monthly", "building_kpi_monthly", "kpi_windows", "fact_expense_monthly")
 
 
@@ -82,7 +86,9 @@ class Run:
         if table == HISTORY:
             return self.history().read()
         reader = self.spark.read
-        if table in STAGERS:
+        if table == SETS:
+            reader = reader.schema(SETS_SCHEMA)
+        elif table in STAGERS:
             reader = reader.schema(self.no_rows(table).schema)
         elif table in REACH:
             frames = monthly_models(self, *map(self.no_rows, STAGERS))
@@ -233,6 +239,26 @@ def build_history(run: Run, months: Sequence[str] | None) -> None:
         table.take(month, lease)
 
 
+def build_sets(run: Run, months: Sequence[str] | None) -> None:
+    """Every tenant's suites by month as sets that merge (``distinct.counts_by_window``), of the given months or of all.
+
+    Numbers once given to suites stay, also over a full refresh: a stage that stops halfway leaves no set with another's numbers.
+    """
+    lease = run.read_gold("stg_lease_rate")
+    if not path_exists(run.spark, run.gold(SETS)):
+        months = None
+    if months is not None:
+        if not months:
+            return
+        lease = lease.where(F.col(sinks.PARTITION).isin(list(months)))
+    path, value = run.gold(SUITE_NUMBERS), "suite_id"
+    reader = run.spark.read.schema(NUMBERS_SCHEMA)
+    known = reader.parquet(path) if path_exists(run.spark, path) else None
+    distinct.new_numbers(known, lease, value, KEYS).write.mode("append").parquet(path)
+    sets = distinct.words(lease, reader.parquet(path), value, [*KEYS, "tenant", sinks.PARTITION], KEYS)
+    run.save_months(SETS, sets, months)
+
+
 def build_models(run: Run) -> None:
     """Stage, then dimensions, facts, KPIs, windows and history of what changed; shared inputs are read from what was saved."""
     settings = _settings(run)
@@ -245,6 +271,7 @@ def build_models(run: Run) -> None:
         run.save("dim_calendar_month", models.dim_calendar(ledger))
     build_months(run, months if _same_settings(run, settings) else None)
     build_history(run, months)
+    build_sets(run, months)
     # Failed model tests are recorded, not fatal: some declared uniqueness does not hold for a changing roster.
     names = sorted({model for model, *_ in quality.MODEL_TESTS})
     run.save("model_tests", quality.model_tests({n: run.read_gold(n) for n in names}))

@@ -60,6 +60,14 @@ def test_months_added_one_by_one(spark):
     assert counted(words) == expected(data)
 
 
+def test_gaps_in_the_dictionary_are_not_given_again(spark):
+    df = frame(spark, [("p", "t", "2001-01", f"s{i}") for i in range(9000)])
+    numbers = distinct.extend(None, df, "suite_id")
+    left = spark.createDataFrame(numbers.where("number % 3 = 0").collect(), "suite_id string, number long")
+    again = distinct.extend(left, df, "suite_id")
+    assert again.count() == again.select("number").distinct().count() == 9000
+
+
 def test_all_64_bits(spark, monkeypatch):
     monkeypatch.setattr(distinct, "PARTS", 1)
     df = frame(spark, [("p", "t", "2001-01", f"s{i}") for i in range(130)])

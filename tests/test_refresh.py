@@ -5,6 +5,7 @@ from pathlib import Path
 from books import monthly_book
 from test_ingest import landed_books
 
+from leasemill.operators import distinct
 from leasemill.plans import refresh
 
 STOP = ["quality", "forecast", "export"]
@@ -40,12 +41,18 @@ def test_changed_months_equal_a_build_of_everything(spark, tmp_path):
     assert refresh.stale_months(step, refresh.BUILT) == ["2025-01", "2025-03"]
     refresh.build_models(step)
     assert refresh.stale_months(step, refresh.BUILT) == []
-    tables = [*refresh.REACH, refresh.HISTORY, "dim_suite", "dim_tenant", "model_tests"]
+    tables = [*refresh.REACH, refresh.HISTORY, refresh.SETS, "dim_suite", "dim_tenant", "model_tests"]
     by_step = {t: shown(step, t) for t in tables}
     occupancy = {(r["property_id"], r["total_property_sqft"]) for r in step.read_gold("prop_kpi_monthly").collect()}
     assert occupancy == {("o-b1", 200), ("o-b2", 1000)}
     unique = [r["failures"] for r in step.read_gold("model_tests").where("model = 'dim_suite' AND test = 'unique'").collect()]
     assert unique == [0]
+    by = [*refresh.KEYS, "tenant"]
+    counted = distinct.counts_by_window(step.read_gold(refresh.SETS), by, refresh.KEYS, name="n")
+    lease = step.read_gold("stg_lease_rate")
+    own = distinct.words(lease, distinct.extend(None, lease, "suite_id", refresh.KEYS), "suite_id", [*by, "as_of_month"], refresh.KEYS)
+    other = distinct.counts_by_window(own, by, refresh.KEYS, name="n")
+    assert counted.count() > 0 and counted.exceptAll(other).isEmpty() and other.exceptAll(counted).isEmpty()
 
     whole = refresh.Run(spark, root, total_sqft=areas, full_refresh=True)
     refresh.build_models(whole)
