@@ -199,7 +199,8 @@ def _with_places(df: DataFrame, places: DataFrame, keys: Keys) -> DataFrame:
     """Adds before, after, seen and whether the row's property is concerned."""
     marked = places.withColumn("placed", F.lit(True))
     if keys:
-        joined = df.join(marked, list(keys), "left")
+        # One short row per property, sent to the rows: dealt by property, all versions would go to as few tasks as there are properties.
+        joined = df.join(F.broadcast(marked), list(keys), "left")
         return joined.withColumn("placed", F.coalesce("placed", F.lit(False)))
     # One row: the places of the only property.
     before, after, seen = (places.first() or (None, None, None))[:3]

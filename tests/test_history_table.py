@@ -1,6 +1,7 @@
 """The stored history, month by month in any order, against the replay of all months."""
 
 import random
+import re
 from datetime import datetime
 from decimal import Decimal
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leasemill.operators import history
-from leasemill.operators.history_table import HistoryTable
+from leasemill.operators.history_table import HistoryTable, merged
 
 SCHEMA = ("property_id string, as_of_month string, suite_id string, tenant string, rent_monthly decimal(18,2), "
           "is_vacant boolean, sqft int, _file_md5 string, ingested_at timestamp")
@@ -98,3 +99,18 @@ def test_a_stopped_replacement_is_finished(spark, tmp_path, monkeypatch):
     table.take("2020-02", df)
     monkeypatch.undo()
     assert shown(table.read()) == shown(history.versions(df, keys=["property_id"], checked=CHECKED))
+
+
+def test_versions_are_not_dealt_by_property(spark):
+    """However large the tables are thought to be: a portfolio of five properties would put all versions into five tasks."""
+    lease = spark.createDataFrame([("p", "2020-02", "1A", "x", Decimal(1), False, 1, "h", None)], SCHEMA)
+    reach = lease.withColumns({"valid_from": F.lit("2020-01"), "closes": F.lit("open")})
+    places = spark.createDataFrame([("p", "2020-01", None, True)], "property_id string, before string, after string, seen boolean")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = ["property_id"]
+        plan = merged(reach, lease, lease.where("false"), places, "2020-02", [*keys, "suite_id"], keys, CHECKED)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.findall(r"hashpartitioning\(property_id#\d+, \d+\)", plan)
