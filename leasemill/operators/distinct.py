@@ -79,24 +79,26 @@ def counts_by_window(sets: DataFrame, by: Keys, keys: Keys = (), sizes: Sequence
     with a value in the window.
 
     ``sets`` are word rows per ``by`` and month. End months are those that occur for the key; a missing month shrinks the
-    windows over it. A word row goes to the end months that it reaches once, whatever the number of sizes.
+    windows over it. A word row goes to the end months that it reaches once, whatever the number of sizes, and only after the
+    rows of a word have met: what is shuffled is the sets and their counts, not the rows they unfold to.
     """
     months = sets.select(*keys, month).distinct().select(
         *keys, F.col(month).alias("end_month"), month_number(first_of_month(F.col(month))).alias("_end"))
     reach = max(sizes)
     at = month_number(first_of_month(F.col(month)))
-    reached = sets.select(*by, "word", "bits", at.alias("_at"), F.explode(F.sequence(at, at + (reach - 1))).alias("_end"))
-    # One row per key and month on the other side: the calendar, whatever the number of values.
-    ends = months.alias("m")
-    on = F.col("r._end").eqNullSafe(F.col("m._end"))
-    for key in keys:
-        on = on & F.col(f"r.{key}").eqNullSafe(F.col(f"m.{key}"))
-    met = reached.alias("r").join(ends, on).select(*[F.col(f"r.{c}") for c in (*by, "word", "bits", "_at", "_end")], F.col("m.end_month"))
+    # Dealt by word, so that a large set is shared out; a word has one row per month. The number of parts is given, because
+    # adaptive execution would size them by the sets and not by the rows that these unfold to.
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sets.select(*by, "word", "bits", at.alias("_at")).repartition(parts, *by, "word")
+    reached = dealt.select(*by, "word", "bits", "_at", F.explode(F.sequence("_at", F.col("_at") + (reach - 1))).alias("_end"))
     within = {f"_{n}": F.bit_or(F.when(F.col("_end") - F.col("_at") < n, F.col("bits"))) for n in sizes}
-    joined = met.groupBy(*by, "end_month", "word").agg(*[bits.alias(c) for c, bits in within.items()])
-    counted = _counted(joined, [*by, "end_month"], {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in within})
+    joined = reached.groupBy(*by, "_end", "word").agg(*[bits.alias(c) for c, bits in within.items()])
+    counted = _counted(joined, [*by, "_end"], {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in within})
+    # One row per key and month on the other side: without keys the calendar, with keys the planner decides from its measured size.
+    met = counted.alias("r").join((months if keys else F.broadcast(months)).alias("m"), _same("r", "m", [*keys, "_end"])).select(
+        *[F.col(f"r.{c}") for c in (*by, *within)], F.col("m.end_month"))
     unfolded = F.array(*[F.struct(F.lit(f"{n}m").alias("window_size"), F.col(f"_{n}").alias(name)) for n in sizes])
-    return counted.select(*by, "end_month", F.inline(unfolded)).where(F.col(name) > 0)
+    return met.select(*by, "end_month", F.inline(unfolded)).where(F.col(name) > 0)
 
 
 def _same(a: str, b: str, columns: Keys) -> Column:

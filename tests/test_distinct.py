@@ -88,3 +88,17 @@ def test_windows_do_not_read_the_rows(spark, tmp_path):
     got = distinct.counts_by_window(spark.read.parquet(str(tmp_path / "w")), ["tenant"])
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "suite_id" not in plan
+
+
+def test_sets_are_shuffled_before_they_unfold(spark):
+    """A word row reaches twelve end months; those rows are counted where they are made."""
+    words = spark.createDataFrame([("p", "t", "2001-01", 0, 1)], "property_id string, tenant string, as_of_month string, word long, bits long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for by, keys in ((["tenant"], []), (["property_id", "tenant"], ["property_id"])):
+            plan = distinct.counts_by_window(words, by, keys)._jdf.queryExecution().toString()
+            dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "word#" in line]
+            assert dealt and not any("_end#" in line or "end_month#" in line for line in dealt)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
