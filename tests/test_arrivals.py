@@ -5,7 +5,7 @@ import random
 from books import monthly_book, workbook
 from test_ingest import Feed, put
 
-from leasemill import schemas
+from leasemill import registry, schemas
 from leasemill.sources import bronze
 from leasemill.streaming import arrivals
 
@@ -135,3 +135,12 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     empty = spark.createDataFrame([], f"{arrivals._PARSED}, role STRING")
     arrivals._apply_to(feed.root, stream, None)(empty, 0)
     assert feed.log() == before and feed.lease("2025-01") == {"1A": "Acme"}
+
+
+def test_arriving_cells_are_derived_once(spark, monkeypatch):
+    """Every stream of the query lands stored cells; none joins lines and orders again."""
+    landed = []
+    monkeypatch.setattr(registry, "_stream_into", lambda spark, cells, root, staged: landed.append(cells))
+    registry.stream_two_properties(spark, "/root/testdata/sf0.001")
+    assert len(landed) == 3
+    assert not any("lineitem" in f or "orders" in f for cells in landed for f in cells.inputFiles())
