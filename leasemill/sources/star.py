@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -221,9 +221,10 @@ def _period_cells() -> Column:
 
 def _year_to_date(monthly: DataFrame) -> DataFrame:
     """Each month's workbook repeats the earlier months of its year."""
-    shown = monthly.withColumnRenamed("as_of_month", "shown_month").drop("_file_md5", "_ingested_at")
-    files = monthly.select("as_of_month").distinct()
-    return files.join(shown, F.substring("as_of_month", 1, 4) == F.substring("shown_month", 1, 4)).where(
+    # Month-grain rows: a year has twelve files at most, and the frame is derived once.
+    files = F.collect_set("as_of_month").over(Window.partitionBy(F.substring("as_of_month", 1, 4)))
+    shown = monthly.drop("_file_md5", "_ingested_at").withColumn("files", files).withColumnRenamed("as_of_month", "shown_month")
+    return shown.select(F.explode("files").alias("as_of_month"), *[c for c in shown.columns if c != "files"]).where(
         F.col("shown_month") <= F.col("as_of_month")
     )
 

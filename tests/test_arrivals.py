@@ -6,7 +6,7 @@ from books import monthly_book, workbook
 from test_ingest import Feed, put
 
 from leasemill import registry, schemas
-from leasemill.sources import bronze
+from leasemill.sources import bronze, star
 from leasemill.streaming import arrivals
 
 SENT = "file string, _file_md5 string, property_id string, as_of_month string, arrived bigint, error string"
@@ -144,3 +144,9 @@ def test_arriving_cells_are_derived_once(spark, monkeypatch):
     registry.stream_two_properties(spark, "/root/testdata/sf0.001")
     assert len(landed) == 3
     assert not any("lineitem" in f or "orders" in f for cells in landed for f in cells.inputFiles())
+
+
+def test_months_of_a_year_are_derived_once(spark):
+    """Ledger block, expense block and labels read the orders once each; the list of files comes with the rows."""
+    plan = star.ledger_cells(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "o_orderkey" in line for line in plan.splitlines()) == 3
