@@ -3,6 +3,7 @@
 import random
 
 from books import monthly_book, workbook
+from pyspark.sql import functions as F
 from test_ingest import Feed, put
 
 from leasemill import registry, schemas
@@ -150,3 +151,52 @@ def test_months_of_a_year_are_derived_once(spark):
     """Ledger block, expense block and labels read the orders once each; the list of files comes with the rows."""
     plan = star.ledger_cells(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation" in line and "o_orderkey" in line for line in plan.splitlines()) == 3
+
+
+def test_a_batch_reads_its_cells_four_times(spark, tmp_path):
+    """The sheets, their first rows, the columns of the lease sheet and its body: nothing else goes over the landed cells."""
+    cells = [("raw/o/b/2025/01/05/1-book_2025-01.xlsx", "Lease Rate", 2, row, col, str(row * col), "h") for row in range(5, 200) for col in (1, 4)]
+    cells += [(*cells[0][:3], 4, 1, "Suite", "h"), (*cells[0][:3], 4, 4, "Sq Ft", "h")]
+    path = str(tmp_path / "landed")
+    spark.createDataFrame(cells, arrivals.LANDED_CELLS).coalesce(1).write.parquet(path)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(row):
+        read.add(1)
+        return True
+
+    counted = spark.read.schema(arrivals.LANDED_CELLS).parquet(path).where(F.udf(count, "boolean").asNondeterministic()("row"))
+    root = str(tmp_path / "bronze")
+    arrivals._parse_into(root, "s", lambda batch: batch)(counted, 0)
+    assert spark.read.parquet(f"{arrivals.parsed_path(root, 's', schemas.LEASE_TABLE)}/batch=0").count() == 195
+    assert read.value <= 4 * len(cells)
+
+
+def test_a_month_below_the_first_rows_is_found(spark, tmp_path):
+    """The value below a 'month' header may stand in any row; a lease sheet without suites is numbered in order."""
+    feed = Feed(spark, tmp_path)
+    put(feed.landing, "1-book_2025-01.xlsx", workbook({
+        "Dashboard": {(29, 2): "Month", (900, 2): "2023-07-01"},
+        "Lease": {(4, 1): "Suite", (4, 4): "Sq Ft", (4, 2): "Tenant", (90, 4): 30, (900, 9): "x", (800, 4): 10},
+    }))
+    feed.run()
+    got = bronze.read_bronze(spark, feed.root, schemas.LEASE_TABLE).collect()
+    assert {(r["as_of_month"], r["suite_id"], r["sqft"], r["tenant"]) for r in got} == {
+        ("2023-07", "SUITE_1", 30.0, "Unknown"), ("2023-07", "SUITE_2", 10.0, "Unknown"), ("2023-07", "SUITE_3", None, "Unknown")}
+
+
+def test_workbooks_are_dealt_before_they_are_named(spark, monkeypatch):
+    """Each lies in one partition, and no hash goes through the shuffle."""
+    landed = []
+    monkeypatch.setattr(registry, "_stream_into", lambda spark, cells, root, staged: landed.append(cells))
+    for query in (registry.stream_two_properties, registry.stream_ingest_equals_batch, registry.stream_replay):
+        try:
+            query(spark, "/root/testdata/sf0.001")
+        except Exception:  # nothing was ingested
+            pass
+    assert len(landed) == 6
+    for cells in landed:
+        places = cells.select("file", F.spark_partition_id().alias("place")).distinct().groupBy("file").count()
+        assert places.where("count > 1").isEmpty()
+        plan = cells._jdf.queryExecution().optimizedPlan().toString()
+        assert "md5" not in plan[plan.rindex("RepartitionByExpression"):]
